@@ -14,6 +14,7 @@ from quillvec.functions.text import combined_text, full_text_context
 from quillvec.functions.vector import has_embedding, vector_to_json
 from quillvec.operators import clean, stats
 from quillvec.operators.chunks import chunk_metadata
+from quillvec.session import settle, spread
 from quillvec.sources.readers import as_products, list_table_files, read_table_files
 from quillvec.sources.sinks import append_corpus, stamp_load
 
@@ -25,21 +26,31 @@ def hashed(dim: int = HASH_DIM) -> Encoder:
 
 
 def chunk_corpus(
-    pages: DataFrame, encode: Encoder | None = None, method: str = "recursive", first_id: int = 1, **sizes
+    pages: DataFrame,
+    encode: Encoder | None = None,
+    method: str = "recursive",
+    first_id: int = 1,
+    json_copy: bool = False,
+    **sizes,
 ) -> DataFrame:
-    """Pages to corpus rows: chunk, number, drop blanks, encode, JSON form of the vector."""
+    """Pages to corpus rows: chunk, number, drop blanks, encode."""
     encode = encode or hashed()
     chunks = chunk_metadata(pages, method, **sizes)
     vectors = chunks.withColumn("embedding", encode(F.col("content")))
-    return vectors.select(
+    rows = vectors.select(
         (F.col("chunk_index") + first_id).alias("id"),
         "content",
-        vector_to_json(F.col("embedding")).alias("vector_json"),
         "embedding",
         "file_name",
         "page_number",
         "chunk_index",
     )
+    return _with_json(rows) if json_copy else rows
+
+
+def _with_json(rows: DataFrame) -> DataFrame:
+    """The vector as JSON text too, for readers without arrays; several times the size of the array."""
+    return rows.withColumn("vector_json", vector_to_json(F.col("embedding")))
 
 
 def load_chunks(pages: DataFrame, location: str, mode: str = "append", **options) -> DataFrame:
@@ -74,7 +85,9 @@ def clean_sheet(rows: DataFrame) -> DataFrame:
     return kept.select(*[F.col(f"`{old}`").alias(new) for old, new in zip(filled, named)], *PROVENANCE)
 
 
-def table_corpus(rows: DataFrame, encode: Encoder | None = None, keep_short: bool = False) -> LoadedTable:
+def table_corpus(
+    rows: DataFrame, encode: Encoder | None = None, keep_short: bool = False, json_copy: bool = False
+) -> LoadedTable:
     """A sheet (with source_file and row_index) to stored rows.
 
     Text and vector are computed in the row they belong to; a row without text keeps a null vector.
@@ -84,10 +97,10 @@ def table_corpus(rows: DataFrame, encode: Encoder | None = None, keep_short: boo
     roles = clean.infer_column_roles(sheet, "row_index", skip=PROVENANCE, keep_short=keep_short)
     dense = clean.drop_low_density(clean.coerce_by_role(sheet, roles, PROVENANCE), roles.data)
     text = F.nullif(combined_text(roles.text), F.lit(""))
-    combined = dense.withColumn("combined_text", text)
+    combined = spread(dense).withColumn("combined_text", text)
     vector = encode(F.col("combined_text")) if roles.text else F.lit(None).cast("array<float>")
-    stored = combined.withColumn("embedding", vector).withColumn("vector_json", vector_to_json(F.col("embedding")))
-    return LoadedTable(stored, rows, roles)
+    stored = combined.withColumn("embedding", vector)
+    return LoadedTable(_with_json(stored) if json_copy else stored, rows, roles)
 
 
 def load_table(rows: DataFrame, location: str, mode: str = "append", **options) -> DataFrame:
@@ -107,7 +120,8 @@ def load_table_files(
     results = []
     for item in list_table_files(spark, directory, fmt, prefix).orderBy("file").toLocalIterator():
         try:
-            rows = read_table_files(spark, item["path"], fmt, header_row)
+            # Cleaning, roles, load and summary each scan the rows: parse the text once.
+            rows = settle(read_table_files(spark, item["path"], fmt, header_row), "sheet")
             outcome = load_table(rows, f"{target}/{item['table_name']}", "append").first()
             results.append((item["file"], item["table_name"], outcome["status"], None, outcome["rows_imported"]))
         except Exception as failure:
@@ -120,7 +134,7 @@ def load_table_files(
 def product_corpus(rows: DataFrame, encode: Encoder | None = None) -> DataFrame:
     """Untyped catalogue cells to typed products with context text and vector; rows without a vector drop out."""
     encode = encode or hashed()
-    products = as_products(rows)
+    products = spread(as_products(rows))
     context = full_text_context(
         F.col("ProductName"), F.col("Category"), F.col("Description"), F.col("Price").cast("decimal(18,2)")
     )

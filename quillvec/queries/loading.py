@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillvec.functions.vector import vector_from_json
 from quillvec.operators import stats
 from quillvec.operators.ids import assign_ids, next_id
 from quillvec.plans import load
@@ -123,7 +124,8 @@ def row_numbers(spark, sf):
 CORPUS_SQL = f"""WITH {FIXED}, numbered AS (
   SELECT *, row_number() OVER (ORDER BY file_name, page_number, pos) AS id FROM fixed),
 {hash_counts("content", "id", "numbered")}
-SELECT n.id, n.file_name, n.page_number, n.id - 1 AS chunk_index, n.content, count(*) AS buckets, 256 AS dim
+SELECT n.id, n.file_name, n.page_number, n.id - 1 AS chunk_index, n.content, count(*) AS buckets, 256 AS dim,
+       256 AS json_dim
 FROM numbered n JOIN weights w USING (id) GROUP BY ALL"""
 
 
@@ -131,12 +133,12 @@ FROM numbered n JOIN weights w USING (id) GROUP BY ALL"""
 def load_chunks(spark, sf):
     """Pages to a stored corpus of numbered, encoded chunks."""
     target = scratch_path(spark, "chunks")
-    load.load_chunks(inputs.pages(spark, sf), target, method="fixed")
+    load.load_chunks(inputs.pages(spark, sf), target, method="fixed", json_copy=True)
     rows = readers.load_corpus(spark, target)
     buckets = F.size(F.filter("embedding", lambda x: x != 0)).cast("long")
     return rows.select(
         "id", "file_name", "page_number", "chunk_index", "content", buckets.alias("buckets"),
-        F.size("embedding").alias("dim"),
+        F.size("embedding").alias("dim"), F.size(vector_from_json(F.col("vector_json"))).alias("json_dim"),
     )
 
 

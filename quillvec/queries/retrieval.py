@@ -9,6 +9,7 @@ from quillvec.plans.answer import answer_prompts
 from quillvec.queries import inputs
 from quillvec.queries.inputs import CHUNKS, FILLED, HITS, hash_counts
 from quillvec.queries.registry import query
+from quillvec.session import spread
 
 # Every vector asks the chunk corpus; hits joined to the filled chunk columns.
 FOUND = f"""WITH {HITS}, {FILLED}, found AS (
@@ -170,7 +171,7 @@ def _conversation_requests(spark, sf):
 
 def document_corpus(spark, sf):
     """Whole documents as rows, encoded by token hashes."""
-    docs = inputs.table(spark, sf, "documents")
+    docs = spread(inputs.table(spark, sf, "documents"))
     return docs.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("content"),

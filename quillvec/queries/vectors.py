@@ -164,7 +164,7 @@ def dimension_check(spark, sf):
 cells AS (
   SELECT id, generate_subscripts(v, 1) - 1 AS pos, unnest(v)::DOUBLE AS x FROM scaled),
 norms AS (SELECT id, pos, x, sqrt(sum(x * x) OVER (PARTITION BY id)) AS n FROM cells)
-SELECT id, pos::INTEGER AS pos, round(CASE WHEN n = 0 THEN 0.0 ELSE x / n END, 4) + 0.0 AS x FROM norms""")
+SELECT id, pos::INTEGER AS pos, round(CASE WHEN n = 0 THEN 0.0 ELSE (x / n)::FLOAT::DOUBLE END, 4) + 0.0 AS x FROM norms""")
 def l2_normalized(spark, sf):
     scaled = F.transform("embedding", lambda x: (x.cast("double") * (F.col("id") % 4)).cast("float"))
     unit = V.l2_normalize(F.col("v"))

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from quillvec.operators.chunks import chunk_pages
 from quillvec.operators.clean import nonblank_text
 from quillvec.plans.load import hashed
+from quillvec.session import spread
 from quillvec.sources.readers import as_pages
 
 
@@ -20,7 +21,7 @@ def corpus_of_pages(
 ) -> DataFrame:
     """Row-wise corpus, the same for batch and stream: ids are hashes of (file, page, pos), not running numbers."""
     encode = encode or hashed()
-    chunks = nonblank_text(chunk_pages(pages, method, **sizes), "content")
+    chunks = nonblank_text(chunk_pages(spread(pages), method, **sizes), "content")
     return chunks.select(
         F.xxhash64("file_name", "page_number", "pos").alias("id"),
         "content",
