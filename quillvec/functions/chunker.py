@@ -91,4 +91,5 @@ def chunk_recursive(
     def split_pages(pages: pd.Series) -> pd.Series:
         return pages.map(lambda page: split_text(page, size, overlap, marks) if page else [])
 
-    return split_pages(text)
+    # Non-deterministic to the optimizer, which would otherwise repeat the call in filters it derives.
+    return split_pages.asNondeterministic()(text)

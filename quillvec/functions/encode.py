@@ -49,6 +49,9 @@ def hashed_vector(text: Column, dim: int = HASH_DIM) -> Column:
     document never leaves its partition.
     """
 
+    # Marked non-deterministic here and below so that the optimizer neither repeats the call nor pushes
+    # filters on its result beneath it.
+
     @F.arrow_udf(ArrayType(FloatType(), False))
     def densify(buckets: pa.Array) -> pa.Array:
         rows = len(buckets)
@@ -59,7 +62,7 @@ def hashed_vector(text: Column, dim: int = HASH_DIM) -> Column:
         offsets = pa.array(np.arange(0, rows * dim + 1, dim), type=pa.int32())
         return pa.ListArray.from_arrays(offsets, unit)
 
-    dense = densify(F.when(not_blank(text), token_buckets(text, dim)))
+    dense = densify.asNondeterministic()(F.when(not_blank(text), token_buckets(text, dim)))
     return F.when(not_blank(text), dense)
 
 
@@ -85,7 +88,7 @@ def hashed_encoder(dim: int = HASH_DIM) -> EncoderFactory:
 def vectorize(text: Column, factory: EncoderFactory, batch_size: int = const.ENCODE_BATCH) -> Column:
     """Vector of each text by the encoder, in batches; null for blank text, always aligned with its row."""
     encode = predict_batch_udf(factory, return_type=ArrayType(FloatType()), batch_size=batch_size)
-    return F.when(not_blank(text), encode(F.coalesce(text, F.lit(""))))
+    return F.when(not_blank(text), encode.asNondeterministic()(F.coalesce(text, F.lit(""))))
 
 
 def vectorize_isolated(
@@ -126,4 +129,4 @@ def vectorize_isolated(
                     rows[i] = row
             yield pd.DataFrame({"vector": [v for v, _ in rows], "error": [e for _, e in rows]})
 
-    return run(F.when(not_blank(text), text))
+    return run.asNondeterministic()(F.when(not_blank(text), text))

@@ -67,7 +67,7 @@ def nearest_cell(embedding: Column, centroids: np.ndarray) -> Column:
             known[rows] = True
         return pa.array(cell, type=pa.int32(), mask=~known)
 
-    return assign(embedding.cast("array<float>"))
+    return assign.asNondeterministic()(embedding.cast("array<float>"))
 
 
 def nearest_cells(embedding: Column, centroids: np.ndarray, probes: int) -> Column:
@@ -84,7 +84,7 @@ def nearest_cells(embedding: Column, centroids: np.ndarray, probes: int) -> Colu
                 out[row] = chosen
         return pa.array(out, type=pa.list_(pa.int32()))
 
-    return choose(embedding.cast("array<float>"))
+    return choose.asNondeterministic()(embedding.cast("array<float>"))
 
 
 def assign_cells(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
