@@ -105,7 +105,8 @@ def table_corpus(
 
 def load_table(rows: DataFrame, location: str, mode: str = "append", **options) -> DataFrame:
     loaded = table_corpus(rows, **options)
-    append_corpus(stamp_load(loaded.rows), location, mode)
+    if loaded.roles.data:
+        append_corpus(stamp_load(loaded.rows), location, mode)
     return loaded.summary()
 
 

@@ -21,7 +21,7 @@ def _real_file(name: Column) -> Column:
 def list_table_files(spark: SparkSession, directory: str, fmt: str = "csv", prefix: str | None = None) -> DataFrame:
     """(path, file, table_name, length) of every table file in a directory, temporary files left out.
 
-    Only the listing is read, not the contents.
+    Only the listing is read, not the contents. Files of zero bytes are not listed.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", FORMAT_GLOBS[fmt]).load(directory)
     return files.select(
@@ -103,7 +103,7 @@ def read_pages(
     """Page text as (source, page, text, file_name); pages count from 0."""
     if fmt == "text":
         # One file per page, named `<document>_<page>.txt`, or a document of one page.
-        whole = spark.read.option("wholetext", True).option("pathGlobFilter", FORMAT_GLOBS[fmt]).text(path)
+        whole = spark.read.option("pathGlobFilter", FORMAT_GLOBS[fmt]).text(path, wholetext=True)
         name = F.col("_metadata.file_name")
         number = F.nullif(F.regexp_extract(name, r"_(\d+)\.[^.]*$", 1), F.lit(""))
         rows = whole.select(
