@@ -17,6 +17,7 @@ from quillvec.operators.scoring import pack_requests
 from quillvec.operators.search import (
     BLOCK_FLOATS,
     BROADCAST_FLOATS,
+    BROADCAST_REQUESTS,
     _ordered,
     _rank,
     _request_size,
@@ -106,7 +107,7 @@ def search_ann(
     )
     asked = asked.withColumn("cells", nearest_cells(F.col("query_vec"), centroids, probes))
     count, floats, widest, wanted = _request_size(asked)
-    if floats <= broadcast_floats:
+    if floats <= broadcast_floats and count <= BROADCAST_REQUESTS:
         table = asked.toArrow()
         probed = sorted({cell for cells in table.column("cells").to_pylist() for cell in cells})
         reached = indexed.filter(F.col("cell").isin(probed)) if len(probed) < len(centroids) else indexed

@@ -19,11 +19,17 @@ from quillvec import constants as const
 from quillvec.functions.vector import cosine_similarity, has_embedding
 from quillvec.operators.scoring import PARTIAL_SCHEMA, PairRule, Scorer, pack_requests
 
-# Requests travel to every task only below this many floats (64 MB); ranked rows only below this many rows.
+# Requests travel to every task only below this many floats (64 MB) and rows.
 BROADCAST_FLOATS = 16_000_000
+BROADCAST_REQUESTS = 200_000
+# Ranked rows are broadcast to fetch their payload only below this many rows.
 BROADCAST_ROWS = 500_000
-# Block sizes of the cogroup path, in floats per side.
-BLOCK_FLOATS = 8_000_000
+# Winners of a single search are looked up by a pushed-down id list up to this many.
+LOOKUP_IDS = 1_000
+# Block sizes of the cogroup path, in floats: 128 MB of corpus meets 64 MB of requests. The corpus is shuffled
+# once per request block and the requests once per corpus block.
+BLOCK_FLOATS = 32_000_000
+REQUEST_BLOCK_FLOATS = 16_000_000
 
 
 def default_requests(requests: DataFrame, top_k: int, threshold: float) -> DataFrame:
@@ -97,7 +103,7 @@ def _blocks(
     side = _scan_side(corpus, [rule.corpus_col for rule in rules])
     dim = max(1, floats // max(1, count))
     corpus_blocks = max(1, -(-side.count() * dim // BLOCK_FLOATS))
-    request_blocks = max(1, -(-floats // BLOCK_FLOATS))
+    request_blocks = max(1, -(-floats // REQUEST_BLOCK_FLOATS))
     cut = side.withColumn("_cb", F.pmod(F.xxhash64("id", "part"), F.lit(corpus_blocks)).cast("int")).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0), F.lit(request_blocks - 1)))
     )
@@ -127,7 +133,7 @@ def _partials(
     """(partial results, widest top_k, sum of top_k)."""
     count, floats, widest, wanted = _request_size(requests)
     params = list(dict.fromkeys(rule.request_col for rule in rules))
-    if floats <= broadcast_floats:
+    if floats <= broadcast_floats and count <= BROADCAST_REQUESTS:
         asked = requests.select("query_id", "query_vec", "top_k", "threshold", *params).toArrow()
         return _scan(corpus, pack_requests(asked, params), metric, totals, rules), widest, wanted
     return _blocks(corpus, requests, floats, count, metric, totals, rules), widest, wanted
@@ -181,7 +187,11 @@ def search_topk(
     threshold: float = const.SEARCH_THRESHOLD,
     payload: Sequence[str] = (),
 ) -> DataFrame:
-    """One query: id, similarity and payload of the best `top_n` rows at or above the threshold."""
+    """One query: id, similarity and payload of the best `top_n` rows at or above the threshold, best first.
+
+    The payload of a short result is fetched by an id list that reaches the scan, so row groups without a
+    winner are skipped; the ranking runs when the function is called.
+    """
     asked = pa.table(
         {
             "query_id": pa.array([0], pa.int64()),
@@ -192,6 +202,10 @@ def search_topk(
     )
     partials = _scan(corpus, pack_requests(asked), "cosine", False, ())
     best = partials.orderBy(F.desc("score"), "id").limit(top_n).select("part", "id", F.col("score").alias("similarity"))
+    if payload and top_n <= LOOKUP_IDS:
+        winners = best.toArrow()
+        best = corpus.sparkSession.createDataFrame(winners)
+        corpus = corpus.filter(F.col("id").isin(winners.column("id").to_pylist()))
     found = attach(best, corpus, payload, top_n).select("id", "similarity", *payload)
     return found.orderBy(F.desc("similarity"), "id")
 

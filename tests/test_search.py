@@ -62,6 +62,7 @@ def drop_nan(rows):
 @pytest.mark.parametrize("floats", [search.BROADCAST_FLOATS, -1])
 def test_equals_brute_force_with_copies(spark, skewed, monkeypatch, floats):
     monkeypatch.setattr(search, "BLOCK_FLOATS", 600)
+    monkeypatch.setattr(search, "REQUEST_BLOCK_FLOATS", 300)
     rows, asks = skewed
     corpus, requests = frames(spark, rows, asks)
     found = search.search_batch(corpus, requests, totals=True, broadcast_floats=floats)
@@ -136,6 +137,11 @@ def test_search_topk_order(spark):
     rows = [(5, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.9, 0.1]), (9, [0.0, 1.0])]
     corpus = spark.createDataFrame(rows, CORPUS)
     assert [r.id for r in search.search_topk(corpus, [1.0, 0.0], 3, 0.1).collect()] == [3, 5, 4]
+    noted = corpus.withColumn("note", F.concat(F.lit("n"), F.col("id")))
+    for limit in (3, 2000):
+        found = search.search_topk(noted, [1.0, 0.0], limit, 0.1, ["note"]).collect()
+        assert [(r.id, r.note) for r in found] == [(3, "n3"), (5, "n5"), (4, "n4")]
+    assert search.search_topk(noted, [1.0, 0.0], 3, 2.0, ["note"]).count() == 0
 
 
 def test_l2_matches_brute_force(spark, skewed):
