@@ -89,10 +89,19 @@ def nearest_cells(embedding: Column, centroids: np.ndarray, probes: int) -> Colu
 
 
 def assign_cells(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """The corpus with its `cell`. Written with partitionBy('cell'), a search reads the probed cells only."""
+    """The corpus with its `cell`."""
     return corpus.withColumn("cell", nearest_cell(F.col("embedding"), centroids))
 
 
+def cluster_by_cell(assigned: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows in cell order, ready to be written: a search then skips files and row groups without a probed cell.
+
+    The id hash in the range key lets a cell with a large share of the rows spread over many files.
+    """
+    count = partitions or int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return assigned.repartitionByRange(count, "cell", F.xxhash64("id")).sortWithinPartitions("cell")
+
+
 def search_ann(
     indexed: DataFrame,
     requests: DataFrame,

@@ -3,6 +3,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillvec.functions import encode, text
+from quillvec.functions.chunker import chunk_recursive as chunk_recursive_of
+from quillvec.functions.sql import register_functions
 from quillvec.operators import chunks, stats
 from quillvec.operators.clean import nonblank_text
 from quillvec.operators.present import keyword_match
@@ -15,6 +17,15 @@ from quillvec.session import spread
 DIM = 256
 
 
+def _nonzero(rows, key):
+    cells = rows.select(key, F.posexplode("embedding").alias("bucket", "w")).filter("w <> 0")
+    return cells.select(key, "bucket", F.round(F.col("w").cast("double"), 5).alias("w"))
+
+
+VECTOR_SQL = f"""WITH {hash_counts("text", "doc_id", "documents")}
+SELECT doc_id, bucket, round(w::FLOAT::DOUBLE, 5) AS w FROM weights"""
+
+
 @query("chunk_fixed", f"WITH {FIXED} SELECT file_name, page_number, pos, content FROM fixed")
 def chunk_fixed(spark, sf):
     return chunks.chunk_pages(inputs.pages(spark, sf), "fixed")
@@ -35,6 +46,27 @@ def chunk_recursive(spark, sf):
     return chunks.chunk_pages(inputs.pages(spark, sf), "recursive")
 
 
+@query("chunk_recursive_cover", """SELECT doc_id::INTEGER AS page_number, md5(regexp_replace(text, '\\s', '', 'g')) AS letters,
+  length(regexp_replace(text, '\\s', '', 'g')) AS n_letters FROM documents""")
+def chunk_recursive_cover(spark, sf):
+    """Without overlap the chunks of a page hold each of its letters once, in order."""
+    page = inputs.pages(spark, sf).select("page", "text")
+    joined = F.array_join(chunk_recursive_of(F.col("text"), 300, 0), "")
+    letters = F.regexp_replace(joined, r"\s", "")
+    return page.select(
+        F.col("page").alias("page_number"), F.md5(letters).alias("letters"),
+        F.char_length(letters).cast("long").alias("n_letters"),
+    )
+
+
+@query("sql_embeddings", VECTOR_SQL)
+def sql_embeddings(spark, sf):
+    """The encoder called from SQL text."""
+    register_functions(spark, encode.hashed_encoder(DIM))
+    spread(inputs.table(spark, sf, "documents")).createOrReplaceTempView("quillvec_documents")
+    return _nonzero(spark.sql("SELECT doc_id, generate_embeddings(text) AS embedding FROM quillvec_documents"), "doc_id")
+
+
 @query("chunk_turns")
 def chunk_turns(spark, sf):
     """Conversations as files, turns as pages, in small chunks."""
@@ -59,15 +91,6 @@ def loaded_files(spark, sf):
     return stats.loaded_files(chunks.chunk_pages(inputs.pages(spark, sf), "fixed"))
 
 
-def _nonzero(rows, key):
-    cells = rows.select(key, F.posexplode("embedding").alias("bucket", "w")).filter("w <> 0")
-    return cells.select(key, "bucket", F.round(F.col("w").cast("double"), 5).alias("w"))
-
-
-VECTOR_SQL = f"""WITH {hash_counts("text", "doc_id", "documents")}
-SELECT doc_id, bucket, round(w::FLOAT::DOUBLE, 5) AS w FROM weights"""
-
-
 @query("vectorize_hashed", VECTOR_SQL)
 def vectorize_hashed(spark, sf):
     docs = spread(inputs.table(spark, sf, "documents"))

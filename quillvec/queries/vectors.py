@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillvec.functions import vector as V
+from quillvec.functions.sql import register_functions
 from quillvec.operators import ann, search
 from quillvec.operators.clean import resolve_content
 from quillvec.operators.present import similarity_4dp
@@ -320,10 +321,47 @@ def filter_selected(spark, sf):
     return search.restrict_to_selection(found, asked).select("query_id", "id", "rank")
 
 
+CELLS = 16
+
+
+def _cells(spark, sf):
+    """The corpus written with its cells, and the centroids; all rows shape them."""
+    rows = inputs.corpus(spark, sf)
+    centroids = ann.train_cells(rows, CELLS)
+    return settle(ann.cluster_by_cell(ann.assign_cells(rows.drop("label"), centroids)), "cells"), centroids
+
+
 @query("search_ann")
 def search_ann(spark, sf):
-    """Cells from the whole table, written by cell; every vector asks."""
-    rows = inputs.corpus(spark, sf)
-    centroids = ann.train_cells(rows, cells=16)
-    indexed = settle(ann.assign_cells(rows.drop("label"), centroids), "cells")
+    """Every vector asks its six nearest cells."""
+    indexed, centroids = _cells(spark, sf)
     return ranked_4dp(ann.search_ann(indexed, inputs.requests(spark, sf), centroids, probes=6))
+
+
+@query("search_ann_every_cell", RANKED_SQL)
+def search_ann_every_cell(spark, sf):
+    """With all cells probed the approximate search is exact."""
+    indexed, centroids = _cells(spark, sf)
+    return ranked_4dp(ann.search_ann(indexed, inputs.requests(spark, sf), centroids, probes=CELLS))
+
+
+@query("ann_recall")
+def ann_recall(spark, sf):
+    indexed, centroids = _cells(spark, sf)
+    asked = inputs.requests(spark, sf)
+    exact = search.search_batch(inputs.corpus(spark, sf), asked)
+    return ann.recall_at_k(ann.search_ann(indexed, asked, centroids, probes=6), exact)
+
+
+@query("sql_functions", """WITH nxt AS (SELECT vec_id - 1 AS id, embedding::DOUBLE[] AS b FROM embeddings)
+SELECT e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], b), 4) AS similarity,
+       round(1.0 - list_cosine_similarity(e.embedding::DOUBLE[], b), 4) AS distance
+FROM embeddings e JOIN nxt ON e.vec_id = nxt.id""")
+def sql_functions(spark, sf):
+    """The vector functions called from SQL text."""
+    register_functions(spark)
+    inputs.corpus(spark, sf).createOrReplaceTempView("quillvec_rows")
+    return spark.sql("""
+        SELECT a.id, round(cosine_similarity(a.embedding, b.embedding), 4) AS similarity,
+               round(cosine_distance(a.embedding, b.embedding), 4) AS distance
+        FROM quillvec_rows a JOIN quillvec_rows b ON a.id = b.id - 1""")

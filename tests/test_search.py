@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillvec.operators import ann, search
-from quillvec.operators.search import PairRule
+from quillvec.session import settle
 
 CORPUS = "id long, embedding array<float>"
 REQUESTS = "query_id long, query_vec array<float>, top_k int, threshold double"
@@ -230,7 +230,7 @@ def test_ann(spark, skewed, monkeypatch, floats):
     rows, asks = skewed
     corpus, requests = frames(spark, drop_nan(rows), asks)
     centroids = ann.train_cells(corpus.filter(F.size("embedding") == 24), 8)
-    indexed = ann.assign_cells(corpus, centroids)
+    indexed = settle(ann.cluster_by_cell(ann.assign_cells(corpus, centroids), 5), "cells")
     asked = requests.filter(F.size("query_vec") == 24)
     every = ann.search_ann(indexed, asked, centroids, probes=8, broadcast_floats=floats)
     exact = search.search_batch(corpus, asked)
