@@ -35,11 +35,16 @@ TEMP_FILE_PREFIX = "~$"
 DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
-    "dd-MM-yyyy",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-M-d",
+    "yyyy/M/d",
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "d-M-yyyy",
+    "M/d/yyyy H:mm:ss",
+    "d/M/yyyy H:mm:ss",
+    "d MMM yyyy",
+    "MMM d, yyyy",
 ]
 
 # --- fixed values: catalogue columns ------------------------------------------------------------

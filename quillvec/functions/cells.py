@@ -26,9 +26,11 @@ def to_int(c: Column, source_type: str) -> Column:
 
 
 def to_decimal(c: Column, source_type: str) -> Column:
-    """Decimal cell; text may carry thousands separators."""
+    """Decimal cell; text may carry thousands separators, a trailing sign or parentheses for a negative amount."""
     if source_type == "string":
-        return F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
+        digits = F.regexp_replace(c, r"[,\s]", "")
+        signed = F.regexp_replace(digits, r"^(?:\((.*)\)|(.*)-)$", "-$1$2")
+        return signed.try_cast("decimal(18,2)")
     return c.try_cast("decimal(18,2)")
 
 

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 
 REQUEST_BLOCK = 512
 RESCORE_FLOATS = 4_000_000
+# More candidates than this many times the wanted rows point to copies.
+COPY_CHECK = 4
 PARTIAL_SCHEMA = "query_id long, part int, id long, score double, matched long, top_k int"
 
 
@@ -122,6 +124,19 @@ class CorpusRows:
     lengths: np.ndarray
     unit: np.ndarray
     columns: dict[str, pa.Array]
+    _copies: tuple[np.ndarray, np.ndarray] | None = None
+
+    def copies(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the distinct vector of each row, place of each row among its copies by part and id)."""
+        if self._copies is None:
+            width = self.matrix.shape[1] * self.matrix.itemsize
+            raw = np.ascontiguousarray(self.matrix).view(np.dtype((np.void, width))).ravel()
+            _, group = np.unique(raw, return_inverse=True)
+            order = np.lexsort((self.ids, self.parts, group))
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order)) - np.searchsorted(group[order], group[order], side="left")
+            self._copies = group, place
+        return self._copies
 
     def pick(self, rows: np.ndarray) -> CorpusRows:
         return CorpusRows(
@@ -203,6 +218,10 @@ class Ranking:
             own = np.partition(rough, rows - widest, axis=1)[:, rows - widest, None]
             cut = np.maximum(cut, own)
         q, c = np.nonzero((rough >= cut - slack) & (rough > -np.inf))
+        if len(q) > COPY_CHECK * widest * len(members) and allowed is None:
+            # Mostly copies of one vector: of equal rows only the first `widest` by id can rank.
+            first = corpus.copies()[1][c] < widest
+            q, c = q[first], c[first]
         if not len(q):
             return
         score = self._exact(corpus, requests, q, c)
@@ -224,12 +243,11 @@ class Ranking:
         """float64 scores of the listed pairs; the sum order depends on the dimension only."""
         step = max(1, RESCORE_FLOATS // corpus.matrix.shape[1])
         if len(q) > step:
-            # Many pairs near one cut are mostly copies of one vector: score each distinct row once.
-            distinct, copy_of = np.unique(corpus.matrix, axis=0, return_index=False, return_inverse=True)
-            if len(distinct) < len(corpus.matrix):
-                pair, place = np.unique(q * len(distinct) + copy_of.ravel()[c], return_inverse=True)
-                slim = CorpusRows(corpus.ids, corpus.parts, distinct, _lengths(distinct), distinct, {})
-                return self._exact_rows(slim, requests, pair // len(distinct), pair % len(distinct), step)[place]
+            # Score each distinct vector once per request.
+            group = corpus.copies()[0]
+            pair, sample, place = np.unique(q * (group.max() + 1) + group[c], return_index=True, return_inverse=True)
+            if len(pair) < len(q):
+                return self._exact_rows(corpus, requests, q[sample], c[sample], step)[place]
         return self._exact_rows(corpus, requests, q, c, step)
 
     def _exact_rows(self, corpus, requests, q, c, step) -> np.ndarray:

@@ -296,6 +296,19 @@ def test_append_and_evolve(spark, tmp_path):
         sinks.append_corpus(one, path, "ignore")
 
 
+def test_saved_table(spark):
+    import uuid
+
+    name = f"t_{uuid.uuid4().hex}"
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, x string")
+    sinks.append_corpus(rows, name, table=True, dedupe_key=["id"])
+    sinks.append_corpus(rows, name, table=True, dedupe_key=["id"])
+    assert readers.load_corpus(spark, name, table=True).count() == 2
+    sinks.append_corpus(rows, name, "overwrite", table=True)
+    assert readers.load_corpus(spark, name, table=True).count() == 3
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_stream_equals_batch_and_takes_new_files_only(spark, tmp_path):
     inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
     pages = spark.createDataFrame(

@@ -203,10 +203,15 @@ def test_cells(one_row):
         month_first=cells.to_timestamp(s("03/04/2023"), "string").cast("string"),
         bare=cells.to_timestamp(s("20240102"), "string"),
         micro=cells.to_timestamp(s("2024-02-28 01:02:03.123456"), "string").cast("string"),
-        dbl=cells.to_double(s("x1")),
+        dbl=cells.to_double(s("x1")), owed=cells.to_decimal(s("(5.25)"), "string").cast("string"),
+        short=cells.to_timestamp(s("5/7/2023"), "string").cast("string"),
+        named=cells.to_timestamp(s("Mar 9, 2021"), "string").cast("string"),
+        minus=cells.to_decimal(s(" 1,005- "), "string").cast("string"),
     )
     assert (r.trunc, r.neg, r.frac, r.good, r.word) == (3, -3, None, 42, None)
     assert r.money == "1234.50" and r.junk is None
     assert r.day is None and r.bare is None and r.dbl is None
+    assert (r.owed, r.minus) == ("-5.25", "-1005.00")
+    assert (r.short, r.named) == ("2023-05-07 00:00:00", "2021-03-09 00:00:00")
     assert r.iso == "2024-02-28 01:02:03" and r.slash == "2023-12-31 00:00:00"
     assert r.month_first == "2023-03-04 00:00:00" and r.micro == "2024-02-28 01:02:03"
