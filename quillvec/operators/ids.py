@@ -22,16 +22,19 @@ def next_id(existing: DataFrame | None, column: str = "id") -> int:
 def assign_ids(
     df: DataFrame, order_by: Sequence[str], column: str = "id", start: int = 1, partitions: int | None = None
 ) -> DataFrame:
-    """Consecutive numbers by a unique row order, starting at `start`.
+    """Consecutive numbers by row order, starting at `start`; rows equal in the order keep their input order.
 
-    Rows are range-partitioned on the whole order key, so one hot file spreads over many partitions. Each
-    partition's rows are written once with their place in it; running offsets come from one count per
-    partition, a table no longer than the partition number.
+    Rows are range-partitioned on the order key and their input place, so one hot file, or a third of all rows
+    with the same key, spreads over many partitions. Each partition's rows are written once with their place
+    in it; running offsets come from one count per partition, a table no longer than the partition number.
     """
     count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*order_by, "_tie"]
     placed = (
-        df.repartitionByRange(count, *order_by)
-        .sortWithinPartitions(*order_by)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(count, *order)
+        .sortWithinPartitions(*order)
+        .drop("_tie")
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
     )

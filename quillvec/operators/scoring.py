@@ -214,10 +214,11 @@ class Ranking:
         rows = rough.shape[1]
         widest = int(requests.top_k.max())
         cut = np.maximum(threshold, self.floor[members][:, None])
-        if 0 < widest < rows:
+        near = rough >= cut - slack
+        if 0 < widest < rows and np.count_nonzero(near) > COPY_CHECK * widest * len(members):
             own = np.partition(rough, rows - widest, axis=1)[:, rows - widest, None]
-            cut = np.maximum(cut, own)
-        q, c = np.nonzero((rough >= cut - slack) & (rough > -np.inf))
+            near = rough >= np.maximum(cut, own) - slack
+        q, c = np.nonzero(near & (rough > -np.inf))
         if len(q) > COPY_CHECK * widest * len(members) and allowed is None:
             # Mostly copies of one vector: of equal rows only the first `widest` by id can rank.
             first = corpus.copies()[1][c] < widest

@@ -350,8 +350,8 @@ def retrieve_selected(
         .join(asked.select("query_id", "query_vec", "threshold", "id"), "id")
         .filter(F.size("query_vec") == F.size("embedding"))
         .withColumn("similarity", similarity)
-        .filter(F.col("similarity") >= F.col("threshold"))
     )
+    pairs = pairs.filter(F.col("similarity") >= F.col("threshold"))
     best_first = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return pairs.withColumn("rank", F.row_number().over(best_first)).select(
         "query_id", "id", "rank", "similarity", *payload

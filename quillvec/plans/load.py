@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec import constants as const
 from quillvec.functions.encode import HASH_DIM, hashed_vector
 from quillvec.functions.text import combined_text, full_text_context
 from quillvec.functions.vector import has_embedding, vector_to_json
 from quillvec.operators import clean, stats
 from quillvec.operators.chunks import chunk_metadata
-from quillvec.session import settle, spread
+from quillvec.operators.ids import assign_ids, next_id
+from quillvec.session import settle
 from quillvec.sources.readers import as_products, list_table_files, read_table_files
-from quillvec.sources.sinks import append_corpus, stamp_load
+from quillvec.sources.sinks import append_corpus, stamp_load, stored
 
 Encoder = Callable[[Column], Column]
 
@@ -53,11 +54,18 @@ def _with_json(rows: DataFrame) -> DataFrame:
     return rows.withColumn("vector_json", vector_to_json(F.col("embedding")))
 
 
+def _first_id(spark: SparkSession, location: str, mode: str) -> int:
+    """Ids go on from the largest one stored."""
+    return next_id(stored(spark, location)) if mode == "append" else 1
+
+
 def load_chunks(pages: DataFrame, location: str, mode: str = "append", **options) -> DataFrame:
-    """Run `chunk_corpus` into a Parquet corpus and return the one-row load summary."""
-    corpus = stamp_load(chunk_corpus(pages, **options))
-    append_corpus(corpus, location, mode)
-    return stats.chunk_load_summary(pages, pages.sparkSession.read.parquet(location))
+    """Run `chunk_corpus` into a Parquet corpus and return the one-row summary of this load."""
+    first = _first_id(pages.sparkSession, location, mode)
+    corpus = chunk_corpus(pages, first_id=first, **options)
+    append_corpus(stamp_load(corpus), location, mode)
+    # The numbered chunks are settled, so this reads their file names and does not encode again.
+    return stats.chunk_load_summary(pages, corpus)
 
 
 @dataclass
@@ -86,9 +94,13 @@ def clean_sheet(rows: DataFrame) -> DataFrame:
 
 
 def table_corpus(
-    rows: DataFrame, encode: Encoder | None = None, keep_short: bool = False, json_copy: bool = False
+    rows: DataFrame,
+    encode: Encoder | None = None,
+    keep_short: bool = False,
+    json_copy: bool = False,
+    first_id: int = 1,
 ) -> LoadedTable:
-    """A sheet (with source_file and row_index) to stored rows.
+    """A sheet (with source_file and row_index) to stored rows, numbered in sheet order.
 
     Text and vector are computed in the row they belong to; a row without text keeps a null vector.
     """
@@ -96,52 +108,65 @@ def table_corpus(
     sheet = clean_sheet(rows)
     roles = clean.infer_column_roles(sheet, "row_index", skip=PROVENANCE, keep_short=keep_short)
     dense = clean.drop_low_density(clean.coerce_by_role(sheet, roles, PROVENANCE), roles.data)
+    if roles.data:
+        dense = assign_ids(dense, PROVENANCE, "id", first_id)
     text = F.nullif(combined_text(roles.text), F.lit(""))
-    combined = spread(dense).withColumn("combined_text", text)
+    combined = dense.withColumn("combined_text", text)
     vector = encode(F.col("combined_text")) if roles.text else F.lit(None).cast("array<float>")
-    stored = combined.withColumn("embedding", vector)
-    return LoadedTable(_with_json(stored) if json_copy else stored, rows, roles)
+    kept = combined.withColumn("embedding", vector)
+    return LoadedTable(_with_json(kept) if json_copy else kept, rows, roles)
 
 
 def load_table(rows: DataFrame, location: str, mode: str = "append", **options) -> DataFrame:
-    loaded = table_corpus(rows, **options)
+    loaded = table_corpus(rows, first_id=_first_id(rows.sparkSession, location, mode), **options)
     if loaded.roles.data:
         append_corpus(stamp_load(loaded.rows), location, mode)
     return loaded.summary()
 
 
 def load_table_files(
-    spark: SparkSession, directory: str, target: str, fmt: str = "csv", prefix: str | None = None, header_row: int = 0
+    spark: SparkSession,
+    directory: str,
+    target: str,
+    fmt: str = "csv",
+    prefix: str | None = None,
+    header_row: int = 0,
+    at_once: int = 4,
 ) -> DataFrame:
     """Load every table file of a directory into a table of its own; one result row per file.
 
-    The file list drives one job per file, as each file has its own columns; a failing file is reported and
-    the others go on.
+    Each file has its own columns and so its own jobs; a few files load at once. A failing file is reported
+    and the others go on.
     """
-    results = []
-    for item in list_table_files(spark, directory, fmt, prefix).orderBy("file").toLocalIterator():
+
+    def load_one(item: Row) -> tuple:
         try:
             # Cleaning, roles, load and summary each scan the rows: parse the text once.
             rows = settle(read_table_files(spark, item["path"], fmt, header_row), "sheet")
-            outcome = load_table(rows, f"{target}/{item['table_name']}", "append").first()
-            results.append((item["file"], item["table_name"], outcome["status"], None, outcome["rows_imported"]))
+            outcome = load_table(rows, f"{target}/{item['table_name']}").first()
+            return item["file"], item["table_name"], outcome["status"], None, outcome["rows_imported"]
         except Exception as failure:
-            results.append((item["file"], item["table_name"], "error", str(failure)[:500], 0))
+            return item["file"], item["table_name"], "error", str(failure)[:500], 0
+
+    files = list_table_files(spark, directory, fmt, prefix).orderBy("file")
+    with ThreadPoolExecutor(at_once) as pool:
+        results = list(pool.map(load_one, files.toLocalIterator()))
     return spark.createDataFrame(
         results, "file string, table_name string, status string, error string, rows_imported long"
     )
 
 
-def product_corpus(rows: DataFrame, encode: Encoder | None = None) -> DataFrame:
-    """Untyped catalogue cells to typed products with context text and vector; rows without a vector drop out."""
+def product_corpus(rows: DataFrame, encode: Encoder | None = None, first_id: int = 1) -> DataFrame:
+    """Untyped catalogue cells to numbered products with context text and vector; rows without a vector drop out."""
     encode = encode or hashed()
-    products = spread(as_products(rows))
+    products = assign_ids(as_products(rows), ["ProductId"], "id", first_id)
     context = full_text_context(
         F.col("ProductName"), F.col("Category"), F.col("Description"), F.col("Price").cast("decimal(18,2)")
     )
     described = products.withColumn("full_text_context", context)
     vectors = described.withColumn("embedding", encode(F.col("full_text_context")))
     return vectors.filter(has_embedding(F.col("embedding"))).select(
+        "id",
         F.col("ProductId").alias("product_id"),
         F.col("ProductName").alias("product_name"),
         F.col("Category").alias("category"),
@@ -156,6 +181,7 @@ def product_corpus(rows: DataFrame, encode: Encoder | None = None) -> DataFrame:
 
 def load_products(rows: DataFrame, location: str, mode: str = "append", encode: Encoder | None = None) -> DataFrame:
     """Run `product_corpus` into Parquet and return the one-row check of source against target."""
-    append_corpus(stamp_load(product_corpus(rows, encode)), location, mode)
-    stored = rows.sparkSession.read.parquet(location)
-    return stats.verify_load(as_products(rows).withColumnRenamed("ProductId", "product_id"), stored, "product_id")
+    spark = rows.sparkSession
+    append_corpus(stamp_load(product_corpus(rows, encode, _first_id(spark, location, mode))), location, mode)
+    source = as_products(rows).withColumnRenamed("ProductId", "product_id")
+    return stats.verify_load(source, spark.read.parquet(location), "product_id")

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quillvec.functions.vector import vector_from_json
@@ -144,10 +147,10 @@ def load_chunks(spark, sf):
 
 # Roles of the sheet: text who, kind, note; numeric amount; datetime happened; code is too short to count.
 TABLE_SQL = f"""WITH {SHEET}, dense AS (
-  SELECT *, concat_ws(' | ', 'who: ' || who, 'kind: ' || kind, 'note: ' || note) AS combined
+  SELECT *, row_number() OVER (ORDER BY row_index) AS id, concat_ws(' | ', 'who: ' || who, 'kind: ' || kind, 'note: ' || note) AS combined
   FROM filled_cells WHERE n_cells >= 3),
 {hash_counts("combined", "row_index", "dense")}
-SELECT d.row_index, 'events.csv' AS source_file, who, kind, note, amount, happened, combined AS combined_text,
+SELECT any_value(d.id) AS id, d.row_index, 'events.csv' AS source_file, who, kind, note, amount, happened, combined AS combined_text,
        count(*) AS buckets FROM dense d JOIN weights w USING (row_index) GROUP BY ALL"""
 
 
@@ -156,7 +159,7 @@ def load_table(spark, sf):
     """An untidy sheet to stored rows: cleaned, typed by role, combined and encoded."""
     rows = load.table_corpus(inputs.sheet(spark, sf)).rows
     return rows.select(
-        "row_index", "source_file", "who", "kind", "note", "amount",
+        "id", "row_index", "source_file", "who", "kind", "note", "amount",
         F.date_format("happened", "yyyy-MM-dd HH:mm:ss").alias("happened"), "combined_text",
         F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("buckets"),
     )
@@ -173,16 +176,16 @@ def table_load_summary(spark, sf):
 
 
 @query("load_products", f"""WITH {TYPED_PRODUCTS}, described AS (
-  SELECT *, concat_ws('. ', 'Product: ' || product_name, 'Category: ' || category, 'Description: ' || description,
+  SELECT *, row_number() OVER (ORDER BY product_id) AS id, concat_ws('. ', 'Product: ' || product_name, 'Category: ' || category, 'Description: ' || description,
             'Price: $' || printf('%,.2f', price::DOUBLE)) || '.' AS context FROM kept),
 {hash_counts("context", "product_id", "described")}
-SELECT d.product_id, d.product_name, d.category, d.price::DOUBLE AS price, d.stock_quantity::INTEGER AS stock_quantity,
+SELECT any_value(d.id) AS id, d.product_id, d.product_name, d.category, d.price::DOUBLE AS price, d.stock_quantity::INTEGER AS stock_quantity,
        d.last_updated, d.context AS full_text_context, count(*) AS buckets
 FROM described d JOIN weights w USING (product_id) GROUP BY ALL""")
 def load_products(spark, sf):
     rows = load.product_corpus(inputs.product_cells(spark, sf))
     return _shown(rows).select(
-        "product_id", "product_name", "category", "price", "stock_quantity", "last_updated", "full_text_context",
+        "id", "product_id", "product_name", "category", "price", "stock_quantity", "last_updated", "full_text_context",
         F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("buckets"),
     )
 
@@ -206,25 +209,28 @@ def batch_load_summary(spark, sf):
     return stats.batch_load_summary(good.unionByName(empty))
 
 
-@query("load_table_files", """SELECT 'type_' || event_type AS table_name, 'success' AS status, NULL::VARCHAR AS error,
-  count(*) AS rows_imported FROM events GROUP BY event_type""")
+@query("load_table_files", """SELECT event_type, 0::BIGINT AS failed, count(*) AS rows_imported FROM events GROUP BY event_type""")
 def load_table_files(spark, sf):
-    """Events written as one CSV file per type; every file becomes a table of its own."""
+    """Events written as one CSV folder per type; every file is loaded into a table of its own."""
     folder, target = scratch_path(spark, "inbox"), scratch_path(spark, "tables")
     rows = inputs.table(spark, sf, "events").select(
-        "event_type",
         F.concat(F.lit("user number "), F.col("user_id").cast("string")).alias("who"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("happened"),
         "value",
+        "event_type",
     )
-    rows.repartition("event_type").write.partitionBy("event_type").option("header", True).csv(folder)
-    results = None
-    for item in rows.select("event_type").distinct().collect():
-        kind = item["event_type"]
+    rows.write.partitionBy("event_type").option("header", True).csv(folder)
+    kinds = [r["event_type"] for r in rows.select("event_type").distinct().collect()]
+
+    def load_kind(kind):
         done = load.load_table_files(spark, f"{folder}/event_type={kind}", f"{target}/{kind}")
-        done = done.withColumn("table_name", F.lit(f"type_{kind}"))
-        results = done if results is None else results.unionByName(done)
-    return results.select("table_name", "status", "error", "rows_imported")
+        return done.withColumn("event_type", F.lit(kind))
+
+    with ThreadPoolExecutor(4) as pool:
+        results = reduce(lambda a, b: a.unionByName(b), pool.map(load_kind, kinds))
+    return results.groupBy("event_type").agg(
+        F.count_if(F.col("status") != "success").alias("failed"), F.sum("rows_imported").alias("rows_imported")
+    )
 
 
 @query("ingest_incremental", f"""WITH {FIXED}
@@ -236,7 +242,10 @@ def incremental(spark, sf):
     arrivals = rows.withColumn("half", F.col("page") % 2)
     for half in (0, 1):
         arrivals.filter(F.col("half") == half).drop("half").write.mode("append").parquet(inbox)
-        ingest_incremental(spark, inbox, target, state, rows.schema, method="fixed").awaitTermination()
+        run = ingest_incremental(
+            spark, inbox, target, state, rows.schema, method="fixed", partitions=spark.sparkContext.defaultParallelism
+        )
+        run.awaitTermination()
     return spark.read.parquet(target).select("file_name", "page_number", "chunk_index", "content")
 
 

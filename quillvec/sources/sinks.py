@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec import constants as const
@@ -27,22 +27,22 @@ def append_corpus(
         raise ValueError("mode is 'append' or 'overwrite'")
     if dedupe_key:
         df = df.dropDuplicates(list(dedupe_key))
-        stored = _stored_keys(df, location, table, dedupe_key) if mode == "append" else None
-        if stored is not None:
-            df = df.join(stored, list(dedupe_key), "left_anti")
+        before = stored(df.sparkSession, location, table) if mode == "append" else None
+        if before is not None:
+            df = df.join(before.select(*dedupe_key), list(dedupe_key), "left_anti")
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(location) if table else writer.parquet(location)
 
 
-def _stored_keys(df: DataFrame, location: str, table: bool, key: Sequence[str]) -> DataFrame | None:
-    spark = df.sparkSession
+def stored(spark: SparkSession, location: str, table: bool = False) -> DataFrame | None:
+    """What a location already holds, or None."""
     if table:
-        return spark.table(location).select(*key) if spark.catalog.tableExists(location) else None
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(location)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(location).select(*key) if files.exists(hadoop) else None
+        return spark.table(location) if spark.catalog.tableExists(location) else None
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.read.option("mergeSchema", True).parquet(location) if files.exists(path) else None
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch_size: int = const.JDBC_BATCH, **options) -> None:

@@ -41,11 +41,13 @@ def ingest_incremental(
     fmt: str = "parquet",
     columns: tuple[str, str, str] = ("source", "page", "text"),
     max_files_per_trigger: int = 1000,
+    partitions: int | None = None,
     **options,
 ) -> StreamingQuery:
     """Start a run over all files that arrived since the last one and stop when they are stored.
 
-    The file sink records its commits, so a run that died is completed, not repeated.
+    The file sink records its commits, so a run that died is completed, not repeated. `partitions` spreads the
+    rows of each batch over that many tasks, for the case of few and large files.
     """
     stream = (
         spark.readStream.schema(schema)
@@ -53,6 +55,8 @@ def ingest_incremental(
         .format(fmt)
         .load(source_dir)
     )
+    if partitions:
+        stream = stream.repartition(partitions)
     corpus = corpus_of_pages(as_pages(stream, *columns), **options)
     return (
         corpus.writeStream.format("parquet")

@@ -257,13 +257,37 @@ def test_sheet_stays_aligned_after_dropped_rows(spark):
     df = spark.createDataFrame(rows, "row_index long, who string, amount double, kind string").withColumn("source_file", F.lit("s.csv"))
     loaded = load.table_corpus(df, json_copy=True)
     out = loaded.rows.collect()
-    assert len(out) == 26
+    assert len(out) == 26 and sorted(r.id for r in out) == list(range(1, 27))
     assert all(r.combined_text == f"who: row number {r.row_index} | kind: category words" for r in out)
     assert all(len(r.embedding) == 256 and r.vector_json for r in out)
     summary = loaded.summary().first()
     assert (summary.total_rows, summary.rows_imported, summary.text_columns) == (40, 26, ["who", "kind"])
 
 
+def test_ids_go_on_between_loads(spark, tmp_path):
+    pages = spark.createDataFrame([("a.pdf", 0, "one two"), ("b.pdf", 0, "three")], "file_name string, page int, text string")
+    where = str(tmp_path / "chunks")
+    for _ in range(2):
+        summary = load.load_chunks(pages, where).first()
+        assert (summary.total_documents, summary.total_chunks, summary.total_files) == (2, 2, 2)
+    stored = spark.read.parquet(where)
+    assert sorted((r.id, r.chunk_index) for r in stored.collect()) == [(1, 0), (2, 1), (3, 0), (4, 1)]
+    cells = spark.createDataFrame([("p2", "Pump", "1.5"), ("p1", "Valve", "x")], "ProductId string, ProductName string, Price string")
+    shelf = str(tmp_path / "shelf")
+    assert load.load_products(cells, shelf).first().complete
+    load.load_products(cells, shelf)
+    assert sorted((r.id, r.product_id) for r in spark.read.parquet(shelf).collect()) == [
+        (1, "p1"), (2, "p2"), (3, "p1"), (4, "p2"),
+    ]
+
+
+def test_rows_with_one_key_spread(spark):
+    df = spark.range(4000, numPartitions=4).select(F.lit("unknown").alias("g"), "id")
+    placed = assign_ids(df, ["g"], "n", partitions=8)
+    assert sorted((r.n, r.id) for r in placed.collect()) == [(i + 1, i) for i in range(4000)]
+    assert placed.rdd.getNumPartitions() >= 4
+
+
 def test_folder_load_reports_failures(spark, tmp_path):
     folder, target = str(tmp_path / "in"), str(tmp_path / "out")
     body = "who,what,amount\n" + "".join(f"person number {i},thing {i},{i}\n" for i in range(20))
