@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.operators.clean import validate_requests
-from quillvec.operators.present import assemble_context, render_prompt, retrieve_context
+from quillvec.operators.present import (
+    CHUNK_PAYLOAD,
+    assemble_context,
+    default_fields,
+    render_prompt,
+    retrieve_context,
+)
 from quillvec.operators.search import retrieve_multi_table, retrieve_selected
-from quillvec.operators.present import CHUNK_PAYLOAD, default_fields
 from quillvec.plans.load import hashed
+from quillvec.session import settle
 
 
 def encode_requests(requests: DataFrame, encode: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -28,7 +34,8 @@ def answer_prompts(
     is searched as one.
     """
     valid, _ = validate_requests(requests, **defaults)
-    asked = encode_requests(valid, encode)
+    # Sizing, scoring and joining each read the requests: encode them once.
+    asked = settle(encode_requests(valid, encode), "requests")
     wanted = ["query_id", "rank", "content", "file_name", "page_number"]
     if isinstance(corpus, dict):
         rows = default_fields(retrieve_multi_table(corpus, asked, CHUNK_PAYLOAD)).select(*wanted)
@@ -39,4 +46,4 @@ def answer_prompts(
         rows = picked.unionByName(free)
     else:
         rows = retrieve_context(corpus, asked).filter("in_context").select(*wanted)
-    return render_prompt(assemble_context(rows), valid)
+    return render_prompt(assemble_context(rows), asked)
