@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillvec import constants as const
 from quillvec.functions.vector import cosine_similarity, has_embedding
-from quillvec.operators.scoring import PARTIAL_SCHEMA, PairRule, Scorer, pack_requests
+from quillvec.operators.scoring import PARTIAL_SCHEMA, PairRule, RequestSet, Scorer, pack_requests
 
 # Requests travel to every task only below this many floats (64 MB) and rows.
 BROADCAST_FLOATS = 16_000_000
@@ -60,10 +60,12 @@ def _scan_side(corpus: DataFrame, extra: Sequence[str]) -> DataFrame:
 
 def _scan(corpus: DataFrame, packed: dict, metric: str, totals: bool, rules: Sequence[PairRule], cell_col=None) -> DataFrame:
     """Partial results with the requests carried to the corpus: no corpus shuffle."""
-    carried = corpus.sparkSession.sparkContext.broadcast(packed)
+    # Plain arrays travel, not objects: broadcast values are unpickled where this package is not installed.
+    carried = corpus.sparkSession.sparkContext.broadcast({dim: dict(vars(some)) for dim, some in packed.items()})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(carried.value, metric, totals, rules, cell_col)
+        asked = {dim: RequestSet(**fields) for dim, fields in carried.value.items()}
+        scorer = Scorer(asked, metric, totals, rules, cell_col)
         for batch in batches:
             scorer.add(batch)
         yield from scorer.results()
