@@ -33,3 +33,23 @@ def test_query(spark, sql, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """A driver started elsewhere, whose Python workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    script = tmp_path / "driver.py"
+    script.write_text(
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('entry', {entry.__file__!r})\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "from quillvec.session import build_session\n"
+        "spark = build_session('elsewhere', 2)\n"
+        "print('rows', m.entry(spark).count(), m.queries()['answer_prompts'](spark, '" + SF + "').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "rows 2369 40" in done.stdout, done.stderr[-2000:]
