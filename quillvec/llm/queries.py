@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillvec.llm import hilbert_shards, mixing, near_dup
+from quillvec.llm import hilbert_shards, mixing, near_dup, winnowing
 
 QUERIES = {
+    "op6_winnowing": winnowing.query,
     "op7_mix_sources": mixing.query,
     "op8_hilbert_shards": hilbert_shards.query,
     "op9_near_duplicates": near_dup.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_winnowing": winnowing.SQL}
