@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillvec.llm import hilbert_shards, mixing, near_dup, winnowing
+from quillvec.llm import hilbert_shards, imatch, mixing, near_dup, winnowing
 
 QUERIES = {
+    "op1_imatch": imatch.query,
     "op6_winnowing": winnowing.query,
     "op7_mix_sources": mixing.query,
     "op8_hilbert_shards": hilbert_shards.query,
