@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillvec.llm import hilbert_shards, imatch, mixing, near_dup, winnowing
+from quillvec.llm import hilbert_shards, imatch, language_id, mixing, near_dup, toxicity, winnowing
 
 QUERIES = {
     "op1_imatch": imatch.query,
+    "op5_toxicity": toxicity.query,
     "op6_winnowing": winnowing.query,
     "op7_mix_sources": mixing.query,
     "op8_hilbert_shards": hilbert_shards.query,
     "op9_near_duplicates": near_dup.query,
+    "op10_language_id": language_id.query,
 }
 ORACLES: dict[str, str] = {"op6_winnowing": winnowing.SQL}
