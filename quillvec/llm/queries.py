@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillvec.llm import hilbert_shards, imatch, language_id, mixing, near_dup, repair_tokens, toxicity, winnowing
+from quillvec.llm import hilbert_shards, imatch, language_id, mixing, near_dup, repair_tokens, site_templates, toxicity, winnowing
 
 QUERIES = {
     "op1_imatch": imatch.query,
     "op2_repair_tokens": repair_tokens.query,
+    "op3_site_templates": site_templates.query,
     "op5_toxicity": toxicity.query,
     "op6_winnowing": winnowing.query,
     "op7_mix_sources": mixing.query,
