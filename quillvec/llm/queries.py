@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillvec.llm import hilbert_shards, imatch, language_id, mixing, near_dup, repair_tokens, site_templates, toxicity, winnowing
+from quillvec.llm import hilbert_shards, imatch, language_id, license_scan, mixing, near_dup, repair_tokens, site_templates, toxicity, winnowing
 
 QUERIES = {
     "op1_imatch": imatch.query,
     "op2_repair_tokens": repair_tokens.query,
     "op3_site_templates": site_templates.query,
+    "op4_license_scan": license_scan.query,
     "op5_toxicity": toxicity.query,
     "op6_winnowing": winnowing.query,
     "op7_mix_sources": mixing.query,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_near_duplicates": near_dup.query,
     "op10_language_id": language_id.query,
 }
-ORACLES: dict[str, str] = {"op6_winnowing": winnowing.SQL}
+ORACLES: dict[str, str] = {"op4_license_scan": license_scan.SQL, "op6_winnowing": winnowing.SQL}
