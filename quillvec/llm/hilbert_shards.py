@@ -103,7 +103,7 @@ def shard_by_curve(
             size.cast("long").alias("_size"),
             group.alias("_group"),
             *[F.coalesce(d.cast("long"), F.lit(-(2**62))).alias(n) for d, n in zip(dims, names)],
-            F.struct(*[c.alias(n) for n, c in carry.items()]).alias("_carry"),
+            F.struct(F.lit(0).alias("_none"), *[c.alias(n) for n, c in carry.items()]).alias("_carry"),
         ),
         "metadata",
     )
@@ -125,7 +125,7 @@ def shard_by_curve(
     return cut.join(F.broadcast(firsts), "_shard").select(
         F.col("_key").alias(key),
         F.col("_size").alias("size"),
-        "_carry.*",
+        *[F.col(f"_carry.{n}") for n in carry],
         F.col("_curve").alias("curve"),
         F.col("_shard").alias("shard"),
         (F.col("row_index") - F.col("_first")).alias("slot"),
@@ -155,7 +155,10 @@ def query(spark, sf: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
-    """Documents with their shard, in files cut along the curve. Rows of one doc_id go to one shard."""
+    """Documents with their shard, in files cut along the curve. Rows of one doc_id go to one shard.
+
+    Columns named shard or curve are replaced.
+    """
     size = text_size(F.col("text"))
     one = docs.groupBy("doc_id").agg(
         F.sum(size).alias("_bytes"), F.min(F.struct(F.xxhash64("text").alias("h"), *[d.alias(f"d{i}") for i, d in enumerate(document_dims())])).alias("_meta")
@@ -163,5 +166,5 @@ def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
     placed = shard_by_curve(
         one, "doc_id", F.col("_bytes"), F.col("_meta.h"), [F.col(f"_meta.d{i}") for i in range(3)], {}
     ).select(F.col("doc_id").alias("_id"), "shard", "curve")
-    joined = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    joined = docs.drop("shard", "curve").join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     return joined.repartitionByRange("shard", "curve", "doc_id").sortWithinPartitions("shard", "curve", "doc_id")
