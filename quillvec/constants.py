@@ -26,7 +26,6 @@ JDBC_BATCH = 50
 
 # --- fixed values: sheet cleaning ---------------------------------------------------------------
 IGNORED_COLUMN_NAMES = ["id", "index", "stt", "no", "unnamed", "nan"]
-ROLE_SAMPLE_ROWS = 20
 MIN_ROW_CELLS = 3
 DENSITY = 0.1
 TEMP_FILE_PREFIX = "~$"

@@ -9,9 +9,15 @@ from quillvec import constants as const
 
 
 def parse_timestamp(c: Column) -> Column:
-    """Timestamp from text by the fixed format list; null when no format fits."""
-    text = F.regexp_replace(F.trim(c), r"\.\d+$", "")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in const.DATE_FORMATS])
+    """Timestamp from text by the fixed format list; null when no format fits.
+
+    A fraction behind the seconds is kept to the microsecond.
+    """
+    fraction = F.regexp_extract(F.trim(c), r":\d{1,2}\.(\d+)$", 1)
+    text = F.regexp_replace(F.trim(c), r"(:\d{1,2})\.\d+$", "$1")
+    whole = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in const.DATE_FORMATS])
+    micros = F.rpad(F.substring(fraction, 1, 6), 6, "0").cast("long")
+    return F.when(fraction == "", whole).otherwise(F.timestamp_micros(F.unix_micros(whole) + micros))
 
 
 def to_double(c: Column) -> Column:

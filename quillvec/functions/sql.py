@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -32,12 +34,14 @@ def register_functions(spark: SparkSession, factory: EncoderFactory | None = Non
     factory = factory or hashed_encoder()
 
     @F.pandas_udf("array<float>")
-    def generate_embeddings(texts: pd.Series) -> pd.Series:
-        filled = texts.map(lambda t: bool(t and t.strip()))
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        if filled.any():
-            rows = factory()(texts[filled].to_numpy(dtype=object))
-            out[filled] = pd.Series(list(np.asarray(rows, dtype=np.float32)), index=texts[filled].index)
-        return out
+    def generate_embeddings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = factory()
+        for texts in batches:
+            filled = texts.map(lambda t: bool(t and t.strip()))
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            if filled.any():
+                rows = encode(texts[filled].to_numpy(dtype=object))
+                out[filled] = pd.Series(list(np.asarray(rows, dtype=np.float32)), index=texts[filled].index)
+            yield out
 
     spark.udf.register("generate_embeddings", generate_embeddings.asNondeterministic())

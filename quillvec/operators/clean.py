@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, BooleanType, StringType, DateType, TimestampNTZType, TimestampType
 
@@ -45,18 +46,25 @@ def drop_empty_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[_named(c) for c in df.columns if c in filled or c in keep])
 
 
+def _header(position: int, name: str | None) -> str:
+    shown = str(name or "")
+    return f"Column_{position}" if shown.lower() in ("", "nan") or shown.lower().startswith("unnamed") else shown
+
+
 def normalized_names(names: Sequence[str | None]) -> list[str]:
-    """Blank, `unnamed*` and `nan` headers become `Column_{i}`; repeated names are numbered from `_2`."""
-    seen: dict[str, int] = {}
-    out: list[str] = []
-    for i, name in enumerate(names):
-        text = "" if name is None else str(name)
-        if not text or text.lower() == "nan" or text.lower().startswith("unnamed"):
-            text = f"Column_{i}"
-        if text in out:
-            seen[text] = seen.get(text, 1) + 1
-            text = f"{text}_{seen[text]}"
-        out.append(text)
+    """Unique column names, compared without case as Spark does.
+
+    Blank, `unnamed*` and `nan` headers become `Column_{i}`. The first of equal names keeps it; each later one takes
+    the first `_2`, `_3` ... that no header and no earlier column has.
+    """
+    wanted = [_header(i, name) for i, name in enumerate(names)]
+    taken = {name.lower(): i for i, name in reversed(list(enumerate(wanted)))}
+    out = []
+    for i, name in enumerate(wanted):
+        if taken[name.lower()] != i:
+            name = next(f"{name}_{n}" for n in count(2) if f"{name}_{n}".lower() not in taken)
+            taken[name.lower()] = i
+        out.append(name)
     return out
 
 
@@ -76,30 +84,30 @@ class Roles:
         return self.text + self.numeric + self.datetime
 
 
-def sample_values(df: DataFrame, names: Sequence[str], order: str, size: int = const.ROLE_SAMPLE_ROWS) -> DataFrame:
-    """(column_name, value) of the first non-null values per column, by row order.
+def text_role_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Role of each text column, judged by all its values in one aggregation: mostly dates, prose, or ignored.
 
-    One scan: every partition keeps its own first rows per column before anything is shuffled.
+    Columns without a value are left out.
     """
-    long = df.select(order, *[_named(n) for n in names]).unpivot(order, list(names), "column_name", "value")
-    first = Window.partitionBy("column_name").orderBy(order)
-    return long.filter(F.col("value").isNotNull()).withColumn("_n", F.row_number().over(first)).filter(
-        F.col("_n") <= size
-    )
-
+    def judged(i: int, value: Column) -> list[Column]:
+        return [
+            F.count(value).alias(f"n{i}"),
+            F.count_if(cells.parse_timestamp(value).isNotNull()).alias(f"d{i}"),
+            F.bool_or((F.char_length(value) > 5) & value.rlike(r"\p{L}")).alias(f"p{i}"),
+        ]
 
-def text_role_table(df: DataFrame, names: Sequence[str], order: str) -> DataFrame:
-    """Role of each text column from its sample: mostly dates, prose, or ignored."""
-    value = F.col("value")
-    judged = sample_values(df, names, order).groupBy("column_name").agg(
-        F.count("*").alias("sampled"),
-        F.count_if(cells.parse_timestamp(value).isNotNull()).alias("dates"),
-        F.bool_or((F.char_length(value) > 5) & value.rlike(r"\p{L}")).alias("prose"),
-    )
-    role = (
-        F.when(F.col("dates") > F.col("sampled") * 0.5, "datetime").when(F.col("prose"), "text").otherwise("ignored")
-    )
-    return judged.withColumn("role", role)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, judged long, dates long, prose boolean, role string")
+    row = df.agg(*[c for i, n in enumerate(names) for c in judged(i, _named(n))])
+    columns = F.array(*[
+        F.struct(
+            F.lit(n).alias("column_name"), F.col(f"n{i}").alias("judged"), F.col(f"d{i}").alias("dates"),
+            F.col(f"p{i}").alias("prose"),
+        )
+        for i, n in enumerate(names)
+    ])
+    role = F.when(F.col("dates") > F.col("judged") * 0.5, "datetime").when(F.col("prose"), "text").otherwise("ignored")
+    return row.select(F.inline(columns)).where("judged > 0").withColumn("role", role)
 
 
 def _typed_role(name: str, kind) -> str | None:
@@ -123,7 +131,7 @@ def infer_column_roles(df: DataFrame, order: str = "row_index", skip: Sequence[s
     open_names = [name for name, role in roles.items() if role is None]
     if open_names:
         # At most one row per column comes back.
-        found = {r["column_name"]: r["role"] for r in text_role_table(df, open_names, order).collect()}
+        found = {r["column_name"]: r["role"] for r in text_role_table(df, open_names).collect()}
         for name in open_names:
             role = found.get(name, "ignored")
             roles[name] = "text" if role == "ignored" and keep_short and name in found else role

@@ -24,8 +24,6 @@ BROADCAST_FLOATS = 16_000_000
 BROADCAST_REQUESTS = 200_000
 # Ranked rows are broadcast to fetch their payload only below this many rows.
 BROADCAST_ROWS = 500_000
-# Winners of a single search are looked up by a pushed-down id list up to this many.
-LOOKUP_IDS = 1_000
 # Block sizes of the cogroup path, in floats: 128 MB of corpus meets 64 MB of requests. The corpus is shuffled
 # once per request block and the requests once per corpus block.
 BLOCK_FLOATS = 32_000_000
@@ -189,11 +187,7 @@ def search_topk(
     threshold: float = const.SEARCH_THRESHOLD,
     payload: Sequence[str] = (),
 ) -> DataFrame:
-    """One query: id, similarity and payload of the best `top_n` rows at or above the threshold, best first.
-
-    The payload of a short result is fetched by an id list that reaches the scan, so row groups without a
-    winner are skipped; the ranking runs when the function is called.
-    """
+    """One query: id, similarity and payload of the best `top_n` rows at or above the threshold, best first."""
     asked = pa.table(
         {
             "query_id": pa.array([0], pa.int64()),
@@ -204,10 +198,6 @@ def search_topk(
     )
     partials = _scan(corpus, pack_requests(asked), "cosine", False, ())
     best = partials.orderBy(F.desc("score"), "id").limit(top_n).select("part", "id", F.col("score").alias("similarity"))
-    if payload and top_n <= LOOKUP_IDS:
-        winners = best.toArrow()
-        best = corpus.sparkSession.createDataFrame(winners)
-        corpus = corpus.filter(F.col("id").isin(winners.column("id").to_pylist()))
     found = attach(best, corpus, payload, top_n).select("id", "similarity", *payload)
     return found.orderBy(F.desc("similarity"), "id")
 

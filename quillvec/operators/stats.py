@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec import constants as const
-from quillvec.functions.vector import has_embedding
+from quillvec.functions.vector import has_embedding, vector_from_json
 
 
 def product_statistics(products: DataFrame, category: str | None = None) -> DataFrame:
@@ -58,18 +58,24 @@ def newest_first(rows: DataFrame, *keys: str, tie: str | None = None) -> DataFra
 def embedding_coverage(tables: dict[str, DataFrame], dim: int) -> DataFrame:
     """Per table: rows, rows with a vector in either form, without any, of another dimension, and readiness.
 
-    `tables` hold an `embedding` array and may hold a `vector_json` text.
+    `tables` hold an `embedding` array and may hold a `vector_json` text. A row counts by its resolved vector: the
+    array if it has elements, else what the text decodes to. Text that does not decode, and empty vectors, are none.
     """
     audit: DataFrame | None = None
     for name, rows in tables.items():
         json = F.col("vector_json") if "vector_json" in rows.columns else F.lit(None).cast("string")
-        row = rows.select("embedding", json.alias("vector_json")).agg(
+        own = has_embedding(F.col("embedding"))
+        sized = rows.select(
+            own.alias("own"),
+            F.when(own, F.size("embedding")).otherwise(F.size(vector_from_json(json))).alias("n"),
+        ).select(F.coalesce("own", F.lit(False)).alias("own"), F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("n"))
+        row = sized.agg(
             F.lit(name).alias("table_name"),
             F.count("*").alias("total_rows"),
-            F.count_if(has_embedding(F.col("embedding"))).alias("with_vector"),
-            F.count("vector_json").alias("with_json"),
-            F.count_if(F.col("embedding").isNull() & F.col("vector_json").isNull()).alias("without_vector"),
-            F.count_if(has_embedding(F.col("embedding")) & (F.size("embedding") != dim)).alias("wrong_dimension"),
+            F.count_if(F.col("own")).alias("with_vector"),
+            F.count_if(~F.col("own") & (F.col("n") > 0)).alias("with_json"),
+            F.count_if(F.col("n") == 0).alias("without_vector"),
+            F.count_if((F.col("n") > 0) & (F.col("n") != dim)).alias("wrong_dimension"),
         )
         audit = row if audit is None else audit.unionByName(row)
     usable = F.col("with_vector") + F.col("with_json") - F.col("wrong_dimension")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillvec.operators.clean import validate_requests
@@ -14,6 +15,7 @@ from quillvec.operators.present import (
     default_fields,
     render_prompt,
     retrieve_context,
+    sources,
 )
 from quillvec.operators.search import retrieve_multi_table, retrieve_selected
 from quillvec.plans.load import hashed
@@ -28,22 +30,40 @@ def encode_requests(requests: DataFrame, encode: Callable[[Column], Column] | No
 def answer_prompts(
     corpus: DataFrame | dict[str, DataFrame], requests: DataFrame, encode: Callable[[Column], Column] | None = None, **defaults
 ) -> DataFrame:
-    """Validated request texts to one prompt per request.
+    """Request texts to one row per request: prompt, sources, or why it was rejected.
 
     Requests that chose ids are answered from those rows, the others from their best rows; a dict of corpora
-    is searched as one.
+    is searched as one. A rejected request has no prompt and its reasons; `reasons` is empty for the others.
     """
-    valid, _ = validate_requests(requests, **defaults)
+    valid, rejected = validate_requests(requests, **defaults)
     # Sizing, scoring and joining each read the requests: encode them once.
     asked = settle(encode_requests(valid, encode), "requests")
-    wanted = ["query_id", "rank", "content", "file_name", "page_number"]
+    wanted = ["query_id", "rank", "id", "similarity", *CHUNK_PAYLOAD]
+    chose = F.coalesce(F.size("selected_ids"), F.lit(0)) > 0 if "selected_ids" in asked.columns else F.lit(False)
+    free = asked.filter(~chose)
     if isinstance(corpus, dict):
-        rows = default_fields(retrieve_multi_table(corpus, asked, CHUNK_PAYLOAD)).select(*wanted)
-    elif "selected_ids" in asked.columns:
-        chose = F.coalesce(F.size("selected_ids"), F.lit(0)) > 0
-        picked = default_fields(retrieve_selected(corpus, asked.filter(chose), CHUNK_PAYLOAD)).select(*wanted)
-        free = retrieve_context(corpus, asked.filter(~chose)).filter("in_context").select(*wanted)
-        rows = picked.unionByName(free)
+        rows = default_fields(retrieve_multi_table(corpus, free, CHUNK_PAYLOAD)).select(*wanted)
     else:
-        rows = retrieve_context(corpus, asked).filter("in_context").select(*wanted)
-    return render_prompt(assemble_context(rows), asked)
+        rows = retrieve_context(corpus, free).filter("in_context").select(*wanted)
+    if "selected_ids" in asked.columns:
+        rows = rows.unionByName(_chosen_rows(corpus, asked.filter(chose), wanted))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "id", "file_name", "page_number", "content_preview", "similarity")))
+    shown = sources(rows).groupBy("query_id").agg(listed.alias("sources"))
+    prompts = render_prompt(assemble_context(rows), asked).join(shown, "query_id", "left")
+    none = F.array().cast("array<string>")
+    answered = prompts.withColumns({"sources": F.coalesce("sources", F.array().cast(shown.schema["sources"].dataType)), "reasons": none})
+    return answered.unionByName(rejected.select("query_id", "reasons"), allowMissingColumns=True)
+
+
+def _chosen_rows(corpus: DataFrame | dict[str, DataFrame], asked: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows of the ids a request chose. Of several corpora each is asked; ranks go on by corpus name, then by rank."""
+    if not isinstance(corpus, dict):
+        return default_fields(retrieve_selected(corpus, asked, CHUNK_PAYLOAD)).select(*wanted)
+    parts = [
+        default_fields(retrieve_selected(corpus[name], asked, CHUNK_PAYLOAD)).select(*wanted).withColumn("_part", F.lit(i))
+        for i, name in enumerate(sorted(corpus))
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    # A request holds no more rows than it chose ids.
+    order = Window.partitionBy("query_id").orderBy("_part", "rank")
+    return rows.withColumn("rank", F.row_number().over(order)).select(*wanted)

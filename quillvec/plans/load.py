@@ -17,7 +17,7 @@ from quillvec.operators.chunks import chunk_metadata
 from quillvec.operators.ids import assign_ids, next_id
 from quillvec.session import settle
 from quillvec.sources.readers import as_products, list_table_files, read_table_files
-from quillvec.sources.sinks import append_corpus, stamp_load, stored
+from quillvec.sources.sinks import align_to, append_corpus, stamp_load, stored
 
 Encoder = Callable[[Column], Column]
 
@@ -118,12 +118,37 @@ def table_corpus(
 
 
 def load_table(rows: DataFrame, location: str, mode: str = "append", **options) -> DataFrame:
-    loaded = table_corpus(rows, first_id=_first_id(rows.sparkSession, location, mode), **options)
+    """Load a sheet into a Parquet table and return its one-row summary.
+
+    A table keeps the columns and types of its first load. New columns are added; a cell that does not fit its
+    column's type is stored in `unfit_cells` (column name to text) of its row, and the column is null there.
+    """
+    before = stored(rows.sparkSession, location) if mode == "append" else None
+    loaded = table_corpus(rows, first_id=next_id(before) if before is not None else 1, **options)
     if loaded.roles.data:
-        append_corpus(stamp_load(loaded.rows), location, mode)
+        append_corpus(stamp_load(fit_to(loaded.rows, before)), location, mode)
     return loaded.summary()
 
 
+def fit_to(rows: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Rows with the types that the stored table has, names compared without case; what does not fit goes to `unfit_cells`."""
+    if before is None:
+        return rows.withColumn("unfit_cells", F.lit(None).cast("map<string,string>"))
+    stored_types = {f.name.lower(): f for f in before.schema.fields}
+    columns, unfit = [], []
+    for f in rows.schema.fields:
+        cell, known = F.col("`" + f.name.replace("`", "``") + "`"), stored_types.get(f.name.lower())
+        if known is None or known.dataType == f.dataType:
+            columns.append(cell.alias(known.name if known is not None else f.name))
+            continue
+        fitted = cell.try_cast(known.dataType)
+        columns.append(fitted.alias(known.name))
+        lost = F.when(cell.isNotNull() & fitted.isNull(), cell.cast("string"))
+        unfit.append(F.struct(F.lit(known.name).alias("key"), lost.alias("value")))
+    kept = F.map_from_entries(F.filter(F.array(*unfit), lambda e: e["value"].isNotNull())) if unfit else F.lit(None)
+    return align_to(rows.select(*columns, kept.cast("map<string,string>").alias("unfit_cells")), before.drop("created_at", "updated_at"))
+
+
 def load_table_files(
     spark: SparkSession,
     directory: str,
@@ -146,7 +171,7 @@ def load_table_files(
             outcome = load_table(rows, f"{target}/{item['table_name']}").first()
             return item["file"], item["table_name"], outcome["status"], None, outcome["rows_imported"]
         except Exception as failure:
-            return item["file"], item["table_name"], "error", str(failure)[:500], 0
+            return item["file"], item["table_name"], "error", str(failure), 0
 
     files = list_table_files(spark, directory, fmt, prefix).orderBy("file")
     with ThreadPoolExecutor(at_once) as pool:
@@ -182,6 +207,8 @@ def product_corpus(rows: DataFrame, encode: Encoder | None = None, first_id: int
 def load_products(rows: DataFrame, location: str, mode: str = "append", encode: Encoder | None = None) -> DataFrame:
     """Run `product_corpus` into Parquet and return the one-row check of source against target."""
     spark = rows.sparkSession
-    append_corpus(stamp_load(product_corpus(rows, encode, _first_id(spark, location, mode))), location, mode)
+    first = _first_id(spark, location, mode)
+    append_corpus(stamp_load(product_corpus(rows, encode, first)), location, mode)
     source = as_products(rows).withColumnRenamed("ProductId", "product_id")
-    return stats.verify_load(source, spark.read.parquet(location), "product_id")
+    # Rows of earlier loads have smaller ids.
+    return stats.verify_load(source, spark.read.parquet(location).filter(F.col("id") >= first), "product_id")

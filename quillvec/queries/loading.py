@@ -111,6 +111,21 @@ def read_table_files(spark, sf):
     return read.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_acctbal")
 
 
+@query("read_table_header_row", """SELECT c_custkey AS "Key", c_name AS "Name", c_acctbal AS "Balance", TRUE AS typed FROM customer""")
+def read_table_header_row(spark, sf):
+    """A sheet with a title line above its header: numbers stay numbers."""
+    target = scratch_path(spark, "titled")
+    rows = inputs.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("a"), F.col("c_name").alias("b"), F.col("c_acctbal").cast("string").alias("c")
+    )
+    above = spark.createDataFrame([(0, "Customers of the year", None, None), (1, "Key", "Name", "Balance")], "n int, a string, b string, c string")
+    titled = above.unionByName(rows.withColumn("n", F.lit(2))).coalesce(1).sortWithinPartitions("n").drop("n")
+    titled.write.csv(target)
+    read = readers.read_table_files(spark, target, header_row=1)
+    numbers = dict(read.dtypes)["Key"] in ("int", "bigint") and dict(read.dtypes)["Balance"] == "double"
+    return read.select(F.col("Key").cast("long").alias("Key"), "Name", "Balance", F.lit(numbers).alias("typed"))
+
+
 @query("row_numbers", """SELECT TRUE AS one_number_per_row, count(*) AS total_rows FROM customer""")
 def row_numbers(spark, sf):
     """Row numbers of each file run from 0 without gaps."""
@@ -156,8 +171,10 @@ SELECT any_value(d.id) AS id, d.row_index, 'events.csv' AS source_file, who, kin
 
 @query("load_table", TABLE_SQL)
 def load_table(spark, sf):
-    """An untidy sheet to stored rows: cleaned, typed by role, combined and encoded."""
-    rows = load.table_corpus(inputs.sheet(spark, sf)).rows
+    """An untidy sheet to stored rows: cleaned, typed by role, combined, encoded, written and read back."""
+    target = scratch_path(spark, "table")
+    load.load_table(inputs.sheet(spark, sf), target)
+    rows = readers.load_corpus(spark, target)
     return rows.select(
         "id", "row_index", "source_file", "who", "kind", "note", "amount",
         F.date_format("happened", "yyyy-MM-dd HH:mm:ss").alias("happened"), "combined_text",
@@ -165,6 +182,34 @@ def load_table(spark, sf):
     )
 
 
+@query("load_table_twice", """WITH rows AS (
+  SELECT event_id AS row_index, 'first' AS source_file, 'user number ' || user_id AS who, event_type AS kind, value AS amount, NULL AS place, NULL AS unfit FROM events
+  UNION ALL SELECT event_id, 'second', 'user number ' || user_id, event_type, CASE WHEN event_id % 2 = 0 THEN value END,
+    'some place ' || (event_id % 9), CASE WHEN event_id % 2 = 1 THEN 'about ' || event_id || ' pieces' END FROM events)
+SELECT row_number() OVER (ORDER BY source_file, row_index) AS id, * FROM rows""")
+def load_table_twice(spark, sf):
+    """Two loads of one table; the second brings a new column, and text among the numbers."""
+    target = scratch_path(spark, "drift")
+    key = F.col("event_id")
+    rows = inputs.table(spark, sf, "events").select(
+        key.alias("row_index"), F.concat(F.lit("user number "), F.col("user_id").cast("string")).alias("who"),
+        F.col("event_type").alias("kind"), F.col("value").alias("amount"),
+    )
+    load.load_table(rows.withColumn("source_file", F.lit("first")), target)
+    drift = rows.withColumns(
+        {
+            "amount": F.when(F.col("row_index") % 2 == 0, F.col("amount").cast("string")).otherwise(
+                F.concat(F.lit("about "), F.col("row_index").cast("string"), F.lit(" pieces"))
+            ),
+            "place": F.concat(F.lit("some place "), (F.col("row_index") % 9).cast("string")),
+            "source_file": F.lit("second"),
+        }
+    )
+    load.load_table(drift, target)
+    stored = readers.load_corpus(spark, target)
+    return stored.select("id", "row_index", "source_file", "who", "kind", "amount", "place", F.col("unfit_cells")["amount"].alias("unfit"))
+
+
 @query("table_load_summary", f"""WITH {SHEET}
 SELECT count(*) AS total_rows, count(*) FILTER (n_cells >= 3) AS rows_imported, 'success' AS status,
        NULL::VARCHAR AS message, 'who,kind,note' AS text_columns, 'amount' AS numeric_columns,
@@ -196,6 +241,18 @@ def load_products_check(spark, sf):
     return load.load_products(inputs.product_cells(spark, sf), scratch_path(spark, "catalogue"))
 
 
+@query("load_products_twice", f"""WITH {TYPED_PRODUCTS}
+SELECT count(*) AS source_rows, count(*) AS loaded_rows, 0::BIGINT AS missing_keys, TRUE AS complete, 2 * count(*) AS stored_rows,
+       2 * count(*) AS last_id FROM kept""")
+def load_products_twice(spark, sf):
+    """The same catalogue loaded again: the check looks at the rows of its own load."""
+    target = scratch_path(spark, "catalogue")
+    load.load_products(inputs.product_cells(spark, sf), target)
+    check = load.load_products(inputs.product_cells(spark, sf), target)
+    total = spark.read.parquet(target).agg(F.count("*").alias("stored_rows"), F.max("id").alias("last_id"))
+    return check.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 @query("batch_load_summary", """SELECT count(DISTINCT event_type) + 1 AS files_processed,
   count(DISTINCT event_type) AS files_success, 1::BIGINT AS files_empty, 0::BIGINT AS files_failed,
   count(*)::BIGINT AS rows_imported, 'completed' AS status FROM events""")

@@ -10,7 +10,6 @@ from quillvec.plans.answer import answer_prompts
 from quillvec.queries import inputs
 from quillvec.queries.inputs import CHUNKS, FILLED, HITS, hash_counts
 from quillvec.queries.registry import query
-from quillvec.session import spread
 
 # Every vector asks the chunk corpus; hits joined to the filled chunk columns.
 FOUND = f"""WITH {HITS}, {FILLED}, found AS (
@@ -160,11 +159,12 @@ def filter_files(spark, sf):
 
 
 def _conversation_requests(spark, sf):
-    """Every benchmark item asks as text; top_k and threshold are missing here and there."""
+    """Every benchmark item asks as text; top_k and threshold are missing here and there, and some break the limits."""
+    key = F.col("item_id")
     return inputs.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.col("text").alias("query"),
-        F.when(F.col("item_id") % 3 != 0, F.lit(5)).alias("top_k"),
+        key.alias("query_id"),
+        F.when(key % 9 == 4, F.repeat("text", 15)).otherwise(F.col("text")).alias("query"),
+        F.when(key % 7 == 3, F.lit(25)).when(key % 3 != 0, F.lit(5)).alias("top_k"),
         F.when(F.col("item_id") % 4 != 0, F.lit(0.35)).alias("threshold"),
         F.lit(None).cast("int").alias("min_suggestions"),
     )
@@ -172,7 +172,7 @@ def _conversation_requests(spark, sf):
 
 def document_corpus(spark, sf):
     """Whole documents as rows, encoded by token hashes."""
-    docs = spread(inputs.table(spark, sf, "documents"))
+    docs = inputs.table(spark, sf, "documents")
     return docs.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("content"),
@@ -183,10 +183,15 @@ def document_corpus(spark, sf):
     )
 
 
-@query("answer_prompts", f"""WITH asked AS (
-  SELECT item_id AS query_id, text AS query, CASE WHEN item_id % 3 <> 0 THEN 5 ELSE 4 END AS top_k,
-         CASE WHEN item_id % 4 <> 0 THEN 0.35 ELSE 0.5 END::DOUBLE AS threshold
-  FROM benchmark WHERE length(text) <= 1000 AND regexp_matches(text, '\\S')),
+@query("answer_prompts", f"""WITH requested AS (
+  SELECT item_id AS query_id, CASE WHEN item_id % 9 = 4 THEN repeat(text, 15) ELSE text END AS query,
+         CASE WHEN item_id % 7 = 3 THEN 25 WHEN item_id % 3 <> 0 THEN 5 ELSE 4 END AS top_k,
+         CASE WHEN item_id % 4 <> 0 THEN 0.35 ELSE 0.5 END::DOUBLE AS threshold FROM benchmark),
+judged AS (
+  SELECT *, concat_ws('; ', CASE WHEN NOT regexp_matches(query, '\\S') THEN 'empty query' END,
+    CASE WHEN length(query) > 1000 THEN 'query too long' END, CASE WHEN top_k > 20 THEN 'top_k out of range' END) AS reasons
+  FROM requested),
+asked AS (SELECT * FROM judged WHERE reasons = ''),
 both_sides AS (
   SELECT 'd' || doc_id AS key, text FROM documents UNION ALL SELECT 'q' || query_id, query FROM asked),
 {hash_counts("text", "key", "both_sides")},
@@ -199,15 +204,19 @@ hits AS (
   SELECT a.query_id, a.top_k, id, row_number() OVER (PARTITION BY a.query_id ORDER BY round(product, 9) DESC, id) AS rank
   FROM sims JOIN asked a USING (query_id) WHERE product >= threshold),
 contexts AS (
-  SELECT query_id, count(*) AS total_sources,
+  SELECT query_id, count(*) AS total_sources, string_agg(id, ',' ORDER BY rank) AS source_ids,
          string_agg('[' || d.source || ', trang 1]: ' || d.text, chr(10) || chr(10) ORDER BY rank) AS context
   FROM hits JOIN documents d ON hits.id = d.doc_id WHERE rank <= top_k GROUP BY query_id)
 SELECT a.query_id, {prompt_sql("context", "a.query")} AS prompt, coalesce(total_sources, 0) AS total_sources,
-       context IS NULL AS no_results, CASE WHEN context IS NULL THEN {_sql_text(const.NO_ANSWER_MESSAGE)} END AS answer
-FROM asked a LEFT JOIN contexts c USING (query_id)""")
+       context IS NULL AS no_results, CASE WHEN context IS NULL THEN {_sql_text(const.NO_ANSWER_MESSAGE)} END AS answer,
+       coalesce(source_ids, '') AS source_ids, reasons
+FROM asked a LEFT JOIN contexts c USING (query_id)
+UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, NULL, reasons FROM judged WHERE reasons <> ''""")
 def answer_requests(spark, sf):
-    """From request texts to prompts: check, encode, retrieve, assemble, render."""
-    return answer_prompts(document_corpus(spark, sf), _conversation_requests(spark, sf))
+    """From request texts to prompts: check, encode, retrieve, assemble, render; one row per request."""
+    replies = answer_prompts(document_corpus(spark, sf), _conversation_requests(spark, sf))
+    listed = F.array_join(F.transform("sources", lambda s: s["id"].cast("string")), ",")
+    return replies.withColumns({"source_ids": listed, "reasons": F.array_join("reasons", "; ")}).drop("sources")
 
 
 @query("validate_requests", """WITH filled AS (

@@ -12,7 +12,6 @@ from quillvec.queries import inputs
 from quillvec.queries.inputs import FIXED, hash_counts
 from quillvec.queries.registry import query
 from quillvec.queries.retrieval import preview_sql
-from quillvec.session import spread
 
 DIM = 256
 
@@ -63,7 +62,7 @@ def chunk_recursive_cover(spark, sf):
 def sql_embeddings(spark, sf):
     """The encoder called from SQL text."""
     register_functions(spark, encode.hashed_encoder(DIM))
-    spread(inputs.table(spark, sf, "documents")).createOrReplaceTempView("quillvec_documents")
+    inputs.table(spark, sf, "documents").createOrReplaceTempView("quillvec_documents")
     return _nonzero(spark.sql("SELECT doc_id, generate_embeddings(text) AS embedding FROM quillvec_documents"), "doc_id")
 
 
@@ -93,14 +92,14 @@ def loaded_files(spark, sf):
 
 @query("vectorize_hashed", VECTOR_SQL)
 def vectorize_hashed(spark, sf):
-    docs = spread(inputs.table(spark, sf, "documents"))
+    docs = inputs.table(spark, sf, "documents")
     return _nonzero(docs.select("doc_id", encode.hashed_vector(F.col("text"), DIM).alias("embedding")), "doc_id")
 
 
 @query("vectorize", VECTOR_SQL)
 def vectorize(spark, sf):
     """The pluggable encoder slot, filled with the hashed encoder."""
-    docs = spread(inputs.table(spark, sf, "documents"))
+    docs = inputs.table(spark, sf, "documents")
     vectors = encode.vectorize(F.col("text"), encode.hashed_encoder(DIM))
     return _nonzero(docs.select("doc_id", vectors.alias("embedding")), "doc_id")
 
@@ -115,7 +114,7 @@ def embed_nonblank(spark, sf):
     """Blank and missing texts get no vector, and every row keeps its own."""
     kind = F.col("doc_id") % 6
     body = F.when(kind == 2, F.lit("  ")).when(kind != 4, F.col("text"))
-    docs = spread(inputs.table(spark, sf, "documents").select("doc_id", body.alias("text")))
+    docs = inputs.table(spark, sf, "documents").select("doc_id", body.alias("text"))
     vectors = docs.select("doc_id", encode.vectorize(F.col("text"), encode.hashed_encoder(DIM)).alias("v"))
     buckets = F.size(F.filter("v", lambda x: x != 0))
     return vectors.select(
@@ -141,7 +140,7 @@ def _touchy_encoder():
 @query("embed_isolated", f"""SELECT doc_id, CASE WHEN contains(text, 'the') THEN 0 ELSE {DIM} END::INTEGER AS dim,
   CASE WHEN contains(text, 'the') THEN 'ValueError: refused text' END AS error FROM documents""")
 def embed_isolated(spark, sf):
-    docs = spread(inputs.table(spark, sf, "documents"))
+    docs = inputs.table(spark, sf, "documents")
     out = docs.select("doc_id", encode.vectorize_isolated(F.col("text"), _touchy_encoder).alias("r"))
     return out.select("doc_id", F.size("r.vector").alias("dim"), F.col("r.error").alias("error"))
 

@@ -14,7 +14,7 @@ def build_session(app: str = "quillvec", cores: str | int = "*", shuffle_partiti
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -50,19 +50,3 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input before costly row-wise work.
-
-    An input below one split per core may sit in a single file and keep one core busy; moving it costs at most
-    a split per core. Anything larger is read in enough splits already and is left where it is.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * SPLIT_BYTES else df

@@ -83,9 +83,42 @@ def read_table_files(
     numbered = _with_row_index(tagged).withColumnRenamed("_file", "source_file")
     if fmt == "csv" and header_row > 0:
         numbered = _lift_header(numbered, data, header_row)
+        if infer_types:
+            numbered = narrow_types(numbered, [c for c in numbered.columns if c not in ("source_file", "row_index")])
     return numbered
 
 
+NARROW_TYPES = ["int", "bigint", "double", "boolean"]
+
+
+def _as_kind(text: Column, kind: str) -> Column:
+    """The value of a text cell in a narrower type, null if it is not written like one."""
+    shape = r"^(?i:true|false)$" if kind == "boolean" else r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike(shape), trimmed.try_cast(kind))
+
+
+def narrow_types(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Text columns as the first of int, bigint, double and boolean that all their values fit; one aggregation."""
+    if not names:
+        return rows
+    cell = {n: F.col("`" + n.replace("`", "``") + "`") for n in names}
+    counts = rows.agg(*[
+        c
+        for i, n in enumerate(names)
+        for c in [
+            F.count(cell[n]).alias(f"n{i}"),
+            *[F.count(_as_kind(cell[n], kind)).alias(f"{kind}{i}") for kind in NARROW_TYPES],
+        ]
+    ]).first()
+    found = {
+        n: next((kind for kind in NARROW_TYPES if counts[f"n{i}"] and counts[f"{kind}{i}"] == counts[f"n{i}"]), "string")
+        for i, n in enumerate(names)
+    }
+    typed = {n: _as_kind(cell[n], kind) for n, kind in found.items() if kind != "string"}
+    return rows.withColumns(typed) if typed else rows
+
+
 def _lift_header(rows: DataFrame, columns: Sequence[str], header_row: int) -> DataFrame:
     """Take names from line `header_row`, drop it and all lines above, and number rows from 0 again."""
     header = rows.filter(F.col("row_index") == header_row).select(*columns).first()

@@ -31,6 +31,8 @@ def test_names_are_repaired():
     assert clean.normalized_names(["a", None, "", "Unnamed: 3", "nan", "a", "a"]) == [
         "a", "Column_1", "Column_2", "Column_3", "Column_4", "a_2", "a_3",
     ]
+    assert clean.normalized_names(["Name", "Name_2", "Name", "name"]) == ["Name", "Name_2", "Name_3", "name_4"]
+    assert clean.normalized_names(["b", "B", "b_2", "Column_3", ""]) == ["b", "B_3", "b_2", "Column_3", "Column_4"]
 
 
 def test_roles(spark):
@@ -52,12 +54,26 @@ def test_roles(spark):
     assert dict(typed.dtypes)["flag"] == "double" and typed.columns[0] == "row_index"
 
 
-def test_role_sample_is_the_first_values(spark):
-    rows = [(i, None if i < 5 else ("2024-01-01" if i < 25 else "late words come too late")) for i in range(60)]
-    df = spark.createDataFrame(rows, "row_index long, c string").repartition(7)
-    assert clean.infer_column_roles(df).datetime == ["c"]
-    plan = clean.sample_values(df, ["c"], "row_index")._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+def test_roles_come_from_all_values(spark):
+    rows = [(i, "ab" if i < 900 else "a sentence at the end", "2024-01-01" if i < 400 else "words, not a date") for i in range(1000)]
+    df = spark.createDataFrame(rows, "row_index long, note string, day string").repartition(7)
+    assert clean.infer_column_roles(df).text == ["note", "day"]
+
+
+def test_columns_below_a_title_are_typed(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("A title,,\nGia,SoLuong,Code\n1.5,3,1d\n,4,y\n2e3,-5,true\n")
+    rows = readers.read_table_files(spark, str(tmp_path), header_row=1)
+    assert dict(rows.dtypes) | {"source_file": 0, "row_index": 0} == {
+        "Gia": "double", "SoLuong": "int", "Code": "string", "source_file": 0, "row_index": 0,
+    }
+    assert sorted(r.SoLuong for r in rows.collect()) == [-5, 3, 4]
+
+
+def test_coverage_counts_resolved_vectors(spark):
+    rows = [([1.0, 2.0], None), ([1.0, 2.0], "[3, 4]"), (None, "[1, 2, 3]"), (None, "no json"), ([], "[]"), ([1.0], None), (None, "[5, 6]")]
+    got = stats.embedding_coverage({"t": spark.createDataFrame(rows, "embedding array<float>, vector_json string")}, 2).first()
+    assert (got.total_rows, got.with_vector, got.with_json, got.without_vector, got.wrong_dimension) == (7, 3, 2, 2, 2)
+    assert got.ready and got.warning is None
 
 
 def test_products(spark):
@@ -187,10 +203,15 @@ def test_answer_paths(spark):
         "query_id long, query string, top_k int, threshold double, min_suggestions int, selected_ids array<long>",
     )
     got = {r.query_id: r for r in answer_prompts(corpus, asked).collect()}
-    assert set(got) == {1, 2}
+    assert set(got) == {1, 2, 3}
     assert "pump power ten" in got[1].prompt and got[1].total_sources == 1 and got[2].total_sources == 2
-    many = answer_prompts({"a": corpus, "b": corpus}, asked.drop("selected_ids")).collect()
-    assert {r.query_id for r in many} == {1, 2}
+    assert [s.id for s in got[1].sources] == [1] and {s.id for s in got[2].sources} == {2, 3}
+    assert got[3].prompt is None and got[3].reasons == ["empty query"] and got[1].reasons == []
+    many = {r.query_id: r for r in answer_prompts({"a": corpus, "b": corpus}, asked.drop("selected_ids")).collect()}
+    assert set(many) == {1, 2, 3}
+    # Chosen ids hold over several corpora too.
+    chosen = {r.query_id: r for r in answer_prompts({"a": corpus, "b": corpus}, asked).collect()}
+    assert sorted(s.id for s in chosen[2].sources) == [2, 2, 3, 3] and chosen[1].total_sources == 1
 
 
 def test_stats_on_empty_tables(spark):
