@@ -21,28 +21,42 @@ KGRAM = 5
 GUARD = WINDOW - KGRAM + 1
 
 
-def grams(hashes: str, k: int) -> Column:
-    """Hashes of the k-grams of a column of word hashes."""
-    h = F.col(hashes)
-    every = F.transform(h, lambda x, i: F.xxhash64(F.slice(h, i + 1, k)))
-    return F.slice(every, F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0)))
+def merged(array: str, other: str, shift: int, merge) -> Column:
+    """Merge every element with the one `shift` places behind it in `other`; the last `shift` are of no use."""
+    return F.zip_with(F.col(array), F.slice(F.col(other), F.lit(shift + 1), F.size(other)), merge)
 
 
-def window_minima(kgrams: str) -> Column:
-    """The smallest hash of each window of GUARD k-grams."""
-    g = F.col(kgrams)
-    every = F.transform(g, lambda x, i: F.array_min(F.slice(g, i + 1, GUARD)))
-    return F.slice(every, F.lit(1), F.greatest(F.size(g) - (GUARD - 1), F.lit(0)))
+def whole_ones(array: str, of: str, k: int) -> Column:
+    """Without the last k - 1 elements, which reach beyond the end of `of`."""
+    return F.slice(F.col(array), F.lit(1), F.greatest(F.size(of) - (k - 1), F.lit(0)))
+
+
+def add_grams(df: DataFrame, hashes: str, k: int, out: str) -> DataFrame:
+    """Add the hashes of the k-grams of a column of word hashes, put together from shorter ones."""
+    mix = lambda a, b: F.xxhash64(a, b)
+    df, size = df.withColumn(out, F.transform(hashes, lambda a: F.xxhash64(a, F.lit(k)))), 1
+    for bit in bin(k)[3:]:
+        df, size = df.withColumn(out, merged(out, out, size, mix)), 2 * size
+        if bit == "1":
+            df, size = df.withColumn(out, merged(out, hashes, size, mix)), size + 1
+    return df.withColumn(out, whole_ones(out, hashes, k))
+
+
+def add_minima(df: DataFrame, kgrams: str, out: str) -> DataFrame:
+    """Add the smallest hash of each window of GUARD k-grams, put together from shorter windows."""
+    df, size = df.withColumn(out, F.col(kgrams)), 1
+    while size < GUARD:
+        step = min(size, GUARD - size)
+        df, size = df.withColumn(out, merged(out, out, step, lambda a, b: F.least(a, b))), size + step
+    return df.withColumn(out, whole_ones(out, kgrams, GUARD))
 
 
 def with_grams(df: DataFrame, text: str) -> DataFrame:
     """Add `_words`, their hashes, all k-grams and the window minima."""
-    return (
-        df.withColumn("_words", words(ascii_lower(F.col(text)), PLAIN_WORD_GAP))
-        .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-        .withColumn("_grams", grams("_hashes", KGRAM))
-        .withColumn("_minima", window_minima("_grams"))
+    hashed = df.withColumn("_words", words(ascii_lower(F.col(text)), PLAIN_WORD_GAP)).withColumn(
+        "_hashes", F.transform("_words", lambda w: F.xxhash64(w))
     )
+    return add_minima(add_grams(hashed, "_hashes", KGRAM, "_grams"), "_grams", "_minima")
 
 
 def kept_places() -> Column:
@@ -53,14 +67,14 @@ def kept_places() -> Column:
         lambda x, i: F.struct(
             i.alias("place"),
             x.alias("fp"),
-            (x == F.array_max(F.slice(m, F.greatest(i - (GUARD - 2), F.lit(1)), GUARD))).alias("kept"),
+            (x == F.array_max(F.slice(m, F.greatest(i - (GUARD - 2), F.lit(1)), F.least(i + 1, F.lit(GUARD))))).alias("kept"),
         ),
     )
     return F.filter(around, lambda s: s["kept"])
 
 
-def short_places(hashes: str, k: int) -> Column:
-    return F.transform(grams(hashes, k), lambda x, i: F.struct(i.alias("place"), x.alias("fp"), F.lit(True).alias("kept")))
+def short_places(k: int) -> Column:
+    return F.transform(f"_short{k}", lambda x, i: F.struct(i.alias("place"), x.alias("fp"), F.lit(True).alias("kept")))
 
 
 def item_table(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -90,8 +104,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     # At most WINDOW - 1 of them.
     prints = table.where(F.col("span") == WINDOW).select("entry", "span", F.explode(kept_places()).alias("s"))
     for k in lengths:
-        whole = table.where(F.col("span") == k).select("entry", "span", F.explode(short_places("_hashes", k)).alias("s"))
-        prints = prints.union(whole)
+        whole = add_grams(table.where(F.col("span") == k), "_hashes", k, f"_short{k}")
+        prints = prints.union(whole.select("entry", "span", F.explode(short_places(k)).alias("s")))
     prints = settle(prints.select("entry", "span", F.col("s.place").alias("item_place"), F.col("s.fp").alias("fp")), "prints")
     known = settle(prints.select("fp").distinct(), "fps")
     n_known, n_prints, n_items = known.count(), prints.count(), table.count()
@@ -101,14 +115,16 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     tried = F.col("_minima")
     if lengths:
         for k in lengths:
-            grammed = grammed.withColumn(f"_short{k}", grams("_hashes", k))
+            grammed = add_grams(grammed, "_hashes", k, f"_short{k}")
         tried = F.concat(tried, *[F.col(f"_short{k}") for k in lengths])
-    flat = grammed.select(
+    # The columns are made before the rows are multiplied, so that no row carries its text.
+    narrow = grammed.select(
         "doc_id",
         F.md5(F.coalesce("text", F.lit(""))).alias("copy"),
         F.size("_words").cast("long").alias("n_words"),
-        F.posexplode_outer(F.array_distinct(tried)).alias("at", "fp"),
+        F.array_distinct(tried).alias("_fps"),
     )
+    flat = narrow.select("doc_id", "copy", "n_words", F.posexplode_outer("_fps").alias("at", "fp"))
     marked = flat.join(small(known.withColumn("hit", F.lit(1)), n_known), "fp", "left")
     per_row = settle(
         marked.groupBy("doc_id", "copy", "n_words").agg(
@@ -123,7 +139,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
     places = read.select("copy", F.explode(kept_places()).alias("s"), F.lit(WINDOW).alias("span"))
     for k in lengths:
-        places = places.union(read.select("copy", F.explode(short_places("_hashes", k)).alias("s"), F.lit(k).alias("span")))
+        short = add_grams(read, "_hashes", k, f"_short{k}")
+        places = places.union(short.select("copy", F.explode(short_places(k)).alias("s"), F.lit(k).alias("span")))
     places = places.select("copy", "span", F.col("s.place").alias("place"), F.col("s.fp").alias("fp"))
     aligned = (
         places.join(small(prints, n_prints), ["fp", "span"])
@@ -134,7 +151,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     aligned = settle(aligned.join(small(length, n_items), "entry"), "aligned")
     # The part of the document beside the item, cut where the document is joined.
     low = F.greatest(-F.col("shift"), F.lit(0))
-    beside = (
+    alongside = (
         aligned.join(read.select("copy", "_words"), "copy")
         .select(
             "copy", "entry", "item", "span", "shift",
@@ -143,7 +160,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         )
     )
     there = table.select("entry", F.col("_words").alias("_item_words"))
-    paired = beside.join(small(there, n_items), "entry").withColumn(
+    paired = alongside.join(small(there, n_items), "entry").withColumn(
         "there", F.slice("_item_words", F.col("low") + 1, F.size("here"))
     ).drop("_item_words")
     starts = F.when(
