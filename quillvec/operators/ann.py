@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec import constants as const
@@ -18,6 +18,7 @@ from quillvec.operators.search import (
     BLOCK_FLOATS,
     BROADCAST_FLOATS,
     BROADCAST_REQUESTS,
+    HELD_ROWS,
     _ordered,
     _rank,
     _request_size,
@@ -27,17 +28,26 @@ from quillvec.operators.search import (
     default_requests,
     meet_in_blocks,
 )
+from quillvec.session import settle
 
 
-def train_cells(corpus: DataFrame, cells: int, seed: int = 7, max_iter: int = 5, train_fraction: float = 1.0) -> np.ndarray:
-    """Unit centroids, one row per cell.
+# Rows per cell that shape the centroids, and floats of one product of rows and centroids (64 MB).
+TRAIN_ROWS_PER_CELL = 256
+PRODUCT_FLOATS = 16_000_000
 
-    A fraction below 1 only shapes the cells; every corpus row is assigned to one whatever the centroids are.
+
+def train_cells(
+    corpus: DataFrame, cells: int, seed: int = 7, max_iter: int = 5, rows_per_cell: int = TRAIN_ROWS_PER_CELL
+) -> np.ndarray:
+    """Unit centroids, one row per cell, from about `rows_per_cell` rows for each, drawn by a hash of the id.
+
+    The draw only shapes the cells; every corpus row is assigned to one whatever the centroids are.
     """
-    rows = corpus.filter(has_embedding(F.col("embedding")))
-    if train_fraction < 1.0:
-        rows = rows.sample(train_fraction, seed)
-    unit = rows.select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
+    rows = corpus.filter(has_embedding(F.col("embedding"))).select("id", "embedding")
+    share = min(1.0, cells * rows_per_cell / max(rows.count(), 1))
+    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    # Written, as the algorithm reads it again and again.
+    unit = settle(drawn, "training").select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, initSteps=2).fit(unit)
     centers = np.array(model.clusterCenters(), dtype=np.float64)
     length = np.linalg.norm(centers, axis=1, keepdims=True)
@@ -55,6 +65,18 @@ def _unit_matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[finite], matrix[finite]
 
 
+def _nearest(matrix: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """The `probes` nearest centroids of each row, some rows at a time."""
+    at_once = max(1, PRODUCT_FLOATS // len(centroids))
+    out = np.empty((len(matrix), probes), dtype=np.int32)
+    for i in range(0, len(matrix), at_once):
+        product = matrix[i : i + at_once] @ centroids.T
+        out[i : i + at_once] = (
+            product.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-product, axis=1, kind="stable")[:, :probes]
+        )
+    return out
+
+
 def nearest_cell(embedding: Column, centroids: np.ndarray) -> Column:
     """Cell of a vector; null for vectors of another dimension."""
 
@@ -64,7 +86,7 @@ def nearest_cell(embedding: Column, centroids: np.ndarray) -> Column:
         known = np.zeros(len(vectors), dtype=bool)
         rows, matrix = _unit_matrix(vectors, centroids.shape[1])
         if len(rows):
-            cell[rows] = np.argmax(matrix @ centroids.T, axis=1)
+            cell[rows] = _nearest(matrix, centroids, 1)[:, 0]
             known[rows] = True
         return pa.array(cell, type=pa.int32(), mask=~known)
 
@@ -80,7 +102,7 @@ def nearest_cells(embedding: Column, centroids: np.ndarray, probes: int) -> Colu
         out: list[list[int]] = [[] for _ in range(len(vectors))]
         rows, matrix = _unit_matrix(vectors, centroids.shape[1])
         if len(rows):
-            best = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :probes]
+            best = _nearest(matrix, centroids, probes)
             for row, chosen in zip(rows, best.tolist()):
                 out[row] = chosen
         return pa.array(out, type=pa.list_(pa.int32()))
@@ -102,6 +124,27 @@ def cluster_by_cell(assigned: DataFrame, partitions: int | None = None) -> DataF
     return assigned.repartitionByRange(count, "cell", F.xxhash64("id")).sortWithinPartitions("cell")
 
 
+def build_index(corpus: DataFrame, location: str, cells: int, partitions: int | None = None, **training) -> None:
+    """Train cells and store the corpus by cell, with its centroids, in a folder that holds no index yet."""
+    centroids = train_cells(corpus, cells, **training)
+    spark = corpus.sparkSession
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<float>")
+    table.coalesce(1).write.parquet(f"{location}/centroids")
+    cluster_by_cell(assign_cells(corpus, centroids), partitions).write.parquet(f"{location}/rows")
+
+
+def open_index(spark: SparkSession, location: str) -> tuple[DataFrame, np.ndarray]:
+    """The stored rows with their cells, and the centroids (one row per cell)."""
+    rows = spark.read.parquet(f"{location}/centroids").orderBy("cell").collect()
+    return spark.read.parquet(f"{location}/rows"), np.array([r["centroid"] for r in rows], dtype=np.float32)
+
+
+def add_to_index(rows: DataFrame, location: str, partitions: int | None = None) -> None:
+    """Append new rows to a stored index; its cells stay as they are."""
+    _, centroids = open_index(rows.sparkSession, location)
+    cluster_by_cell(assign_cells(rows, centroids), partitions).write.mode("append").parquet(f"{location}/rows")
+
+
 def search_ann(
     indexed: DataFrame,
     requests: DataFrame,
@@ -115,8 +158,8 @@ def search_ann(
         "query_id", "query_vec", "top_k", "threshold"
     )
     asked = asked.withColumn("cells", nearest_cells(F.col("query_vec"), centroids, probes))
-    count, floats, widest, wanted = _request_size(asked)
-    if floats <= broadcast_floats and count <= BROADCAST_REQUESTS:
+    count, floats, widest, wanted, _ = _request_size(asked, [])
+    if floats <= broadcast_floats and count <= BROADCAST_REQUESTS and wanted <= HELD_ROWS:
         table = asked.toArrow()
         probed = sorted({cell for cells in table.column("cells").to_pylist() for cell in cells})
         reached = indexed.filter(F.col("cell").isin(probed)) if len(probed) < len(centroids) else indexed

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from quillvec.session import settle
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position of a partition in the low 33 bits
+# Rows of order keys sorted by one task.
+RANGE_ROWS = 4_000_000
+_PLACE = ["__file", "__row"]
 
 
 def next_id(existing: DataFrame | None, column: str = "id") -> int:
@@ -24,23 +27,31 @@ def assign_ids(
 ) -> DataFrame:
     """Consecutive numbers by row order, starting at `start`; rows equal in the order keep their input order.
 
-    Rows are range-partitioned on the order key and their input place, so one hot file, or a third of all rows
-    with the same key, spreads over many partitions. Each partition's rows are written once with their place
-    in it; running offsets come from one count per partition, a table no longer than the partition number.
+    The rows are written once, which runs their input once. Only the order keys and each row's place in the written
+    files are sorted: range-partitioned on key and place, so a hot key spreads, with offsets from one count per
+    range. The numbers meet the rows by place, so texts are never sorted. Written numbers stay when executors are lost.
     """
-    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [*order_by, "_tie"]
-    placed = (
-        df.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(count, *order)
+    rows = settle(df, "rows")
+    placed = rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    keys = placed.select(*order_by, *_PLACE)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = partitions or max(least, -(-rows.count() // RANGE_ROWS))
+    order = [*order_by, *_PLACE]
+    ranked = settle(
+        keys.repartitionByRange(ranges, *order)
         .sortWithinPartitions(*order)
-        .drop("_tie")
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
+        .select(
+            *_PLACE,
+            F.spark_partition_id().alias("__range"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).alias("__pos"),
+        ),
+        "ranks",
     )
-    placed = settle(placed, "ids")
-    sizes = placed.groupBy("_pid").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    numbered = placed.join(F.broadcast(offsets), "_pid")
-    return numbered.withColumn(column, F.col("_offset") + F.col("_pos") + F.lit(start)).drop("_pid", "_pos", "_offset")
+    sizes = ranked.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    numbers = ranked.join(F.broadcast(offsets), "__range").select(
+        *_PLACE, (F.col("__offset") + F.col("__pos") + F.lit(start)).alias(column)
+    )
+    return placed.join(numbers, _PLACE).drop(*_PLACE)

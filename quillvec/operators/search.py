@@ -18,10 +18,16 @@ from pyspark.sql import functions as F
 from quillvec import constants as const
 from quillvec.functions.vector import cosine_similarity, has_embedding
 from quillvec.operators.scoring import PARTIAL_SCHEMA, PairRule, RequestSet, Scorer, pack_requests
+from quillvec.session import settle
 
 # Requests travel to every task only below this many floats (64 MB) and rows.
 BROADCAST_FLOATS = 16_000_000
 BROADCAST_REQUESTS = 200_000
+# ... whose parameters are below this many bytes, and that keep no more rows than this per task.
+BROADCAST_PARAM_BYTES = 64_000_000
+HELD_ROWS = 2_000_000
+# Partial results of a request are cut to its best in this many parts first, then as a whole.
+MERGE_PARTS = 16
 # Ranked rows are broadcast to fetch their payload only below this many rows.
 BROADCAST_ROWS = 500_000
 # Block sizes of the cogroup path, in floats: 128 MB of corpus meets 64 MB of requests. The corpus is shuffled
@@ -38,14 +44,17 @@ def default_requests(requests: DataFrame, top_k: int, threshold: float) -> DataF
     return requests.withColumns({"top_k": k.cast("int"), "threshold": t.cast("double")})
 
 
-def _request_size(requests: DataFrame) -> tuple[int, int, int, int]:
+def _request_size(requests: DataFrame, params: Sequence[str]) -> tuple[int, int, int, int, int]:
+    """(requests, floats, widest top_k, sum of top_k, bytes of the parameters)."""
+    written = F.octet_length(F.to_json(F.struct(*params))) if params else F.lit(0)
     row = requests.agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(F.size("query_vec")), F.lit(0)).alias("floats"),
         F.coalesce(F.max("top_k"), F.lit(0)).alias("widest"),
-        F.coalesce(F.sum("top_k"), F.lit(0)).alias("wanted"),
+        F.coalesce(F.sum(F.col("top_k").cast("long")), F.lit(0)).alias("wanted"),
+        F.coalesce(F.sum(written), F.lit(0)).alias("bytes"),
     ).first()
-    return row["n"], row["floats"], row["widest"], row["wanted"]
+    return row["n"], row["floats"], row["widest"], row["wanted"], row["bytes"]
 
 
 def _scan_side(corpus: DataFrame, extra: Sequence[str]) -> DataFrame:
@@ -117,23 +126,34 @@ def _blocks(
 
 
 def _rank(partials: DataFrame, widest: int, totals: bool) -> DataFrame:
-    by_query = Window.partitionBy("query_id")
-    best_first = by_query.orderBy(F.desc_nulls_last("score"), "part", "id")
-    place = F.row_number().over(best_first)
+    """The best of each request, in two cuts, so that no group holds what all tasks found for a request.
+
+    Totals are a sum of their own: a sum window would keep the ranking from being cut before the shuffle.
+    """
     if totals:
-        counted = partials.withColumns({"total": F.sum("matched").over(by_query), "rank": place})
-        return counted.filter(F.col("id").isNotNull() & (F.col("rank") <= F.col("top_k"))).drop("matched", "top_k")
-    numbered = partials.withColumn("rank", place).filter(F.col("rank") <= widest)
-    return numbered.filter(F.col("rank") <= F.col("top_k")).drop("matched", "top_k")
+        # Ranking and counting both read what the tasks found; score once.
+        partials = settle(partials, "partials")
+    best_first = [F.desc_nulls_last("score"), "part", "id"]
+    found = partials.filter(F.col("id").isNotNull()).withColumn("_cut", F.pmod(F.xxhash64("id"), F.lit(MERGE_PARTS)))
+    first = F.row_number().over(Window.partitionBy("query_id", "_cut").orderBy(*best_first))
+    cut = found.withColumn("rank", first).filter(F.col("rank") <= widest).drop("rank", "_cut")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first))
+    ranked = cut.withColumn("rank", place).filter(F.col("rank") <= widest)
+    ranked = ranked.filter(F.col("rank") <= F.col("top_k")).drop("matched", "top_k")
+    if not totals:
+        return ranked
+    counts = partials.groupBy("query_id").agg(F.sum("matched").alias("total"))
+    return ranked.join(counts, "query_id")
 
 
 def _partials(
     corpus: DataFrame, requests: DataFrame, metric: str, totals: bool, rules: Sequence[PairRule], broadcast_floats: int
 ) -> tuple[DataFrame, int, int]:
     """(partial results, widest top_k, sum of top_k)."""
-    count, floats, widest, wanted = _request_size(requests)
     params = list(dict.fromkeys(rule.request_col for rule in rules))
-    if floats <= broadcast_floats and count <= BROADCAST_REQUESTS:
+    count, floats, widest, wanted, written = _request_size(requests, params)
+    few = floats <= broadcast_floats and count <= BROADCAST_REQUESTS
+    if few and wanted <= HELD_ROWS and written <= BROADCAST_PARAM_BYTES:
         asked = requests.select("query_id", "query_vec", "top_k", "threshold", *params).toArrow()
         return _scan(corpus, pack_requests(asked, params), metric, totals, rules), widest, wanted
     return _blocks(corpus, requests, floats, count, metric, totals, rules), widest, wanted

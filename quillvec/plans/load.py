@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.functions.encode import HASH_DIM, hashed_vector
-from quillvec.functions.text import combined_text, full_text_context
+from quillvec.functions.text import combined_text, full_text_context, table_name_from_file
 from quillvec.functions.vector import has_embedding, vector_to_json
 from quillvec.operators import clean, stats
 from quillvec.operators.chunks import chunk_metadata
 from quillvec.operators.ids import assign_ids, next_id
 from quillvec.session import settle
-from quillvec.sources.readers import as_products, list_table_files, read_table_files
+from quillvec.sources.readers import as_products, list_table_files, narrow_types, read_lines
 from quillvec.sources.sinks import align_to, append_corpus, stamp_load, stored
 
 Encoder = Callable[[Column], Column]
@@ -150,35 +151,77 @@ def fit_to(rows: DataFrame, before: DataFrame | None) -> DataFrame:
 
 
 def load_table_files(
-    spark: SparkSession,
-    directory: str,
-    target: str,
-    fmt: str = "csv",
-    prefix: str | None = None,
-    header_row: int = 0,
-    at_once: int = 4,
+    spark: SparkSession, directory: str, target: str, prefix: str | None = None, header_row: int = 0
 ) -> DataFrame:
-    """Load every table file of a directory into a table of its own; one result row per file.
+    """Load all CSV files of a directory tree into tables of their own; one result row per file.
 
-    Each file has its own columns and so its own jobs; a few files load at once. A failing file is reported
-    and the others go on.
+    Files with the same header line are one DataFrame: their columns are typed and judged together, and their rows
+    are written to `<target>/<header key>` by `table_name`, each table with its own ids. So there are as many loads as
+    headers, not as files; a header that fails is reported for its files and the others go on. Cells hold no line
+    breaks. Returns source_file (the path), file, table_name, status, error, rows_imported, location.
     """
-
-    def load_one(item: Row) -> tuple:
+    files = list_table_files(spark, directory, "csv", prefix)
+    lines = settle(read_lines(spark, directory), "lines")
+    heads = settle(
+        lines.filter(F.col("row_index") == header_row).select("source_file", F.col("line").alias("header")).withColumn(
+            "key", F.substring(F.md5("header"), 1, 12)
+        ),
+        "headers",
+    )
+    below = lines.filter(F.col("row_index") > header_row).join(heads.drop("header"), "source_file")
+    results = []
+    # One row per header.
+    for head in heads.groupBy("key").agg(F.first("header").alias("header")).orderBy("key").collect():
+        rows = csv_rows(below.filter(F.col("key") == head["key"]), head["header"], header_row)
+        of_head = heads.filter(F.col("key") == head["key"]).select("source_file")
+        location = f"{target}/{head['key']}"
         try:
-            # Cleaning, roles, load and summary each scan the rows: parse the text once.
-            rows = settle(read_table_files(spark, item["path"], fmt, header_row), "sheet")
-            outcome = load_table(rows, f"{target}/{item['table_name']}").first()
-            return item["file"], item["table_name"], outcome["status"], None, outcome["rows_imported"]
-        except Exception as failure:
-            return item["file"], item["table_name"], "error", str(failure), 0
-
-    files = list_table_files(spark, directory, fmt, prefix).orderBy("file")
-    with ThreadPoolExecutor(at_once) as pool:
-        results = list(pool.map(load_one, files.toLocalIterator()))
-    return spark.createDataFrame(
-        results, "file string, table_name string, status string, error string, rows_imported long"
+            counts, failure = _load_group(rows, location, prefix), None
+        except Exception as raised:
+            counts, failure = None, str(raised)
+        none = F.lit(0).cast("long")
+        done = of_head.join(counts, "source_file", "left") if counts is not None else of_head.withColumns({"rows_read": none, "rows_imported": none})
+        status = F.lit("error") if failure else F.when(F.coalesce("rows_read", none) == 0, "warning").otherwise("success")
+        results.append(done.select(
+            "source_file", status.alias("status"), F.lit(failure).cast("string").alias("error"),
+            F.coalesce("rows_imported", none).alias("rows_imported"), F.lit(location).alias("location"),
+        ))
+    empty = spark.createDataFrame([], "source_file string, status string, error string, rows_imported long, location string")
+    found = reduce(lambda x, y: x.unionByName(y), results, empty)
+    return files.select("source_file", "file", "table_name").join(found, "source_file", "left").select(
+        "source_file", "file", "table_name", F.coalesce("status", F.lit("warning")).alias("status"), "error",
+        F.coalesce("rows_imported", F.lit(0)).cast("long").alias("rows_imported"), "location",
+    )
+
+
+def csv_rows(lines: DataFrame, header: str, header_row: int) -> DataFrame:
+    """Typed cells, source_file and row_index of CSV lines below a common header."""
+    names = clean.normalized_names(next(csv.reader([header])))
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    parsed = lines.select(
+        F.from_csv("line", schema).alias("cells"), "source_file", (F.col("row_index") - header_row - 1).alias("row_index")
     )
+    return narrow_types(parsed.select("cells.*", "source_file", "row_index"), names)
+
+
+def _load_group(rows: DataFrame, location: str, prefix: str | None) -> DataFrame:
+    """Load files of one header; (source_file, rows_read, rows_imported)."""
+    rows = settle(rows, "sheet")
+    before = stored(rows.sparkSession, location)
+    loaded = table_corpus(rows)
+    read = rows.groupBy("source_file").agg(F.count("*").alias("rows_read"))
+    if not loaded.roles.data:
+        return read.withColumn("rows_imported", F.lit(0).cast("long"))
+    named = loaded.rows.withColumn("table_name", table_name_from_file(F.url_decode("source_file"), prefix))
+    # One row per table: where its ids begin in this load, and what it holds already.
+    firsts = named.groupBy("table_name").agg(F.min("id").alias("_first"))
+    last = before.groupBy("table_name").agg(F.max("id").alias("_last")) if before is not None else None
+    firsts = firsts.join(last, "table_name", "left") if last is not None else firsts.withColumn("_last", F.lit(0))
+    numbered = named.join(firsts, "table_name").withColumn("id", F.col("id") - F.col("_first") + F.coalesce("_last", F.lit(0)) + 1)
+    kept = fit_to(numbered.drop("_first", "_last"), before)
+    append_corpus(stamp_load(kept), location, partition_by=["table_name"])
+    imported = loaded.rows.groupBy("source_file").agg(F.count("*").alias("rows_imported"))
+    return settle(read.join(imported, "source_file", "left"), "counts")
 
 
 def product_corpus(rows: DataFrame, encode: Encoder | None = None, first_id: int = 1) -> DataFrame:

@@ -1,8 +1,5 @@
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from quillvec.functions.vector import vector_from_json
@@ -268,7 +265,7 @@ def batch_load_summary(spark, sf):
 
 @query("load_table_files", """SELECT event_type, 0::BIGINT AS failed, count(*) AS rows_imported FROM events GROUP BY event_type""")
 def load_table_files(spark, sf):
-    """Events written as one CSV folder per type; every file is loaded into a table of its own."""
+    """Events written as CSV files by type, each loaded with a result of its own."""
     folder, target = scratch_path(spark, "inbox"), scratch_path(spark, "tables")
     rows = inputs.table(spark, sf, "events").select(
         F.concat(F.lit("user number "), F.col("user_id").cast("string")).alias("who"),
@@ -277,15 +274,8 @@ def load_table_files(spark, sf):
         "event_type",
     )
     rows.write.partitionBy("event_type").option("header", True).csv(folder)
-    kinds = [r["event_type"] for r in rows.select("event_type").distinct().collect()]
-
-    def load_kind(kind):
-        done = load.load_table_files(spark, f"{folder}/event_type={kind}", f"{target}/{kind}")
-        return done.withColumn("event_type", F.lit(kind))
-
-    with ThreadPoolExecutor(4) as pool:
-        results = reduce(lambda a, b: a.unionByName(b), pool.map(load_kind, kinds))
-    return results.groupBy("event_type").agg(
+    results = load.load_table_files(spark, folder, target)
+    return results.groupBy(F.regexp_extract("source_file", "event_type=([^/]+)", 1).alias("event_type")).agg(
         F.count_if(F.col("status") != "success").alias("failed"), F.sum("rows_imported").alias("rows_imported")
     )
 

@@ -19,16 +19,17 @@ def _real_file(name: Column) -> Column:
 
 
 def list_table_files(spark: SparkSession, directory: str, fmt: str = "csv", prefix: str | None = None) -> DataFrame:
-    """(path, file, table_name, length) of every table file in a directory, temporary files left out.
+    """(path, file, table_name, length, source_file) of every table file below a directory, temporary files left out.
 
     Only the listing is read, not the contents. Files of zero bytes are not listed.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", FORMAT_GLOBS[fmt]).load(directory)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", FORMAT_GLOBS[fmt]).option("recursiveFileLookup", True).load(directory)
     return files.select(
         "path",
         file_name_of(F.col("path")).alias("file"),
         table_name_from_file(F.col("path"), prefix).alias("table_name"),
         "length",
+        F.col("_metadata.file_path").alias("source_file"),
     ).filter(_real_file(F.col("file")))
 
 
@@ -47,6 +48,21 @@ def _with_row_index(df: DataFrame) -> DataFrame:
     return numbered.withColumn("row_index", index).drop("_mono", "_first", "_before", "_start")
 
 
+def read_lines(spark: SparkSession, directory: str, fmt: str = "csv") -> DataFrame:
+    """Lines of all table files below a directory: line, source_file (the whole path) and 0-based row_index.
+
+    Blank lines are left out.
+    """
+    text = spark.read.option("pathGlobFilter", FORMAT_GLOBS[fmt]).option("recursiveFileLookup", True).text(directory)
+    lines = text.filter(F.length(F.trim("value")) > 0).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_name").alias("_name"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    )
+    return _with_row_index(lines.filter(_real_file(F.col("_name"))).drop("_name")).withColumnRenamed("_file", "source_file")
+
+
 def read_table_files(
     spark: SparkSession,
     path: str | Sequence[str],

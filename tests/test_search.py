@@ -252,3 +252,16 @@ def test_plans(spark, skewed):
     assert "CartesianProduct" not in blocks and "NestedLoop" not in blocks and "SinglePartition" not in blocks
     top = search.search_topk(corpus, [0.1] * 24)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
+
+
+def test_ranking_is_cut_before_the_shuffle(spark):
+    """With and without totals, and however many rows the tasks found for a request."""
+    found = [(q, 0, i, float((i * 7919) % 1000), 1, 5) for q in (1, 2) for i in range(400)]
+    partials = spark.createDataFrame(found, "query_id long, part int, id long, score double, matched long, top_k int").repartition(6)
+    expected = {q: sorted(range(400), key=lambda i: (-((i * 7919) % 1000), i))[:5] for q in (1, 2)}
+    for totals in (False, True):
+        ranked = search._rank(partials, 5, totals)
+        assert ranked._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+        rows = ranked.orderBy("query_id", "rank").collect()
+        assert {q: [r.id for r in rows if r.query_id == q] for q in (1, 2)} == expected
+        assert not totals or {r.total for r in rows} == {400}
