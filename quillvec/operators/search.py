@@ -159,11 +159,29 @@ def _partials(
     return _blocks(corpus, requests, floats, count, metric, totals, rules), widest, wanted
 
 
+# Ids of one folder of a corpus that is written by id.
+BUCKET_IDS = 1_000_000
+
+
+def id_bucket(ids: Column) -> Column:
+    return F.floor(ids / BUCKET_IDS).cast("long")
+
+
+def with_id_bucket(corpus: DataFrame) -> DataFrame:
+    """The corpus with `id_bucket`, to be written by (partition_by): payloads are then read from the winners' folders."""
+    return corpus.withColumn("id_bucket", id_bucket(F.col("id")))
+
+
 def attach(ranked: DataFrame, corpus: DataFrame, payload: Sequence[str], wanted: int) -> DataFrame:
-    """Fetch payload columns for ranked rows only; the ranked side is broadcast while it is known to be small."""
+    """Fetch payload columns for ranked rows only; the ranked side is broadcast while it is known to be small.
+
+    If the corpus is stored by `id_bucket`, only the folders that hold winners are read.
+    """
     if not payload:
         return ranked
     keys = ["part", "id"] if "part" in corpus.columns else ["id"]
+    if "id_bucket" in corpus.columns:
+        ranked, keys = with_id_bucket(ranked), [*keys, "id_bucket"]
     small = F.broadcast(ranked) if wanted <= BROADCAST_ROWS else ranked
     return corpus.select(*keys, *payload).join(small, keys, "inner")
 

@@ -296,6 +296,18 @@ def incremental(spark, sf):
     return spark.read.parquet(target).select("file_name", "page_number", "chunk_index", "content")
 
 
+@query("ingest_again", f"""WITH {FIXED}
+SELECT file_name, page_number, pos AS chunk_index, content FROM fixed WHERE regexp_matches(content, '\\S')""")
+def ingest_again(spark, sf):
+    """All pages arrive, and half of them once more in a later file."""
+    inbox, target, state = (scratch_path(spark, label) for label in ("inbox", "stream", "state"))
+    rows = inputs.pages(spark, sf).select("source", "page", "text")
+    for arrival in (rows, rows.filter(F.col("page") % 2 == 0)):
+        arrival.write.mode("append").parquet(inbox)
+        ingest_incremental(spark, inbox, target, state, rows.schema, method="fixed", skip_stored=True).awaitTermination()
+    return spark.read.parquet(target).select("file_name", "page_number", "chunk_index", "content")
+
+
 @query("ingest_batch", f"""WITH {FIXED}
 SELECT file_name, page_number, pos AS chunk_index, content FROM fixed WHERE regexp_matches(content, '\\S')""")
 def ingest_batch(spark, sf):

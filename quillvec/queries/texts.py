@@ -58,6 +58,24 @@ def chunk_recursive_cover(spark, sf):
     )
 
 
+@query("chunk_recursive_defaults", """SELECT doc_id::INTEGER AS page_number, TRUE AS no_chunk_too_long, TRUE AS none_blank,
+  TRUE AS all_in_page, TRUE AS enough, TRUE AS in_order FROM documents WHERE regexp_matches(text, '\\S')""")
+def chunk_recursive_defaults(spark, sf):
+    """The rules of chunks of 1000 characters with an overlap of 100, page by page."""
+    page = inputs.pages(spark, sf).select("page", "text").withColumn("chunks", chunk_recursive_of(F.col("text"), 1000, 100))
+    at = F.transform("chunks", lambda c: F.instr(F.col("text"), c))
+    letters = F.char_length(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    return page.where(F.col("text").rlike(r"\S")).withColumn("at", at).select(
+        F.col("page").alias("page_number"),
+        F.forall("chunks", lambda c: F.char_length(c) <= 1000).alias("no_chunk_too_long"),
+        F.forall("chunks", lambda c: c.rlike(r"\S")).alias("none_blank"),
+        F.forall("at", lambda i: i > 0).alias("all_in_page"),
+        (F.size("chunks") >= F.ceil(letters / 1000)).alias("enough"),
+        # A copy of a chunk may stand earlier in the page, so the first and last are compared.
+        (F.element_at("at", 1) <= F.element_at("at", -1)).alias("in_order"),
+    )
+
+
 @query("sql_embeddings", VECTOR_SQL)
 def sql_embeddings(spark, sf):
     """The encoder called from SQL text."""

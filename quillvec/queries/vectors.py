@@ -11,6 +11,8 @@ from quillvec.queries import inputs
 from quillvec.queries.inputs import HITS, MEAN, PAIRS, PRODUCTS
 from quillvec.queries.registry import query
 from quillvec.session import scratch_path
+from quillvec.sources.readers import load_corpus
+from quillvec.sources.sinks import append_corpus
 
 
 def ranked_4dp(found):
@@ -240,6 +242,34 @@ def search_hybrid_batch(spark, sf):
     return _rounded_hybrid(search.search_hybrid_batch(inputs.products(spark, sf), asked, HYBRID_PAYLOAD))
 
 
+@query("search_hybrid_columns", f"""WITH {PRODUCTS}, {MEAN}, scored AS (
+  SELECT p.*, list_cosine_similarity(qv, embedding::DOUBLE[]) AS sim FROM products p, mean WHERE embedding IS NOT NULL)
+SELECT id, product_id, product_name, category, description, price::DOUBLE AS price, stock_quantity,
+       '2024-03-0' || (id % 9 + 1) AS last_updated, product_name || ', ' || category AS full_text_context,
+       round(sim, 4) AS similarity_score, round(1.0 - sim, 4) AS distance
+FROM scored WHERE sim >= 0.01 ORDER BY sim DESC, id LIMIT 10""")
+def search_hybrid_columns(spark, sf):
+    """The columns that a hybrid search returns by default."""
+    products = inputs.products(spark, sf).withColumns(
+        {
+            "last_updated": F.to_timestamp(F.concat(F.lit("2024-03-0"), (F.col("id") % 9 + 1).cast("string"))),
+            "full_text_context": F.concat_ws(", ", "product_name", "category"),
+        }
+    )
+    found = search.search_hybrid(products, inputs.mean_vector(spark, sf), threshold=0.01)
+    return _rounded_hybrid(found).withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd"))
+
+
+@query("search_stored_by_id", f"""WITH {HITS}
+SELECT query_id, h.id, rank::INTEGER AS rank, round(sim, 4) AS similarity, e.label FROM hits h JOIN embeddings e ON h.id = e.vec_id WHERE rank <= top_k""")
+def search_stored_by_id(spark, sf):
+    """A corpus stored in folders of ids; payloads come from the folders that hold winners."""
+    location = scratch_path(spark, "by-id")
+    append_corpus(search.with_id_bucket(inputs.corpus(spark, sf)), location, "overwrite", partition_by=["id_bucket"])
+    found = search.search_batch(load_corpus(spark, location), inputs.requests(spark, sf), ["label"])
+    return found.withColumn("similarity", similarity_4dp(F.col("similarity")))
+
+
 @query("optional_filters", f"""WITH {PRODUCTS}
 SELECT id, category, price::DOUBLE AS price FROM products WHERE category = 'PROMO' AND price >= 901 AND price <= 960.5""")
 def optional_filters(spark, sf):

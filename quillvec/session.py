@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +29,7 @@ def build_session(app: str = "quillvec", cores: str | int = "*", shuffle_partiti
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: the session's checkpoint folder.
 
-    A temporary folder is used only by a local session that names none.
+    A folder of its own is used only by a session that runs in one process (`local[n]`) and names none, as in tests.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -35,9 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
             configured = known.rsplit("/", 1)[0]
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="quillvec-")
+    return _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    """One folder for a local process that names none; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="quillvec-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

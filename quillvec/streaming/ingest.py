@@ -13,6 +13,7 @@ from quillvec.operators.chunks import chunk_pages
 from quillvec.operators.clean import nonblank_text
 from quillvec.plans.load import hashed
 from quillvec.sources.readers import as_pages
+from quillvec.sources.sinks import append_corpus
 
 
 def corpus_of_pages(
@@ -41,10 +42,14 @@ def ingest_incremental(
     columns: tuple[str, str, str] = ("source", "page", "text"),
     max_files_per_trigger: int = 1000,
     partitions: int | None = None,
+    skip_stored: bool = False,
     **options,
 ) -> StreamingQuery:
     """Start a run over all files that arrived since the last one and stop when they are stored.
 
+    With `skip_stored`, a chunk that is stored already with the same file, page, place and content is left out, so a
+    page that arrives again is not stored twice; each batch then reads the stored keys.
+
     The file sink records its commits, so a run that died is completed, not repeated. `partitions` spreads the
     rows of each batch over that many tasks, for the case of few and large files.
     """
@@ -57,6 +62,13 @@ def ingest_incremental(
     if partitions:
         stream = stream.repartition(partitions)
     corpus = corpus_of_pages(as_pages(stream, *columns), **options)
+    if skip_stored:
+
+        def store(batch: DataFrame, _: int) -> None:
+            append_corpus(batch, target_dir, dedupe_key=["file_name", "page_number", "chunk_index", "content_key"])
+
+        keyed = corpus.withColumn("content_key", F.md5("content"))
+        return keyed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     return (
         corpus.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint_dir)

@@ -265,3 +265,15 @@ def test_ranking_is_cut_before_the_shuffle(spark):
         rows = ranked.orderBy("query_id", "rank").collect()
         assert {q: [r.id for r in rows if r.query_id == q] for q in (1, 2)} == expected
         assert not totals or {r.total for r in rows} == {400}
+
+
+def test_payload_is_read_from_the_winners_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "BUCKET_IDS", 50)
+    rows = [(i, [float(i == 7), 1.0], f"text {i}") for i in range(500)]
+    corpus = search.with_id_bucket(spark.createDataFrame(rows, "id long, embedding array<float>, content string"))
+    corpus.write.partitionBy("id_bucket").parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    asked = spark.createDataFrame([(1, [1.0, 1.0], 1, 0.99)], REQUESTS)
+    found = search.search_batch(stored, asked, ["content"])
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.id, r.content) for r in found.collect()] == [(7, "text 7")]
