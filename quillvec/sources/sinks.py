@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +41,12 @@ def stored(spark: SparkSession, location: str, table: bool = False) -> DataFrame
     """What a location already holds, or None."""
     if table:
         return spark.table(location) if spark.catalog.tableExists(location) else None
-    path = spark._jvm.org.apache.hadoop.fs.Path(location)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.option("mergeSchema", True).parquet(location) if files.exists(path) else None
+    try:
+        return spark.read.option("mergeSchema", True).parquet(location)
+    except AnalysisException as failure:
+        if failure.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch_size: int = const.JDBC_BATCH, **options) -> None:
