@@ -5,6 +5,8 @@ Where an operator needs nulls, blanks or odd sizes, they are derived from the ro
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +50,9 @@ HITS = PAIRS + """, hits AS (
 
 def mean_vector(spark: SparkSession, sf: str) -> list[float]:
     """The mean of all vectors: one value per dimension."""
-    cells = table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("pos", "x"))
-    means = cells.groupBy("pos").agg(F.avg(F.col("x").cast("double")).cast("float").alias("m"))
-    return [row["m"] for row in means.orderBy("pos").collect()]
+    vectors = table(spark, sf, "embeddings").select(array_to_vector(F.col("embedding")).alias("v"))
+    mean = vectors.select(Summarizer.mean(F.col("v")).alias("mean")).first()["mean"]
+    return [float(x) for x in mean.toArray().astype("float32")]
 
 
 MEAN = """mean AS (
