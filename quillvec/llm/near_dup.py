@@ -1,9 +1,10 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Copies (equal word sequences) collapse first. Their representatives are banded; a bucket's members are compared with
-its smallest member, signature batch by signature batch, and a pair is dropped once the posterior chance of reaching
+a few centers of it, signature batch by signature batch, and a pair is dropped once the posterior chance of reaching
 the threshold falls below MISS. What survives is confirmed on the full shingle sets. Members of a bucket that still
-stand in different classes are then compared with each other; crowded buckets are first cut by longer bands.
+stand in different classes are compared with each other too, as far as they share one of their rarest shingles, which
+every pair at the threshold does.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillvec.llm.common import documents
 from quillvec.llm.components import components
@@ -29,9 +31,8 @@ LINK, LINK_OF = 75, 100
 # A pair at the threshold shares no band with probability (1 - 0.75^4)^40 = 2.4e-7.
 BANDS, BAND_ROWS = 40, 4
 HASHES = BANDS * BAND_ROWS
-# Crowded buckets: bands of 8 out of the same hashes; 300 of them miss a pair at the threshold about once in 10^6.
-LONG_BANDS, LONG_ROWS = 300, 8
-CROWD = 64
+# Members of each bucket that all others are compared with.
+CENTERS = 2
 # Signature batch and the miss probability at which a pair is given up.
 BATCH = 32
 MISS = 1e-6
@@ -87,19 +88,11 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def long_band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bands of LONG_ROWS fixed places of the signature, drawn without return for each band."""
-    draw = np.random.default_rng(41)
-    places = np.array([draw.choice(HASHES, LONG_ROWS, replace=False) for _ in range(LONG_BANDS)])
-    mixers, spread = odd_numbers(LONG_ROWS, 43), odd_numbers(LONG_BANDS, 47)
+def shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
     for batch in batches:
-        bands = []
-        for s in batch.column("signature").to_pylist():
-            picked = np.frombuffer(s, "<u2").astype(np.uint64)[places]
-            bands.append(mixed((picked * mixers).sum(axis=1) ^ spread).view(np.int64))
-        yield pa.record_batch(
-            [batch.column("node"), pa.array(bands, pa.list_(pa.int64()))], names=["node", "bands"]
-        )
+        rows = [shingles(t.lower().split(), hashes).view(np.int64) for t in byte_texts(batch.column("text"))]
+        yield pa.record_batch([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "rows"])
 
 
 def least_matches(batch: int = BATCH, hashes: int = HASHES, miss: float = MISS) -> list[tuple[int, int]]:
@@ -177,29 +170,69 @@ def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(both.select("a", "b", "text_a", "text_b").mapInArrow(confirmed_batches, "a long, b long"), "links")
 
 
-def crowd_members(banded: DataFrame) -> DataFrame:
-    """(band, node, center, n) of all bands with several nodes; the center is the smallest node."""
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).where("n > 1")
-    return settle(banded.join(buckets, "band"), "members")
+def shared_bands(banded: DataFrame) -> DataFrame:
+    """(band, node, n, center) of all bands with several nodes; `center` marks CENTERS of them.
+
+    Centers are the first nodes by one draw for all bands, so that bands of one group mostly share them.
+    """
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    members = settle(banded.join(buckets.select("band"), "band"), "bands")
+    draw = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("node"), "node"))
+    centers = members.withColumn("place", draw).where(F.col("place") <= CENTERS).select("band", "node", F.lit(True).alias("center"))
+    marked = members.join(centers, ["band", "node"], "left").withColumn("center", F.coalesce("center", F.lit(False)))
+    return settle(marked, "members")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    return members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    """Pairs of a center and another member of its band."""
+    centers = members.where("center").select("band", F.col("node").alias("c"), F.col("n").alias("n_c"))
+    # Sets at the threshold differ in size by the threshold at most.
+    alike = (F.col("n") * LINK_OF >= F.col("n_c") * LINK) & (F.col("n_c") * LINK_OF >= F.col("n") * LINK)
+    return (
+        members.join(centers, "band").where((F.col("node") != F.col("c")) & alike)
+        .select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    )
 
 
 def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their class so far, of the bands whose members are of several classes."""
-    known = members.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    """(node, class so far) of the members of bands of several classes."""
+    known = members.select("band", "node").join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     several = known.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi")
-    return settle(known.join(several.select("band"), "band"), "unresolved")
+    return settle(known.join(several.select("band"), "band").select("node", "class").distinct(), "unresolved")
+
 
+def rare_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of (node, class) in different classes that may reach the threshold, none of them missed.
 
-def class_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one band in different classes, without those of the center, which are known."""
-    m = members.where("node != center")
-    x = m.select("band", F.col("node").alias("a"), F.col("class").alias("class_a"))
-    y = m.select("band", F.col("node").alias("b"), F.col("class").alias("class_b"))
-    return x.join(y, "band").where("a < b AND class_a != class_b").select("a", "b").distinct()
+    With all shingles ordered from rare to frequent, two sets at the threshold share one among the first
+    n - ceil(n * LINK / LINK_OF) + 1 of each, at places that leave enough behind them (the prefix and positional filters
+    of set-similarity joins). A frequent passage stands at the end of that order, so it makes no pairs, and a set with
+    many shingles of its own has no partner.
+    """
+    ids = nodes.select(F.col("node").alias("doc_id")).distinct()
+    sets = settle(chosen(texts, settle(ids, "ids"), "doc_id").mapInArrow(shingle_batches, "node long, rows array<long>"), "sets")
+    flat = sets.select("node", F.size("rows").alias("n"), F.explode("rows").alias("shingle"))
+    shared = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Shingles of one set only come first in the order and meet nothing.
+    common = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
+    ranked = flat.join(shared, "shingle").select("node", "n", "shingle", (F.col("n") - common + rank).alias("place"))
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * LINK / LINK_OF) + 1).join(nodes, "node")
+    prefix = settle(prefix.select("shingle", "node", "class", "n", "place"), "prefix")
+    x, y = (prefix.withColumnsRenamed({c: f"{c}_{side}" for c in ("node", "class", "n", "place")}) for side in "ab")
+    # If this shingle is the first that both share, no more than it and what follows in either can be shared.
+    most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    may_link = most * (LINK_OF + LINK) >= (F.col("n_a") + F.col("n_b")) * LINK
+    other = (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
+    return x.join(y, "shingle").where(other & may_link).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def joined_classes(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after more links."""
+    if found.isEmpty():
+        return labels
+    known = labels.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return settle(components(known.union(found)), "labels")
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -216,30 +249,18 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     first = settle(worded.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "copies")
     # Where a doc_id is repeated with its text, one of the rows stands for it.
     nodes = worded.join(first, ["doc_id", "key"], "left_semi")
-    banded = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    members = crowd_members(banded.distinct() if _repeats(sketch) else banded)
+    banded = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    members = shared_bands(banded.distinct() if _repeats(sketch) else banded)
     signed = settle(
         worded.select(F.col("doc_id").alias("node"), "key", "signature")
         .join(first.withColumnRenamed("doc_id", "node"), ["node", "key"], "left_semi")
         .join(members.select("node").distinct(), "node", "left_semi").select("node", "signature"),
         "signed",
     )
-    found = links(star_pairs(members), signed, texts)
-    labels = settle(components(found), "labels")
+    labels = settle(components(links(star_pairs(members), signed, texts)), "labels")
     rest = unresolved(members, labels)
     if not rest.isEmpty():
-        crowded = rest.where(F.col("n") > CROWD)
-        more = class_pairs(rest.where(F.col("n") <= CROWD))
-        if not crowded.isEmpty():
-            there = crowded.select("node").distinct()
-            longer = signed.join(there, "node", "left_semi").mapInArrow(long_band_batches, "node long, bands array<long>")
-            again = crowd_members(longer.select("node", F.explode("bands").alias("band")))
-            stars = star_pairs(again)
-            found = settle(found.union(links(stars, signed, texts)), "found")
-            labels = settle(components(found), "labels")
-            more = more.union(class_pairs(unresolved(again, labels))).distinct()
-        found = found.union(links(more, signed, texts))
-        labels = settle(components(found), "labels")
+        labels = joined_classes(labels, links(rare_pairs(rest, texts), signed, texts))
     named = first.withColumnRenamed("doc_id", "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("key", F.coalesce("component", "rep").alias("component_id"))
