@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column, gap: str) -> Column:
-    """The words of a lower-cased text in order; none for null. Only the ends can be empty after a split."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), gap), lambda w: w != "")
+    """The words of a lower-cased text in order; none for null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap), "")
 
 
 def running(df: DataFrame, order: list[str], sums: list[str], label: str) -> DataFrame:
@@ -60,5 +62,22 @@ def running(df: DataFrame, order: list[str], sums: list[str], label: str) -> Dat
     )
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark, size: str = "4m") -> Iterator[None]:
+    """Hand rows to Python in batches of a few MB while the block runs its jobs, so that texts of any length fit."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)
+
+
 def documents(spark, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillvec.llm.common import documents
+from quillvec.llm.common import documents, small_batches
 from quillvec.llm.components import components
 from quillvec.llm.tasks import WordHashes, byte_texts, mixed, odd_numbers
 from quillvec.session import settle
@@ -243,7 +243,11 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     component_id and is kept. Rows of one doc_id are one node, so they share a class. Classes are named by their
     smallest doc_id. An empty table gives no rows. Other columns are ignored.
     """
-    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with small_batches(df.sparkSession):
+        return _classes(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+def _classes(texts: DataFrame) -> DataFrame:
     sketch = settle(texts.mapInArrow(sketch_batches, SKETCH), "sketch")
     worded = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = settle(worded.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "copies")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 
 
 class WordHashes(dict):
