@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillvec.llm.common import small_batches
 from quillvec.llm.near_dup import BROADCAST_IDS
 from quillvec.session import settle
 
@@ -226,7 +227,8 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     empty table gives no rows.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    parsed = settle(source.mapInArrow(page_batches, PARSED), "parsed")
+    with small_batches(pages.sparkSession):
+        parsed = settle(source.mapInArrow(page_batches, PARSED), "parsed")
     hosts = parsed.select("host", "row.page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     held = parsed.select("host", "row.page", F.explode("subtrees.hash").alias("hash")).distinct()
     counted = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= least_pages)
