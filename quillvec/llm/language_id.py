@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillvec.llm.common import documents
+from quillvec.llm.common import documents, small_batches
 from quillvec.llm.near_dup import chosen
 from quillvec.llm.tasks import mixed, odd_numbers
 from quillvec.session import settle
@@ -137,10 +137,11 @@ def train(docs: DataFrame, keep: Column) -> tuple[list[str], np.ndarray, np.ndar
     texts = chosen(labelled.select("doc_id", "lang", "text"), sample.select("doc_id"), "doc_id")
     placed = texts.join(F.broadcast(draws.select("lang", "language")), "lang").select("language", "text")
     spread = placed.repartition(TRAIN_PARTS, F.xxhash64("text"))
-    found = (
-        spread.mapInArrow(count_batches(len(names)), "language int, bucket int, n long")
-        .groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    )
+    with small_batches(docs.sparkSession):
+        found = (
+            spread.mapInArrow(count_batches(len(names)), "language int, bucket int, n long")
+            .groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        )
     counts = np.full((1 << HASH_BITS, len(names)), SMOOTHING)
     counts[found["bucket"].to_numpy(), found["language"].to_numpy()] += found["n"].to_numpy()
     share = np.array([sizes[n] for n in names], dtype=np.float64)
@@ -157,7 +158,8 @@ def identify(docs: DataFrame, names: list[str], prior: np.ndarray, matrix: np.nd
     if not names:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
-    return rows.mapInArrow(score_batches(shared, prior, names), "doc_id long, lang_pred string, score double")
+    with small_batches(docs.sparkSession):
+        return settle(rows.mapInArrow(score_batches(shared, prior, names), "doc_id long, lang_pred string, score double"), "languages")
 
 
 def held_out() -> Column:

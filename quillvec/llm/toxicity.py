@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import documents
+from quillvec.llm.common import documents, small_batches
 from quillvec.llm.near_dup import chosen
 from quillvec.llm.tasks import byte_texts
 from quillvec.session import settle
@@ -30,7 +30,7 @@ TRAIN_ROWS = 24_000
 TRAIN_PARTS = 12
 HASH_BITS = 20
 # Letters of a word's beginning that are terms of their own.
-STEMS = [4, 5, 6]
+STEMS = [4, 5, 6, 8]
 # Terms need this chi-square value (chance about one in 600); the strongest are kept.
 LEAST_CHI2 = 10.0
 TERMS = 2048
@@ -38,7 +38,7 @@ FACTORS = 4
 STEPS, BATCH, RATE, L2 = 1500, 256, 0.02, 2e-4
 THRESHOLD = 0.3
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-VOCABULARY = 300_000
+VOCABULARY = 200_000
 
 
 class Machine(NamedTuple):
@@ -177,9 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column) -> Machine:
     if not positive or not negative:
         share = min(max(positive / max(positive + negative, 1), 1e-3), 1 - 1e-3)
         return Machine(np.zeros(0, dtype=np.int64), float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, FACTORS)))
-    counts = rows.mapInArrow(count_batches, "term long, positive long, negative long")
-    terms = strongest_terms(counts, positive, negative)
-    placed = rows.mapInArrow(place_batches(terms), "label int, places array<int>").orderBy(F.xxhash64("places", "label")).collect()
+    with small_batches(docs.sparkSession):
+        counts = rows.mapInArrow(count_batches, "term long, positive long, negative long")
+        terms = strongest_terms(counts, positive, negative)
+        places = settle(rows.mapInArrow(place_batches(terms), "label int, places array<int>"), "places")
+    placed = places.orderBy(F.xxhash64("places", "label")).collect()
     return fit(terms, [r["places"] for r in placed], np.array([r["label"] for r in placed], dtype=np.float64))
 
 
@@ -206,7 +208,8 @@ def score_batches(machine: Machine) -> Callable:
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score (0 to 1) of every row of `docs`; a null or empty text gets the score of no terms."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(score_batches(machine), "doc_id long, score double")
+    with small_batches(docs.sparkSession):
+        return settle(rows.mapInArrow(score_batches(machine), "doc_id long, score double"), "scores")
 
 
 def held_out() -> Column:
