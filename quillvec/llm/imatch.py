@@ -20,7 +20,6 @@ TERM_BITS = 20
 LEAST_SHARE, MOST_SHARE = 0.001, 0.1
 # Random parts of the lexicon; each term falls in one part, and stays at level L with chance 2^-L.
 PARTS = 48
-PARTED = "array<int>"
 
 
 def term_ids(text: Column) -> Column:
@@ -67,11 +66,11 @@ def thinned(terms: Column, level: Column) -> Column:
 
 
 def part_hashes(terms: Column) -> Column:
-    """For each part of the lexicon, a hash of the terms in it, 0 where there is none."""
+    """For each part of the lexicon, a hash of 15 bits of the terms in it, 0 where there is none."""
 
     def one(part: Column) -> Column:
         inside = F.filter(terms, lambda t: F.pmod(F.hash(t), F.lit(PARTS)) == part)
-        return F.when(F.size(inside) > 0, F.xxhash64(inside).bitwiseAND(0x7FFFFFFF).bitwiseOR(1).cast("int")).otherwise(0)
+        return F.when(F.size(inside) > 0, F.xxhash64(inside).bitwiseAND(0x7FFF).bitwiseOR(1)).otherwise(0).cast("smallint")
 
     return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), one)
 
@@ -98,7 +97,7 @@ def as_string(print_: Column) -> Column:
     """The fingerprint as text: level, then the part hashes in hexadecimal, empty parts left blank."""
 
     def hexed(parts: Column) -> Column:
-        return F.array_join(F.transform(parts, lambda p: F.when(p == 0, "").otherwise(F.hex(p))), ".")
+        return F.array_join(F.transform(parts, lambda p: F.when(p == 0, "").otherwise(F.hex(p.cast("long")))), ".")
 
     return F.concat_ws(":", print_["level"].cast("string"), hexed(print_["low"]), hexed(print_["high"]))
 
