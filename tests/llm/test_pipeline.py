@@ -36,3 +36,26 @@ def test_stages_follow_their_operators(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "curve"] and out.count() > 100
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """A driver started elsewhere, whose Python workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    import __spark_entry__ as entry
+
+    names = ["op2_repair_tokens", "op3_site_templates", "op5_toxicity", "op9_near_duplicates", "op10_language_id"]
+    script = tmp_path / "driver.py"
+    script.write_text(
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('entry', {entry.__file__!r})\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "from quillvec.session import build_session\n"
+        "spark = build_session('elsewhere', 2)\n"
+        f"print('rows', *[m.queries()[n](spark, {SF!r}).count() for n in {names!r}])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
+    assert "rows 200 50 200 200 200" in done.stdout, done.stdout + done.stderr[-2000:]
