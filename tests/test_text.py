@@ -214,4 +214,4 @@ def test_cells(one_row):
     assert (r.owed, r.minus) == ("-5.25", "-1005.00")
     assert (r.short, r.named) == ("2023-05-07 00:00:00", "2021-03-09 00:00:00")
     assert r.iso == "2024-02-28 01:02:03" and r.slash == "2023-12-31 00:00:00"
-    assert r.month_first == "2023-03-04 00:00:00" and r.micro == "2024-02-28 01:02:03"
+    assert r.month_first == "2023-03-04 00:00:00" and r.micro == "2024-02-28 01:02:03.123456"
