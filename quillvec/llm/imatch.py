@@ -148,7 +148,7 @@ def followed(docs: DataFrame) -> DataFrame:
     The last is followed by the first. `head` has as many code points as a third of the row's own text, or all.
     Returns key, next_key, times, text, head; keys are of (doc_id, text).
     """
-    key = F.struct("doc_id", F.md5("text").alias("md5"))
+    key = F.struct("doc_id", F.xxhash64("text").alias("hash"))
     narrow = docs.select(key.alias("key"), F.length("text").alias("n")).groupBy("key").agg(
         F.first("n").alias("n"), F.count(F.lit(1)).alias("times")
     )
