@@ -12,8 +12,8 @@ from quillvec.session import settle
 MAX_EPOCHS = 3
 WEIGHTS = [5, 2, 1]
 SEED = 17
-# Documents tried per source to fill what the last whole document of the seeded order leaves open.
-FILL_ROUNDS = 5
+# Once no more rows than this can still fit, the driver ends the walk over them; the rows taken are the same.
+TAIL_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -55,12 +55,55 @@ def source_targets(sized: DataFrame, weights: list[int] = WEIGHTS, max_epochs: i
     return water_fill(sources.withColumn("weight", weight), max_epochs)
 
 
+def still_fitting(walked: DataFrame) -> DataFrame:
+    """Rows of `walked` that were not taken and are no larger than what is now open in their source, with that `_gap`."""
+    gaps = walked.groupBy(F.col("source").alias("_source")).agg(
+        (F.first("_gap") - F.coalesce(F.sum(F.when(F.col("_fits"), F.col("size"))), F.lit(0))).alias("_gap")
+    )
+    left = walked.where(~F.col("_fits")).select("source", "size", "row_index", "_part")
+    return left.join(gaps, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("size") <= F.col("_gap") + F.lit(1e-6)).drop("_source")
+
+
+def later_fits(walked: DataFrame) -> DataFrame:
+    """`_picked`: the row_index of each row that still fits after the first that did not, in the order of row_index.
+
+    `walked` (source, size, row_index, _part, _gap, _fits) has the rows before that one in `_fits`, and in `_gap` what
+    was open before them. The gap only falls, so rows above it are out for good; a running sum over the others takes
+    at least the first of each source, up to the next that does not fit, until none is left that fits.
+    """
+    spark = walked.sparkSession
+    picks = spark.createDataFrame([], "_picked long")
+    while True:
+        left = settle(still_fitting(walked), "left")
+        if left.count() <= TAIL_ROWS:
+            break
+        # One row per source and range.
+        sums = left.groupBy(F.col("source").alias("_source"), F.col("_part").alias("_range")).agg(F.sum("size").alias("_sum"))
+        above = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.select("_source", "_range", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_from"))
+        upto = Window.partitionBy("_part", "source").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
+        summed = left.withColumn("_upto", F.sum("size").over(upto)).join(
+            offsets, (F.col("_part") == F.col("_range")) & F.col("source").eqNullSafe(F.col("_source"))
+        )
+        walked = settle(
+            summed.select(*left.columns, (F.col("_from") + F.col("_upto") <= F.col("_gap") + F.lit(1e-6)).alias("_fits")), "fill"
+        )
+        picks = picks.union(walked.where("_fits").select(F.col("row_index").alias("_picked")))
+    gaps, picked = {}, []
+    for r in sorted(left.select("source", "size", "row_index", "_gap").collect(), key=lambda r: r["row_index"]):
+        gap = gaps.setdefault(r["source"], r["_gap"])
+        if r["size"] <= gap + 1e-6:
+            gaps[r["source"]] = gap - r["size"]
+            picked.append((r["row_index"],))
+    return picks.union(spark.createDataFrame(picked, "_picked long"))
+
+
 def mix(df: DataFrame, key: str, source: Column, size: Column, weights: list[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """How often the mix repeats each row of `df`.
 
-    Every row is repeated floor(target / source_size) times; one more repetition goes to rows in a seeded order until
-    the next would pass the target, and then to the largest rows that still fit. No row is cut, so a source misses its
-    target by less than its smallest row that was left out, and no row has over `max_epochs` repetitions.
+    Every row is repeated floor(target / source_size) times; then a walk over all rows in a seeded order gives one more
+    repetition to each that still fits below the target. No row is cut, so a source misses its target by less than
+    its smallest row of any size that was left out, and no row has over `max_epochs` repetitions.
     Null sources form one source, rows without words count 0 and are repeated alike; an empty table gives no rows.
     Returns key, source, size, source_size, target, repeats.
     """
@@ -84,26 +127,9 @@ def mix(df: DataFrame, key: str, source: Column, size: Column, weights: list[int
         "_fits", (F.col("before_size") - F.col("_source_start") + F.col("size") <= F.col("quota") + F.lit(1e-6)) & (F.col("quota") > 0.5)
     )
     placed = settle(
-        placed.select("key", "source", "size", "source_size", "target", "whole", "quota", "row_index", "_fits"), "repeats"
+        placed.select("key", "source", "size", "source_size", "target", "whole", "quota", "row_index", "_part", "_fits"), "repeats"
     )
-    # Per source, what is still open and the last row tried; rows are tried from the largest down.
-    state = placed.groupBy("source").agg(
-        (F.first("quota") - F.coalesce(F.sum(F.when(F.col("_fits"), F.col("size"))), F.lit(0))).alias("_gap")
-    ).withColumn("_last", F.lit(2**62).cast("long"))
-    picks = None
-    left = placed.where(~F.col("_fits") & (F.col("size") > 0)).select("source", "size", "row_index")
-    for _ in range(FILL_ROUNDS):
-        held = state.withColumnRenamed("source", "_source")
-        best = (
-            left.join(held, F.col("source").eqNullSafe(F.col("_source")))
-            .where((F.col("size") <= F.col("_gap") + F.lit(1e-6)) & (F.col("size") < F.col("_last")))
-            .groupBy("source", "_gap")
-            .agg(F.max(F.struct("size", "row_index")).alias("_best"))
-        )
-        best = settle(best, "fill")
-        picked = best.select(F.col("_best.row_index").alias("_picked"))
-        picks = picked if picks is None else picks.union(picked)
-        state = best.select("source", (F.col("_gap") - F.col("_best.size")).alias("_gap"), F.col("_best.size").alias("_last"))
+    picks = later_fits(placed.where("size > 0").withColumnRenamed("quota", "_gap"))
     done = placed.join(picks, F.col("row_index") == F.col("_picked"), "left")
     extra = (F.col("_fits") | F.col("_picked").isNotNull()).cast("long")
     return done.select(

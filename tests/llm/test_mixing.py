@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from quillvec.llm import mixing
 from quillvec.llm.mixing import mix, water_fill, word_count
 
@@ -52,6 +55,33 @@ def test_mix_takes_whole_rows_near_the_targets(spark):
         assert t - smallest[s] - 1e-6 <= taken[s] <= t + 1e-6
 
 
+@pytest.mark.parametrize("tail", [mixing.TAIL_ROWS, 0])
+def test_a_long_row_early_in_the_draw_shuts_no_later_row_out(spark, monkeypatch, tail):
+    """Every source takes what a plain walk over its rows in the seeded order takes."""
+    monkeypatch.setattr(mixing, "TAIL_ROWS", tail)
+    draw = F.xxhash64(F.lit(mixing.SEED), "id", "n")
+    first = spark.range(1000, 9000).withColumn("n", F.lit(60_000).cast("long")).orderBy(draw).first()["id"]
+    rows = [(first, "a", 60_000)] + [(i, "a", 50 * (1 + (7 * i) % 6)) for i in range(500)]
+    rows += [(500 + i, None if i % 2 else "b", 1 + (31 * i) % 97) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id long, source string, n long").repartition(6)
+    found = mix(frame, "id", frame["source"], frame["n"], weights=[1, 4, 3], max_epochs=10).collect()
+    assert sorted(r["id"] for r in found) == sorted(r[0] for r in rows)
+    repeats = {r["id"]: r["repeats"] for r in found}
+    order = [r["id"] for r in frame.orderBy(draw, "id").collect()]
+    size, source = {r[0]: r[2] for r in rows}, {r[0]: r[1] for r in rows}
+    assert [i for i in order if source[i] == "a"][0] == first
+    gap, whole = {}, {}
+    for r in found:
+        whole[r["source"]] = int(r["target"] / r["source_size"] + 1e-12)
+        gap[r["source"]] = r["target"] - whole[r["source"]] * r["source_size"]
+    assert 10_000 < gap["a"] < 60_000
+    for i in order:
+        takes = size[i] <= gap[source[i]] + 1e-6
+        gap[source[i]] -= size[i] * takes
+        assert repeats[i] == whole[source[i]] + takes
+    assert gap["a"] < 50
+
+
 def test_odd_rows(spark, docs, rows, nothing):
     found = mix(docs, "doc_id", docs["source"], word_count(docs["text"])).collect()
     assert len(found) == len(rows)
