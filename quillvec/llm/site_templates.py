@@ -24,7 +24,8 @@ from quillvec.llm.common import small_batches
 from quillvec.llm.near_dup import BROADCAST_IDS
 from quillvec.session import settle
 
-# A subtree is a template of its host if it is on this many different pages, and on this share of them.
+# A subtree is a template of its host if it is on this many different pages. Where it lies inside an article or main
+# element, which may repeat what others say, it must also be on this share of them.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.3
 
@@ -34,8 +35,10 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr img br".split()
 )
+# What holds a whole page or article.
+WHOLE = set("html body article main".split())
 # Blocks of text: what an article says, even if several pages say it.
-TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr caption figcaption html body article main".split())
+TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr caption figcaption".split()) | WHOLE
 CLOSE_P = set(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split()
@@ -93,14 +96,15 @@ def dropped(tag: str, rest: str, in_article: bool) -> bool:
     return False
 
 
-def parse(html: str) -> tuple[list[str], list[int], list[tuple[int, int, int]], bool]:
+def parse(html: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bool]], bool]:
     """(blocks, where, subtrees, whether there is an article).
 
-    `where` is 2 for a block of an article, 1 of a main element, else 0. A subtree is (hash, first block, end block).
+    `where` is 2 for a block of an article, 1 of a main element, else 0. A subtree is (hash, first block, end block,
+    whether it is inside an article or main element); blocks of text are subtrees outside only.
     """
     blocks: list[str] = []
     where: list[int] = []
-    subtrees: list[tuple[int, int, int]] = []
+    subtrees: list[tuple[int, int, int, bool]] = []
     # (tag, position, first block, drops)
     stack: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
@@ -123,8 +127,9 @@ def parse(html: str) -> tuple[list[str], list[int], list[tuple[int, int, int]],
             if tag not in INLINE:
                 if not drops:
                     flush()
-                if tag not in TEXT_BLOCKS and drops <= drop and (drop or len(blocks) > first):
-                    subtrees.append((xxhash.xxh3_64_intdigest(html[start:end]) - 2**63, first, len(blocks)))
+                inside = articles + mains > 0
+                if tag not in (TEXT_BLOCKS if inside else WHOLE) and drops <= drop and (drop or len(blocks) > first):
+                    subtrees.append((xxhash.xxh3_64_intdigest(html[start:end]) - 2**63, first, len(blocks), inside))
             drops -= drop
             if not drops and not drop:
                 articles -= tag == "article"
@@ -187,11 +192,11 @@ def parse(html: str) -> tuple[list[str], list[int], list[tuple[int, int, int]],
     return blocks, where, subtrees, seen_article or seen_main
 
 
-PARSED = "row struct<page_id:bigint,url:string,page:bigint>, host string, blocks array<string>, subtrees array<struct<hash:bigint,first:int,end:int>>"
+PARSED = "row struct<page_id:bigint,url:string,page:bigint>, host string, blocks array<string>, subtrees array<struct<hash:bigint,first:int,end:int,inside:boolean>>"
 
 
 def page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    subtree = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
+    subtree = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("inside", pa.bool_())])
     row = pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("page", pa.int64())])
     for batch in batches:
         rows, hosts, texts, trees = [], [], [], []
@@ -205,7 +210,7 @@ def page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new.append(n)
                 n += n < len(kept) and kept[n] == i
             texts.append([blocks[i] for i in kept])
-            trees.append([{"hash": h, "first": new[a], "end": new[b]} for h, a, b in subtrees])
+            trees.append([{"hash": h, "first": new[a], "end": new[b], "inside": inside} for h, a, b, inside in subtrees])
             rows.append({"page_id": page_id, "url": url, "page": xxhash.xxh3_64_intdigest("\n".join(texts[-1])) - 2**63})
             try:
                 hosts.append(urlsplit(url or "").hostname or "")
@@ -222,7 +227,9 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
 
     Blocks are joined by a line feed; white space inside a block is one space; character references are decoded. Pages
     with the same text count once when a host's subtrees are counted, so copies of a page don't make it a template.
-    Paragraphs, headings, list items and cells are never templates by themselves: an article may repeat another's.
+    Inside an article or main element a template must be on `least_share` of the host's pages too, and paragraphs,
+    headings, list items and cells are never templates by themselves: an article may repeat another's. Outside, the
+    number of pages decides alone, so that a large host's sections and designs lose theirs, and for all blocks of text.
     A null or empty page has an empty text; a null url is a host of its own; repeated rows are returned as often; an
     empty table gives no rows.
     """
@@ -230,14 +237,16 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     with small_batches(pages.sparkSession):
         parsed = settle(source.mapInArrow(page_batches, PARSED), "parsed")
     hosts = parsed.select("host", "row.page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    held = parsed.select("host", "row.page", F.explode("subtrees.hash").alias("hash")).distinct()
-    counted = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= least_pages)
+    trees = F.explode(F.transform("subtrees", lambda t: F.struct(t["hash"].alias("hash"), t["inside"].alias("inside"))))
+    held = parsed.select("host", "row.page", trees.alias("t")).select("host", "page", "t.hash", "t.inside").distinct()
+    counted = held.groupBy("host", "hash", "inside").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= least_pages)
     recurring = settle(
-        counted.join(hosts, "host").where(F.col("on") >= F.col("pages") * least_share).select("host", "hash"), "recurring"
+        counted.join(hosts, "host").where(~F.col("inside") | (F.col("on") >= F.col("pages") * least_share)).select("host", "hash", "inside"),
+        "recurring",
     )
     where = parsed.select("row", "host", F.explode("subtrees").alias("s")).where("s.end > s.first")
     cuts = settle(
-        where.select("row", "host", F.col("s.hash").alias("hash"), "s.first", "s.end").join(recurring, ["host", "hash"], "left_semi")
+        where.select("row", "host", F.col("s.hash").alias("hash"), "s.inside", "s.first", "s.end").join(recurring, ["host", "hash", "inside"], "left_semi")
         .groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("cuts")).withColumnRenamed("row", "cut_row"),
         "cuts",
     )

@@ -54,3 +54,23 @@ def test_templates_are_deleted_by_host(spark):
     expected += [(200 + i, f"Said by all\nown {i}") for i in range(8)]
     assert found == sorted((repr(i), t, len(t)) for i, t in expected)
     assert s.main_text(pages.limit(0)).count() == 0
+
+
+def test_templates_of_sections_and_bare_notices_are_deleted(spark):
+    """Four designs of a host, each on a quarter of its pages, and a bare paragraph on all of them."""
+    def page(i):
+        design = f"<div><div>Menu {i % 4}</div><ul><li>Entry {i % 4}</li></ul></div>"
+        return f"<body>{design}<div><p>Own text {i}</p><p>Said twice {i // 2}</p></div><p>Notice to all</p><table><tr><td>Cell {i}</table></body>"
+
+    rows = [(i, f"http://big.example/{i}", page(i)) for i in range(40)]
+    # Inside an article the share of the pages counts as before.
+    inside = "<article><div>Box {}</div><p>Quote {}</p><p>own {}</p></article>"
+    rows += [(100 + i, f"http://articles.example/{i}", inside.format(i % 4, i % 4, i)) for i in range(40)]
+    rows += [(200 + i, f"http://one.example/{i}", inside.format(0, 0, i)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r["page_id"]: r["text"] for r in s.main_text(pages).collect()}
+    assert found == (
+        {i: f"Own text {i}\nSaid twice {i // 2}\nCell {i}" for i in range(40)}
+        | {100 + i: f"Box {i % 4}\nQuote {i % 4}\nown {i}" for i in range(40)}
+        | {200 + i: f"Quote 0\nown {i}" for i in range(40)}
+    )
