@@ -122,14 +122,14 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For every row of `files` (path, text): path, own_license, score, license, inherited_from.
 
     own_license is what the file's text states (null if nothing), score its cosine. license is the same, or else that
-    of the nearest directory above whose licence files (LICENSE, COPYING, NOTICE ..., any ending) state one; the
+    of the nearest directory above whose licence files (LICENSE, COPYING, NOTICE ..., alone or before ".", "-" or "_") state one; the
     licence file itself speaks for its directory. If several of a directory do, the highest score wins, then the name.
     inherited_from is that directory, "" the root. A row without path inherits nothing; a null or empty text states
     nothing; rows that share a path share its best statement; an empty table gives no rows.
     """
     own = settle(own_licenses(files.where(F.col("path").isNotNull()), threshold), "own")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    declared = own.where(F.split(name, "[.]")[0].isin(LICENSE_FILES)).select(
+    declared = own.where(F.split(name, "[-_.]")[0].isin(LICENSE_FILES)).select(
         F.element_at(parents("path"), -1).alias("dir"), "license", "score"
     )
     declares = settle(

@@ -25,6 +25,14 @@ def test_nearest_directory_wins(spark):
     ], key=repr)
 
 
+def test_names_of_licence_files(spark):
+    names = {"LICENSE-MIT": True, "license_mit.txt": True, "COPYING.LIB": True, "Licence": True, "LICENSES": False, "my-license": False}
+    files = [(f"d{i}/{n}", "Released under the MIT License.") for i, n in enumerate(names)] + [(f"d{i}/f", "f") for i in range(len(names))]
+    files += [(f"z/{i}", f"some words of file {i}") for i in range(60)]
+    found = {r["path"]: r["license"] for r in scan.license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert [found[f"d{i}/f"] for i in range(len(names))] == ["MIT" if speaks else None for speaks in names.values()]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "path string, text string")
     assert scan.license_scan(empty).count() == 0
