@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillvec.llm.common import documents, running
 from quillvec.session import settle
@@ -110,14 +109,15 @@ def shard_by_curve(
     bounds = cell_bounds(narrow, names)
     total = narrow.agg(F.sum("_size")).first()[0] or 0
     groups = narrow.groupBy("_group").agg(
-        F.min(F.struct("_key", *names)).alias("_lead"), F.sum("_size").alias("_group_size")
-    ).select("_group", "_group_size", curve_index([cell(F.col(f"_lead.{n}"), bounds[n]) for n in names]).alias("_curve"))
-    rows = narrow.join(groups, "_group").select("_key", "_size", "_carry", "_group", "_group_size", "_curve")
-    run = running(rows, ["_curve", "_group", "_key"], ["_size"], "curve")
-    start = F.min("before__size").over(Window.partitionBy("_part", "_curve", "_group"))
-    whole = F.col("_group_size") * (50 * shards) <= total
-    middle = F.when(whole, start * 2 + F.col("_group_size")).otherwise(F.col("before__size") * 2 + F.col("_size"))
-    cut = run.withColumn("_middle", middle).withColumn(
+        F.min(F.struct("_key", *names)).alias("_lead"), F.sum("_size").alias("_group_size"), F.count(F.lit(1)).alias("_copies")
+    ).select("_group", "_group_size", "_copies", curve_index([cell(F.col(f"_lead.{n}"), bounds[n]) for n in names]).alias("_curve"))
+    rows = narrow.join(groups, "_group").select("_key", "_size", "_carry", "_group", "_group_size", "_copies", "_curve")
+    run = settle(running(rows, ["_curve", "_group", "_key"], ["_size"], "curve"), "placed")
+    # A range bound can divide a group, so its start is taken over the whole group. A row alone is its own start.
+    whole = (F.col("_group_size") * (50 * shards) <= total) & (F.col("_copies") > 1)
+    starts = run.where(whole).groupBy(F.col("_group").alias("_of")).agg(F.min("before__size").alias("_start"))
+    middle = F.when(whole, F.col("_start") * 2 + F.col("_group_size")).otherwise(F.col("before__size") * 2 + F.col("_size"))
+    cut = run.join(starts, whole & (F.col("_group") == F.col("_of")), "left").withColumn("_middle", middle).withColumn(
         "_shard", F.least(F.lit(shards - 1), F.expr(f"cast(({shards} * _middle) div {2 * total or 1} as int)"))
     )
     # One row per shard.

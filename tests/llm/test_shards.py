@@ -45,6 +45,21 @@ def test_groups_stay_whole_unless_too_large(spark):
     assert "the hot copy" in split and len(split) <= 8
 
 
+def test_a_range_bound_inside_a_group_does_not_cut_it(spark, monkeypatch):
+    ranged = h.running
+    monkeypatch.setattr(h, "running", lambda *a: ranged(*a).withColumn("_part", F.col("row_index")))
+    rows = [(i, f"text {i % 1300:05}", "en", f"s{i % 9}") for i in range(6500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    out = h.shard_by_curve(docs, "doc_id", h.text_size(F.col("text")), F.xxhash64("text"), h.document_dims(), {"text": F.col("text")}).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(6500))
+    shards, slots = {}, {}
+    for r in out:
+        shards.setdefault(r["text"], set()).add(r["shard"])
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(len(s) == 1 for s in shards.values())
+    assert sorted(slots) == list(range(16)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_query(spark, tables):
     folder, plain = tables
     out = h.query(spark, folder).collect()
