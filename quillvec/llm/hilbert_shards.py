@@ -15,14 +15,21 @@ SHARDS = 16
 BITS = 5
 
 
-def string_code(value: Column) -> Column:
-    """A number that orders strings by their first seven bytes; 0 for null and for an empty string."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(value, F.lit("")), "utf-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+def value_cells(df: DataFrame, name: str, rows: int, bits: int = BITS) -> DataFrame:
+    """`_value` and `_cell` of every distinct value of a string column of `df`, which has `rows` rows.
+
+    Values are ordered as a whole and cut at equal shares of the rows.
+    """
+    counts = df.groupBy(F.col(name).alias("_value")).agg(F.count(F.lit(1)).alias("_held"))
+    run = running(counts, ["_value"], ["_held"], "values")
+    cell = F.expr(f"cast(({2**bits} * before__held) div {rows or 1} as int)")
+    return settle(run.select("_value", cell.alias("_cell")), "cells")
 
 
 def cell_bounds(df: DataFrame, names: list[str], bits: int = BITS) -> dict[str, list]:
-    """At most 2^bits - 1 rising values for each dimension, at equal shares of the rows."""
+    """At most 2^bits - 1 rising values for each numeric dimension, at equal shares of the rows."""
+    if not names:
+        return {}
     shares = [i / 2**bits for i in range(1, 2**bits)]
     row = df.select([F.percentile_approx(n, shares, F.lit(2000)).alias(n) for n in names]).first()
     return {n: sorted(set(row[n] or [])) for n in names}
@@ -91,26 +98,31 @@ def shard_by_curve(
     """Give every row of `df` a shard and a gapless slot, along the curve over `dims`.
 
     Rows of one `group` stand together at the place of its row with the smallest `key`, so a group stays in one shard
-    unless it holds over a fiftieth of a shard's bytes; a larger group is cut by rows, so no shard waits for it. A
-    null dimension counts as its lowest value, a null key comes first, repeated rows get a slot each, an empty table
+    unless it holds over a fiftieth of a shard's bytes; a larger group is cut by rows, so no shard waits for it.
+    Dimensions are strings or whole numbers. A null dimension counts as its lowest value, a null key comes first, repeated rows get a slot each, an empty table
     gives no rows. Returns key, the `carry` columns, size, curve, shard, slot.
     """
     names = [f"_d{i}" for i in range(len(dims))]
+    strings = {n for n, kind in df.select(*[d.alias(n) for d, n in zip(dims, names)]).dtypes if kind == "string"}
     narrow = settle(
         df.select(
             F.col(key).alias("_key"),
             size.cast("long").alias("_size"),
             group.alias("_group"),
-            *[F.coalesce(d.cast("long"), F.lit(-(2**62))).alias(n) for d, n in zip(dims, names)],
+            *[(F.coalesce(d, F.lit("")) if n in strings else F.coalesce(d.cast("long"), F.lit(-(2**62)))).alias(n) for d, n in zip(dims, names)],
             F.struct(F.lit(0).alias("_none"), *[c.alias(n) for n, c in carry.items()]).alias("_carry"),
         ),
         "metadata",
     )
-    bounds = cell_bounds(narrow, names)
-    total = narrow.agg(F.sum("_size")).first()[0] or 0
+    bounds = cell_bounds(narrow, [n for n in names if n not in strings])
+    total, count = narrow.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
     groups = narrow.groupBy("_group").agg(
         F.min(F.struct("_key", *names)).alias("_lead"), F.sum("_size").alias("_group_size"), F.count(F.lit(1)).alias("_copies")
-    ).select("_group", "_group_size", "_copies", curve_index([cell(F.col(f"_lead.{n}"), bounds[n]) for n in names]).alias("_curve"))
+    ).select("_group", "_group_size", "_copies", *[f"_lead.{n}" for n in names])
+    for n in sorted(strings):
+        groups = groups.join(value_cells(narrow, n, count), F.col(n) == F.col("_value")).drop(n, "_value").withColumnRenamed("_cell", n)
+    cells = [F.col(n) if n in strings else cell(F.col(n), bounds[n]) for n in names]
+    groups = groups.select("_group", "_group_size", "_copies", curve_index(cells).alias("_curve"))
     rows = narrow.join(groups, "_group").select("_key", "_size", "_carry", "_group", "_group_size", "_copies", "_curve")
     run = settle(running(rows, ["_curve", "_group", "_key"], ["_size"], "curve"), "placed")
     # A range bound can divide a group, so its start is taken over the whole group. A row alone is its own start.
@@ -138,7 +150,7 @@ def text_size(text: Column) -> Column:
 
 
 def document_dims() -> list[Column]:
-    return [string_code(F.col("lang")), string_code(F.col("source")), F.length(F.coalesce("text", F.lit("")))]
+    return [F.col("lang"), F.col("source"), F.length(F.coalesce("text", F.lit("")))]
 
 
 def query(spark, sf: str) -> DataFrame:

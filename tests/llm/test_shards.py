@@ -45,6 +45,19 @@ def test_groups_stay_whole_unless_too_large(spark):
     assert "the hot copy" in split and len(split) <= 8
 
 
+def test_the_whole_source_decides(spark):
+    """Sources with a common beginning have places of their own on the curve, so a shard holds few of them."""
+    rows = [(i, "x" * 100, "en", f"https://example.org/crawl/{(7 * i) % 8}") for i in range(3200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    out = h.shard_by_curve(docs, "doc_id", h.text_size(F.col("text")), F.col("doc_id"), h.document_dims(), {"source": F.col("source")}).collect()
+    places = {}
+    for r in out:
+        places.setdefault(r["source"], set()).add(r["curve"])
+    assert len(out) == 3200 and all(len(p) == 1 for p in places.values()) and len(set.union(*places.values())) == 8
+    for s in range(16):
+        assert len({r["source"] for r in out if r["shard"] == s}) <= 2
+
+
 def test_a_range_bound_inside_a_group_does_not_cut_it(spark, monkeypatch):
     ranged = h.running
     monkeypatch.setattr(h, "running", lambda *a: ranged(*a).withColumn("_part", F.col("row_index")))
