@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillvec.llm import hilbert_shards, imatch, language_id, license_scan, mixing, near_dup, repair_tokens, site_templates, toxicity, winnowing
+from quillvec.llm import (
+    hilbert_shards, imatch, language_id, license_scan, mixing, near_dup, periodic_runs, repair_tokens, site_templates, toxicity, winnowing,
+)
 
 QUERIES = {
     "op1_imatch": imatch.query,
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_hilbert_shards": hilbert_shards.query,
     "op9_near_duplicates": near_dup.query,
     "op10_language_id": language_id.query,
+    "op11_periodic_runs": periodic_runs.query,
 }
 ORACLES: dict[str, str] = {"op4_license_scan": license_scan.SQL, "op6_winnowing": winnowing.SQL}
