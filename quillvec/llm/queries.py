@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from quillvec.llm import (
-    hilbert_shards, imatch, language_id, license_scan, mixing, near_dup, periodic_runs, repair_tokens, site_templates, toxicity, winnowing,
+    hilbert_shards, imatch, language_id, license_scan, mixing, near_dup, neighbour_graph, periodic_runs, repair_tokens, site_templates,
+    toxicity, whitening, winnowing,
 )
 
 QUERIES = {
@@ -18,5 +19,7 @@ QUERIES = {
     "op9_near_duplicates": near_dup.query,
     "op10_language_id": language_id.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_whitening": whitening.query,
+    "op13_neighbour_graph": neighbour_graph.query,
 }
 ORACLES: dict[str, str] = {"op4_license_scan": license_scan.SQL, "op6_winnowing": winnowing.SQL}
