@@ -31,16 +31,18 @@ REVERSE = 24
 # Links of a node in the graph that is searched, in both directions.
 MOST_LINKS = 48
 # Rounds end once this share of list places changes no more.
-CHANGES = 0.02
+CHANGES = 0.1
 ROUNDS = 16
 # Trees are fitted on a sample of so many rows and bytes at most, drawn by hash; all rows go through them.
-TREES = 8
+TREES = 24
 SAMPLE_ROWS, SAMPLE_BYTES = 16_384, 32 << 20
-LEAF = 96
+LEAF = 128
+# Neighbours a row gets from a leaf.
+LEAF_NEAR = 8
 # Rows of a leaf that are compared with each other at once: larger leaves are dealt by hash.
 LEAF_MOST = 512
 # Nodes of a block, about.
-BLOCK = 8192
+BLOCK = 16_384
 # Nodes a query keeps while it searches, and the nodes it starts from.
 BEAM = 160
 ENTRIES = 8
@@ -183,7 +185,7 @@ def updates(target: np.ndarray, cand: np.ndarray, dist: np.ndarray) -> list[pa.A
     return [pa.array(target >> SHIFT), pa.array(target), pa.array(cand), pa.array(dist)]
 
 
-def leaf_batches(dtype: str, d: int, degree: int) -> Callable:
+def leaf_batches(dtype: str, d: int, most: int) -> Callable:
     """Neighbours within leaves that come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +198,7 @@ def leaf_batches(dtype: str, d: int, degree: int) -> Callable:
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 for p in range(a, b, LEAF_MOST):
                     q = min(p + LEAF_MOST, b)
-                    found.append(nearest_in(node[p:q], x[p:q], degree))
+                    found.append(nearest_in(node[p:q], x[p:q], most))
             return pa.RecordBatch.from_arrays(updates(*(np.concatenate(f) for f in zip(*found))), schema=UPDATE_ARROW)
 
         for batch in batches:
@@ -462,7 +464,7 @@ def build(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         inside = F.row_number().over(Window.partitionBy("block").orderBy("h", "members")).cast("long")
         nodes = settle(placed.select("block", (F.shiftleft("block", SHIFT) + inside).alias("node"), "members", "v"), "nodes")
         near = nodes.mapInArrow(leaf_codes(trees, bits, dtype), "code long, node long, v binary").repartition("code").sortWithinPartitions("code", F.hash("node"))
-        first = near.mapInArrow(leaf_batches(dtype, d, degree), UPDATE)
+        first = near.mapInArrow(leaf_batches(dtype, d, LEAF_NEAR), UPDATE)
         state = settle(nodes.select("block", "node", "v").groupBy("block").cogroup(first.groupBy("block")).applyInArrow(merge_lists(degree), STATE), "graph")
         turns = 0
         while turns < ROUNDS and state.agg(F.sum("changed")).first()[0] > CHANGES * n * degree:
