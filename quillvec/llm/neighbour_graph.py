@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillvec.llm import tasks
 from quillvec.llm.common import small_batches
 from quillvec.llm.tasks import mixed
 from quillvec.session import settle
@@ -46,6 +47,8 @@ BLOCK = 16_384
 # Nodes a query keeps while it searches, and the nodes it starts from.
 BEAM = 160
 ENTRIES = 8
+# Queries, of neighbouring blocks, that share what they fetch.
+TOGETHER = 512
 SHIFT = 32
 
 
@@ -387,6 +390,7 @@ class Graph:
     sample: np.ndarray
     sample_nodes: np.ndarray
     rounds: int
+    blocks: int
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -409,7 +413,10 @@ def round_of(state: DataFrame, dtype: str, d: int, degree: int, reverse: int, tu
     """One round: links at both ends, the vectors each block needs, comparisons, merged lists."""
     edges, ends = (state.mapInArrow(edge_batches(turn, reverse), EDGE) for _ in range(2))
     vectors = state.select(F.col("node").alias("u"), "v", "radius")
-    needed = ends.select("block", "u").distinct().join(vectors, "u")
+    # A block holds its own nodes; those of others that it needs are fetched once.
+    foreign = ends.where(F.shiftright("u", SHIFT) != F.col("block")).select("block", "u").distinct().join(vectors, "u")
+    own = state.select("block", F.col("node").alias("u"), "v", "radius")
+    needed = foreign.select(own.columns).unionByName(own)
     found = edges.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(compare_neighbours(dtype, d, degree, reverse, turn), UPDATE)
     return state.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(merge_lists(degree), STATE)
 
@@ -475,7 +482,7 @@ def build(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     return Graph(
         nodes.select("node", "members"), links, dtype, d,
         np.frombuffer(b"".join(bytes(r["v"]) for r in entries), dtype).reshape(-1, d).astype(np.float32),
-        np.array([r["node"] for r in entries], dtype=np.int64), turns,
+        np.array([r["node"] for r in entries], dtype=np.int64), turns, blocks,
     )
 
 
@@ -485,8 +492,11 @@ SEARCH = "block long, q binary, ask binary, seen binary, beam binary, far binary
 SEARCH_TYPES = [("block", pa.int64())] + [(c, pa.binary()) for c in ("q", "ask", "seen", "beam", "far")]
 
 
-def entry_batches(shared, dtype: str, d: int, entries: int) -> Callable:
-    """The state of each query before its first hop: it asks for its own node and the nearest of the sample."""
+def entry_batches(shared, dtype: str, d: int, entries: int, blocks: int, groups: int) -> Callable:
+    """The state of each query before its first hop: it asks for its own node and the nearest of the sample.
+
+    `block` is its group here: the blocks the queries start in, cut into `groups` runs of them, or parts of one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, nodes = shared.value
@@ -501,9 +511,11 @@ def entry_batches(shared, dtype: str, d: int, entries: int) -> Callable:
                 near = np.argpartition(far, k - 1, axis=1)[:, :k]
                 rows += list(nodes[near])
             ask = [np.unique([*r, *([] if o is None else [o])]).astype("<i8") for r, o in zip(rows, own)]
-            home = [int(r[0] if o is None else o) >> SHIFT for r, o in zip(rows, own)]
+            part = tasks.mixed(x.view(np.uint32).sum(axis=1, dtype=np.uint64)) / 2.0**64
+            home = np.array([int(r[0] if o is None else o) >> SHIFT for r, o in zip(rows, own)], dtype=np.int64)
+            home = np.minimum((home + part) * groups / blocks, groups - 1).astype(np.int64)
             data, none = [a.tobytes() for a in ask], [b""] * len(ask)
-            yield pa.record_batch([pa.array(home, pa.int64()), batch.column("q"), *(pa.array(c, pa.binary()) for c in (data, data, none, none))], names=[c for c, _ in SEARCH_TYPES])
+            yield pa.record_batch([pa.array(home), batch.column("q"), *(pa.array(c, pa.binary()) for c in (data, data, none, none))], names=[c for c, _ in SEARCH_TYPES])
 
     return run
 
@@ -584,8 +596,9 @@ def search(graph: Graph, queries: DataFrame, k: int, query_id: str = "query_id",
         # Where the query is a row of the graph, it starts at itself too.
         own = graph.links.select(F.xxhash64("v").alias("key"), F.col("node").alias("own")).groupBy("key").agg(F.min("own").alias("own"))
         once = asked.select("q").distinct().withColumn("key", F.xxhash64("q")).join(own, "key", "left").select("q", "own")
+        groups = -(-once.count() // TOGETHER) or 1
         shared = spark.sparkContext.broadcast((graph.sample, graph.sample_nodes))
-        state = settle(once.mapInArrow(entry_batches(shared, dtype, d, ENTRIES), SEARCH), "search")
+        state = settle(once.mapInArrow(entry_batches(shared, dtype, d, ENTRIES, graph.blocks, groups), SEARCH), "search")
         while state.where(F.length("ask") > 0).limit(1).count():
             wanted = state.mapInArrow(ask_batches, "block long, u long").distinct()
             nodes = wanted.join(graph.links.withColumnRenamed("node", "u"), "u")
