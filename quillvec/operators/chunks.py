@@ -9,7 +9,7 @@ from quillvec import constants as const
 from quillvec.functions.chunker import chunk_recursive
 from quillvec.functions.text import chunk_fixed
 from quillvec.operators.clean import nonblank_text
-from quillvec.operators.ids import assign_ids
+from quillvec.operators.ids import running_total
 
 CHUNKERS = {"recursive": chunk_recursive, "fixed": chunk_fixed}
 
@@ -26,13 +26,14 @@ def chunk_pages(
     )
 
 
-def number_chunks(chunks: DataFrame, start: int = 0) -> DataFrame:
-    """`chunk_index` over the whole run by (file, page, pos).
+def chunk_metadata(pages: DataFrame, method: str = "recursive", size: int = const.CHUNK_SIZE, overlap: int = const.CHUNK_OVERLAP) -> DataFrame:
+    """Chunks with `chunk_index` over the whole run by (file, page, place on the page); blank ones take a number and go.
 
-    Blank chunks take a number too, so drop them afterwards.
+    Pages are cut once and written with their chunks; only their keys and numbers of chunks are sorted. A page's first
+    number meets it where it lies, and its chunks count on from there.
     """
-    return assign_ids(chunks, ["file_name", "page_number", "pos"], "chunk_index", start)
-
-
-def chunk_metadata(pages: DataFrame, method: str = "recursive", **sizes) -> DataFrame:
-    return nonblank_text(number_chunks(chunk_pages(pages, method, **sizes)), "content")
+    cut = pages.select("file_name", F.col("page").alias("page_number"), CHUNKERS[method](F.col("text"), size, overlap).alias("chunks"))
+    first = running_total(cut, ["file_name", "page_number"], "first", size=F.coalesce(F.size("chunks"), F.lit(0)))
+    chunks = first.select("file_name", "page_number", "first", F.posexplode("chunks").alias("pos", "content"))
+    numbered = chunks.select("file_name", "page_number", "pos", "content", (F.col("first") + F.col("pos")).alias("chunk_index"))
+    return nonblank_text(numbered, "content")

@@ -321,6 +321,69 @@ def test_rows_with_one_key_spread(spark):
     assert sorted((r.n, r.id) for r in placed.collect()) == [(i + 1, i) for i in range(4000)]
 
 
+def wide_nodes(frame):
+    """The exchanges and sorts of a plan whose rows hold a column named `text`."""
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan()
+    found, stack = [], [final.executedPlan() if final.nodeName() == "AdaptiveSparkPlan" else final]
+    while stack:
+        node = stack.pop()
+        if node.nodeName().split(" ")[0] in ("Exchange", "Sort", "BroadcastExchange") and "text#" in node.output().mkString(","):
+            found.append(node.nodeName())
+        kids = node.children()
+        stack += [kids.apply(i) for i in range(kids.size())]
+        if node.nodeName().endswith("QueryStage"):
+            stack.append(node.plan())
+    return found
+
+
+def test_numbers_reach_rows_without_moving_texts(spark):
+    broadcast, buckets = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.shuffle.partitions")
+    before = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")
+    try:
+        df = spark.range(3000, numPartitions=5).select((F.col("id") * 7 % 3000).alias("id"), F.repeat(F.lit("word "), 40).alias("text"))
+        numbered = assign_ids(df, ["id"], "n")
+        assert wide_nodes(numbered) == []
+        assert sorted((r.n, r.id) for r in numbered.collect()) == [(i + 1, i) for i in range(3000)]
+    finally:
+        spark.conf.set(broadcast, before)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == buckets
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quillvec_rows")]
+
+
+def test_running_totals_over_slices(spark, monkeypatch):
+    from quillvec.operators import ids
+
+    monkeypatch.setattr(ids, "_SLICE_BITS", 4)
+    df = spark.range(1000, numPartitions=3).select((F.col("id") * 37 % 1000).alias("id"), (F.col("id") % 5).alias("w"))
+    got = ids.running_total(df, ["id"], "t", start=100, size=F.col("w"))
+    total = 100
+    for r in sorted(got.collect(), key=lambda r: r.id):
+        assert r.t == total
+        total += r.w
+    assert total == 100 + 2000
+
+
+def test_pages_are_cut_once(spark):
+    from quillvec.operators.chunks import chunk_metadata
+
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(i):
+        runs.add(1)
+        return f"page {i}. " + "words " * int(i * 13 % 200)
+
+    pages = spark.range(60, numPartitions=4).select(
+        F.concat(F.lit("f"), F.col("id") % 7).alias("file_name"), F.col("id").cast("int").alias("page"), counted(F.col("id").cast("int")).alias("text")
+    )
+    rows = sorted(chunk_metadata(pages, "fixed").collect(), key=lambda r: r.chunk_index)
+    assert runs.value == 60
+    assert [r.chunk_index for r in rows] == list(range(len(rows)))
+    assert [(r.file_name, r.page_number, r.pos) for r in rows] == sorted((r.file_name, r.page_number, r.pos) for r in rows)
+
+
 def test_folder_load_reports_failures(spark, tmp_path):
     folder, target = str(tmp_path / "in"), str(tmp_path / "out")
     body = "who,what,amount\n" + "".join(f"person number {i},thing {i},{i}\n" for i in range(20))
