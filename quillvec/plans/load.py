@@ -17,7 +17,7 @@ from quillvec.operators import clean, stats
 from quillvec.operators.chunks import chunk_metadata
 from quillvec.operators.ids import assign_ids, next_id
 from quillvec.session import settle
-from quillvec.sources.readers import as_products, list_table_files, narrow_types, read_lines
+from quillvec.sources.readers import as_products, list_table_files, narrow_types, read_records
 from quillvec.sources.sinks import align_to, append_corpus, stamp_load, stored
 
 Encoder = Callable[[Column], Column]
@@ -157,11 +157,11 @@ def load_table_files(
 
     Files with the same header line are one DataFrame: their columns are typed and judged together, and their rows
     are written to `<target>/<header key>` by `table_name`, each table with its own ids. So there are as many loads as
-    headers, not as files; a header that fails is reported for its files and the others go on. Cells hold no line
-    breaks. Returns source_file (the path), file, table_name, status, error, rows_imported, location.
+    headers, not as files; a header that fails is reported for its files and the others go on. Quoted cells may hold
+    line breaks. Returns source_file (the path), file, table_name, status, error, rows_imported, location.
     """
     files = list_table_files(spark, directory, "csv", prefix)
-    lines = settle(read_lines(spark, directory), "lines")
+    lines = settle(read_records(spark, directory), "records")
     heads = settle(
         lines.filter(F.col("row_index") == header_row).select("source_file", F.col("line").alias("header")).withColumn(
             "key", F.substring(F.md5("header"), 1, 12)
@@ -199,7 +199,7 @@ def csv_rows(lines: DataFrame, header: str, header_row: int) -> DataFrame:
     names = clean.normalized_names(next(csv.reader([header])))
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
     parsed = lines.select(
-        F.from_csv("line", schema).alias("cells"), "source_file", (F.col("row_index") - header_row - 1).alias("row_index")
+        F.from_csv("line", schema, {"escape": '"'}).alias("cells"), "source_file", (F.col("row_index") - header_row - 1).alias("row_index")
     )
     return narrow_types(parsed.select("cells.*", "source_file", "row_index"), names)
 

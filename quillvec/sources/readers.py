@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillvec import constants as const
 from quillvec.functions.text import file_name_of, table_name_from_file
 from quillvec.operators.clean import coerce_product_cells, normalized_names, require_fields
+from quillvec.session import settle
 
 FORMAT_GLOBS = {"csv": "*.csv", "json": "*.json", "parquet": "*.parquet", "text": "*.txt", "orc": "*.orc"}
 
@@ -48,19 +51,80 @@ def _with_row_index(df: DataFrame) -> DataFrame:
     return numbered.withColumn("row_index", index).drop("_mono", "_first", "_before", "_start")
 
 
-def read_lines(spark: SparkSession, directory: str, fmt: str = "csv") -> DataFrame:
-    """Lines of all table files below a directory: line, source_file (the whole path) and 0-based row_index.
+LINE = "line string, source_file string, start long, place long, odd boolean, blank boolean, turns long, rows_out long, rows_in long"
 
-    Blank lines are left out.
+
+def _scan_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts over the lines of a file split that stand before each line.
+
+    `place`: lines; `turns`: lines that leave a quoted cell open, or close it; `rows_out`, `rows_in`: records that begin,
+    if the split begins outside a quoted cell, or inside one.
+    """
+    carried: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        names, starts = batch.column("source_file"), batch.column("start").to_numpy()
+        odd, filled = (np.asarray(batch.column(c)).astype(np.int64) for c in ("odd", "filled"))
+        numbers = names.dictionary_encode().indices.to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(numbers) != 0) | (np.diff(starts) != 0)])) if len(odd) else []
+        out = np.zeros((4, len(odd)), dtype=np.int64)
+        for a, b in zip(heads, [*heads[1:], len(odd)]):
+            key = names[int(a)].as_py(), int(starts[a])
+            place, turns, rows_out, rows_in = carried.pop(key, np.zeros(4, dtype=np.int64))
+            before = turns + np.cumsum(odd[a:b]) - odd[a:b]
+            inside = before % 2
+            begun = filled[a:b] * (1 - inside), filled[a:b] * inside
+            out[0, a:b] = place + np.arange(b - a)
+            out[1, a:b] = before
+            out[2, a:b] = rows_out + np.cumsum(begun[0]) - begun[0]
+            out[3, a:b] = rows_in + np.cumsum(begun[1]) - begun[1]
+            # A task reads its splits one after the other.
+            carried = {key: np.array([place + b - a, before[-1] + odd[b - 1], rows_out + begun[0].sum(), rows_in + begun[1].sum()])}
+        yield pa.record_batch(
+            [
+                batch.column("line"), names, batch.column("start"), pa.array(out[0]), pa.array(odd == 1), pa.array(filled == 0),
+                *(pa.array(o) for o in out[1:]),
+            ],
+            names=["line", "source_file", "start", "place", "odd", "blank", "turns", "rows_out", "rows_in"],
+        )
+
+
+def read_records(spark: SparkSession, directory: str, fmt: str = "csv") -> DataFrame:
+    """CSV records of all table files below a directory: line, source_file (the whole path) and 0-based row_index.
+
+    A quoted cell may hold line breaks; files are split all the same. Whether a line begins inside a quoted cell follows
+    from the number of quotes before it: counted within each split, then over the splits of its file. Lines that are a
+    record by themselves stay where they are; the others meet by record. A quote amid an unquoted cell (5" pipe) doesn't
+    count. Blank lines between records are left out. The lines are written once, below the session's shared folder.
     """
     text = spark.read.option("pathGlobFilter", FORMAT_GLOBS[fmt]).option("recursiveFileLookup", True).text(directory)
-    lines = text.filter(F.length(F.trim("value")) > 0).select(
+    quotes = F.regexp_replace("value", r'(?<=[^,"])"(?=[^,"])', "")
+    tagged = text.filter(_real_file(F.col("_metadata.file_name"))).select(
         F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_name").alias("_name"),
-        F.col("_metadata.file_block_start").alias("_start"),
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        (F.regexp_count(quotes, F.lit('"')) % 2 == 1).alias("odd"),
+        (F.length(F.trim("value")) > 0).alias("filled"),
+    )
+    lines = settle(tagged.mapInArrow(_scan_splits, LINE), "lines")
+    begins = F.col("blank").eqNullSafe(False)
+    inside = F.col("turns") % 2
+    splits = lines.groupBy("source_file", "start").agg(
+        F.count_if("odd").alias("_turns"), F.count_if(begins & (inside == 0)).alias("_out"), F.count_if(begins & (inside == 1)).alias("_in")
+    )
+    # One row per split of a file.
+    earlier = Window.partitionBy("source_file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    entered = splits.withColumn("_open", F.coalesce(F.sum("_turns").over(earlier), F.lit(0)) % 2 == 1)
+    records = F.when(F.col("_open"), F.col("_in")).otherwise(F.col("_out"))
+    offsets = entered.select("source_file", "start", "_open", F.coalesce(F.sum(records).over(earlier), F.lit(0)).alias("_before"))
+    placed = lines.join(offsets, ["source_file", "start"])
+    index = F.col("_before") + F.when(F.col("_open"), F.col("rows_in")).otherwise(F.col("rows_out"))
+    continued = (F.col("turns") % 2 == 1) != F.col("_open")
+    found = placed.withColumn("_continued", continued).withColumn("row_index", F.when(F.col("_continued"), index - 1).otherwise(index))
+    whole = found.filter(~F.col("_continued") & ~F.col("odd") & ~F.col("blank")).select("line", "source_file", "row_index")
+    pieces = found.filter(F.col("_continued") | F.col("odd")).groupBy("source_file", "row_index").agg(
+        F.sort_array(F.collect_list(F.struct("start", "place", "line")))["line"].alias("pieces")
     )
-    return _with_row_index(lines.filter(_real_file(F.col("_name"))).drop("_name")).withColumnRenamed("_file", "source_file")
+    return whole.unionByName(pieces.select(F.array_join("pieces", "\n").alias("line"), "source_file", "row_index"))
 
 
 def read_table_files(

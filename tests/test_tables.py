@@ -384,6 +384,48 @@ def test_pages_are_cut_once(spark):
     assert [(r.file_name, r.page_number, r.pos) for r in rows] == sorted((r.file_name, r.page_number, r.pos) for r in rows)
 
 
+def test_records_with_line_breaks_in_split_files(spark, tmp_path):
+    """Quoted cells with line breaks, blank lines, delimiters and quotes, in files cut every 300 bytes."""
+    import csv
+    import io
+    import random
+
+    draw, expected = random.Random(1), {}
+    for f in range(4):
+        rows = [["a", "b", "c"]]
+        for i in range(40):
+            cell = draw.choice(["x", "a\nb", 'q"uo"te', "c,d", "", "\n\n", 'line one\n\nline "three"\n', " sp "])
+            rows.append([f"{cell}{i}", draw.choice(["p", "\n"]), str(i)])
+        text = io.StringIO()
+        csv.writer(text, lineterminator=["\n", "\r\n"][f % 2]).writerows(rows)
+        body = text.getvalue() + ('tail,5" pipe x,7\n\n\nlast,1,2' if f == 2 else "")
+        write_text(str(tmp_path / "in"), f"t{f}.csv", body)
+        expected[f"t{f}.csv"] = [r for r in csv.reader(io.StringIO(body, newline="")) if r]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        cells = F.from_csv("line", "a string, b string, c string", {"escape": '"'})
+        found = readers.read_records(spark, str(tmp_path / "in")).withColumn("cells", cells).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name, rows in expected.items():
+        mine = sorted((r for r in found if r.source_file.endswith(name)), key=lambda r: r.row_index)
+        assert [r.row_index for r in mine] == list(range(len(rows)))
+        assert [[c or "" for c in r.cells] for r in mine] == [[c.replace("\r\n", "\n") for c in r] for r in rows]
+
+
+def test_folder_load_keeps_cells_with_line_breaks(spark, tmp_path):
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    body = "who,what,amount\n" + "".join(f'"person ""{i}""\n\nof two, or more",thing number {i},{i}\n' for i in range(50))
+    write_text(folder, "broken.csv", body)
+    row = load.load_table_files(spark, folder, target).first()
+    assert (row.status, row.error, row.rows_imported) == ("success", None, 50)
+    stored = spark.read.parquet(row.location)
+    assert {r.who for r in stored.collect()} == {f'person "{i}"\n\nof two, or more' for i in range(50)}
+
+
 def test_folder_load_reports_failures(spark, tmp_path):
     folder, target = str(tmp_path / "in"), str(tmp_path / "out")
     body = "who,what,amount\n" + "".join(f"person number {i},thing {i},{i}\n" for i in range(20))
