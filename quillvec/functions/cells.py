@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillvec import constants as const
 
 
+# What a run of one letter in a date format stands for.
+_SHAPES = {"yyyy": r"\d{4}", "MMM": r"\p{L}+\.?"}
+
+
+def _shape(fmt: str) -> str:
+    """The regular expression of text that a date format can fit, with a fraction where it ends in seconds."""
+    runs = re.finditer(r"'([^']*)'|([A-Za-z])\2*|([^A-Za-z'])", fmt)
+    parts = []
+    for run in runs:
+        quoted, letter, other = run[1], run[2], run[3]
+        if letter is None:
+            parts.append(re.escape(quoted if quoted is not None else other))
+        else:
+            parts.append(_SHAPES.get(run[0], r"\d{1,2}" if len(run[0]) == 1 else r"\d{2}"))
+    return "".join(parts) + (r"(?:\.\d+)?" if fmt.endswith("ss") else "")
+
+
 def parse_timestamp(c: Column) -> Column:
     """Timestamp from text by the fixed format list; null when no format fits.
 
-    A fraction behind the seconds is kept to the microsecond.
+    A fraction behind the seconds is kept to the microsecond. Text is parsed only by formats that its characters fit, so
+    prose costs one match.
     """
-    fraction = F.regexp_extract(F.trim(c), r":\d{1,2}\.(\d+)$", 1)
-    text = F.regexp_replace(F.trim(c), r"(:\d{1,2})\.\d+$", "$1")
-    whole = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in const.DATE_FORMATS])
-    micros = F.rpad(F.substring(fraction, 1, 6), 6, "0").cast("long")
-    return F.when(fraction == "", whole).otherwise(F.timestamp_micros(F.unix_micros(whole) + micros))
+    shapes = {f: _shape(f) for f in const.DATE_FORMATS}
+    cell = F.trim(c)
+
+    def parsed(fmt: str) -> Column:
+        if not fmt.endswith("ss"):
+            return F.try_to_timestamp(cell, F.lit(fmt))
+        micros = F.regexp_replace(cell, r"(\.\d{6})\d+$", "$1")
+        return F.try_to_timestamp(micros, F.lit(f"{fmt}[.SSSSSS]"))
+
+    whole = F.coalesce(*[F.when(cell.rlike(f"^{shape}$"), parsed(f)) for f, shape in shapes.items()])
+    # No format fits text of other characters, or much longer text.
+    return F.when((F.length(c) < 64) & cell.rlike("^(?:" + "|".join(shapes.values()) + ")$"), whole)
 
 
 def to_double(c: Column) -> Column:
