@@ -45,7 +45,8 @@ def train_cells(
     """
     rows = corpus.filter(has_embedding(F.col("embedding"))).select("id", "embedding")
     share = min(1.0, cells * rows_per_cell / max(rows.count(), 1))
-    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    # The whole range of the hash, so that any share, however small, draws about as many rows as asked for.
+    drawn = rows.filter(F.xxhash64("id", F.lit(seed)) <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))
     # Written, as the algorithm reads it again and again.
     unit = settle(drawn, "training").select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, initSteps=2).fit(unit)

@@ -10,7 +10,7 @@ from quillvec.queries import inputs
 from quillvec.queries.cleaning import TYPED_SELECT, _contract_names, _shown
 from quillvec.queries.inputs import FIXED, PAGES, SHEET, TYPED_PRODUCTS, hash_counts
 from quillvec.queries.registry import query
-from quillvec.session import scratch_path
+from quillvec.session import held_setting, scratch_path
 from quillvec.sources import readers, sinks
 from quillvec.streaming.ingest import corpus_of_pages, ingest_incremental
 
@@ -280,6 +280,25 @@ def load_table_files(spark, sf):
     )
 
 
+@query("load_broken_lines", """SELECT event_type, 0::BIGINT AS failed, count(*) AS rows_imported, count(*) AS whole_cells,
+  sum(event_id)::BIGINT AS numbers FROM events GROUP BY event_type""")
+def load_broken_lines(spark, sf):
+    """Events as CSV files whose quoted cells hold line breaks, blank lines, delimiters and quotes, read in splits."""
+    folder, target = scratch_path(spark, "inbox"), scratch_path(spark, "tables")
+    note = F.concat(F.lit('said "'), "props", F.lit('",\n\nthen user\n'), F.col("user_id").cast("string"))
+    rows = inputs.table(spark, sf, "events").select(note.alias("note"), F.col("event_id").alias("number"), "value", "event_type")
+    rows.write.partitionBy("event_type").option("header", True).option("escape", '"').csv(folder)
+    with held_setting(spark, "spark.sql.files.maxPartitionBytes", "131072"):
+        results = load.load_table_files(spark, folder, target)
+        kind = F.regexp_extract("source_file", "event_type=([^/]+)", 1).alias("event_type")
+        counts = results.groupBy(kind).agg(F.count_if(F.col("status") != "success").alias("failed"), F.sum("rows_imported").alias("rows_imported"))
+        location = results.select("location").first()[0]
+    stored = spark.read.parquet(location).groupBy(kind).agg(
+        F.count_if(F.col("note").rlike('^said "(?s:.*)",\n\nthen user\n\\d+$')).alias("whole_cells"), F.sum("number").cast("long").alias("numbers")
+    )
+    return counts.join(stored, "event_type")
+
+
 @query("ingest_incremental", f"""WITH {FIXED}
 SELECT file_name, page_number, pos AS chunk_index, content FROM fixed WHERE regexp_matches(content, '\\S')""")
 def incremental(spark, sf):
@@ -304,7 +323,7 @@ def ingest_again(spark, sf):
     rows = inputs.pages(spark, sf).select("source", "page", "text")
     for arrival in (rows, rows.filter(F.col("page") % 2 == 0)):
         arrival.write.mode("append").parquet(inbox)
-        ingest_incremental(spark, inbox, target, state, rows.schema, method="fixed", skip_stored=True).awaitTermination()
+        ingest_incremental(spark, inbox, target, state, rows.schema, method="fixed").awaitTermination()
     return spark.read.parquet(target).select("file_name", "page_number", "chunk_index", "content")
 
 

@@ -12,8 +12,11 @@ from pyspark.sql.types import StructType
 from quillvec.operators.chunks import chunk_pages
 from quillvec.operators.clean import nonblank_text
 from quillvec.plans.load import hashed
+from quillvec.session import held_setting
 from quillvec.sources.readers import as_pages
-from quillvec.sources.sinks import append_corpus
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+STATE_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def corpus_of_pages(
@@ -42,13 +45,14 @@ def ingest_incremental(
     columns: tuple[str, str, str] = ("source", "page", "text"),
     max_files_per_trigger: int = 1000,
     partitions: int | None = None,
-    skip_stored: bool = False,
+    skip_stored: bool = True,
     **options,
 ) -> StreamingQuery:
     """Start a run over all files that arrived since the last one and stop when they are stored.
 
-    With `skip_stored`, a chunk that is stored already with the same file, page, place and content is left out, so a
-    page that arrives again is not stored twice; each batch then reads the stored keys.
+    A page that arrives again, with the same source, number and text, is left out: the stream keeps a 128-bit key of every
+    page it took in, in state on disk that is cut by key and read key by key, so no batch reads what is stored. A page
+    whose text changed is taken in once more. `skip_stored=False` keeps no state and takes in every arrival.
 
     The file sink records its commits, so a run that died is completed, not repeated. `partitions` spreads the
     rows of each batch over that many tasks, for the case of few and large files.
@@ -61,18 +65,16 @@ def ingest_incremental(
     )
     if partitions:
         stream = stream.repartition(partitions)
-    corpus = corpus_of_pages(as_pages(stream, *columns), **options)
+    pages = as_pages(stream, *columns)
     if skip_stored:
-
-        def store(batch: DataFrame, _: int) -> None:
-            append_corpus(batch, target_dir, dedupe_key=["file_name", "page_number", "chunk_index", "content_key"])
-
-        keyed = corpus.withColumn("content_key", F.md5("content"))
-        return keyed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
-    return (
-        corpus.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint_dir)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(target_dir)
-    )
+        # Null and empty differ, and no two cells run into each other.
+        cells = F.to_json(F.struct("source", "page", "text"))
+        pages = pages.withColumn("_key", F.unhex(F.md5(cells))).dropDuplicates(["_key"]).drop("_key")
+    with held_setting(spark, STATE_STORE, STATE_ON_DISK):
+        return (
+            corpus_of_pages(pages, **options).writeStream.format("parquet")
+            .option("checkpointLocation", checkpoint_dir)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start(target_dir)
+        )
