@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,7 @@ from quillvec.session import scratch_path, settle
 END_ID = 2
 # A shard is closed at this many ids; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-# Rounds of replacement, the fewest occurrences worth a rule, and the most rules of a round.
-ROUNDS = 6
+# The fewest occurrences worth a rule, and the most rules of a round; rounds go on until no pair is worth one.
 LEAST_COUNT = 32
 ROUND_RULES = 4096
 COUNT_BITS = 18
@@ -47,16 +47,16 @@ LOOSE = re.compile(r" (?![^\W_])")
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file, the same as encoding each whole text.
+    """Ids of texts by the text of a tokenizers file, the same as encoding each whole text.
 
     With byte-level pre-tokenization, a space before a letter or digit always begins a new pre-token, so the pieces
     between such spaces are encoded once and remembered. Any other file encodes whole texts.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, spec_text: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], dtype="<u4").tobytes()
+        self.tokenizer, self.end = Tokenizer.from_str(spec_text), np.array([end_id], dtype="<u4").tobytes()
         spec = json.loads(self.tokenizer.to_str())
         steps = spec.get("pre_tokenizer") or {}
         added = [t["content"] for t in spec["added_tokens"]]
@@ -166,13 +166,11 @@ def replace_pairs(ids: np.ndarray, breaks: np.ndarray, first: int) -> tuple[np.n
     return out[kept], breaks - np.searchsorted(at, breaks), pairs
 
 
-def compress(ids: np.ndarray, breaks: np.ndarray, rounds: int = ROUNDS) -> dict:
-    """A shard: `base` (ids below it are terminals), rules, their expansion lengths, the body, and document places."""
+def compress(ids: np.ndarray, breaks: np.ndarray) -> dict:
+    """A shard, in which no pair is left that occurs LEAST_COUNT times: `base` (ids below it are terminals), rules, their expansion lengths, the body, and document places."""
     base = int(ids.max()) + 1 if len(ids) else 0
     rules, top, body, places = [], base, ids, breaks
-    for _ in range(rounds):
-        if len(body) < 2:
-            break
+    while len(body) > 1:
         body, places, pairs = replace_pairs(body, places, top)
         if not len(pairs):
             break
@@ -232,17 +230,18 @@ SHARD = (
 )
 
 
-def worker_encoder(path: str, end_id: int) -> Encoder:
+def worker_encoder(spec_text: str, end_id: int) -> Encoder:
     """The encoder of this Python worker. Spark reuses workers, so pieces learnt by one task serve the next."""
     kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders")).__dict__
-    if (path, end_id) not in kept:
-        kept[path, end_id] = Encoder(path, end_id)
-    return kept[path, end_id]
+    key = xxhash.xxh3_128_hexdigest(spec_text), end_id
+    if key not in kept:
+        kept[key] = Encoder(spec_text, end_id)
+    return kept[key]
 
 
-def shard_batches(path: str, end_id: int, shard_ids: int) -> Callable:
+def shard_batches(spec_text: str, end_id: int, shard_ids: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = worker_encoder(path, end_id), TaskContext.get().partitionId(), 0
+        encoder, part, seq = worker_encoder(spec_text, end_id), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
 
@@ -292,7 +291,10 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int = END_ID,
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("tie")]
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
-    shards = ordered.mapInArrow(shard_batches(tokenizer, end_id, shard_ids), SHARD)
+    # Tasks get the tokenizer's text: its file lies with the driver.
+    with open(tokenizer, encoding="utf-8") as file:
+        spec_text = file.read()
+    shards = ordered.mapInArrow(shard_batches(spec_text, end_id, shard_ids), SHARD)
     with small_batches(df.sparkSession):
         shards.write.option("compression", "zstd").parquet(out)
 
