@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillvec import constants as const
 from quillvec.functions.text import preview
-from quillvec.operators.search import default_requests, search_batch
+from quillvec.operators.search import default_requests, retrieve_multi_table, search_batch
 
 CHUNK_PAYLOAD = ["content", "file_name", "page_number", "chunk_index"]
 
@@ -102,8 +102,8 @@ def suggestion_replies(
     )
 
 
-def retrieve_context(corpus: DataFrame, requests: DataFrame, **options) -> DataFrame:
-    """Chat retrieval: rows for the answer and the suggestion block, marked per row.
+def retrieve_context(corpus: DataFrame | dict[str, DataFrame], requests: DataFrame, **options) -> DataFrame:
+    """Chat retrieval: rows for the answer and the suggestion block, marked per row. A dict of corpora is searched as one.
 
     `in_context` marks the first top_k rows. `in_suggestions` marks the first ten when the request has at
     least three matches, wants suggestions and chose no ids. `total_available` counts all matches.
@@ -114,7 +114,8 @@ def retrieve_context(corpus: DataFrame, requests: DataFrame, **options) -> DataF
         wants = wants & (F.coalesce(F.size("selected_ids"), F.lit(0)) <= 0)
     asked = asked.withColumns({"context_k": F.col("top_k"), "wants_suggestions": wants})
     widened = asked.withColumn("top_k", F.greatest(F.col("top_k"), F.lit(const.CHAT_SUGGESTION_LIMIT)))
-    found = default_fields(search_batch(corpus, widened, CHUNK_PAYLOAD, totals=True, **options))
+    search = retrieve_multi_table if isinstance(corpus, dict) else search_batch
+    found = default_fields(search(corpus, widened, CHUNK_PAYLOAD, totals=True, **options))
     marked = found.join(asked.select("query_id", "context_k", "wants_suggestions"), "query_id")
     block = (
         F.col("wants_suggestions")

@@ -206,17 +206,38 @@ hits AS (
 contexts AS (
   SELECT query_id, count(*) AS total_sources, string_agg(id, ',' ORDER BY rank) AS source_ids,
          string_agg('[' || d.source || ', trang 1]: ' || d.text, chr(10) || chr(10) ORDER BY rank) AS context
-  FROM hits JOIN documents d ON hits.id = d.doc_id WHERE rank <= top_k GROUP BY query_id)
+  FROM hits JOIN documents d ON hits.id = d.doc_id WHERE rank <= top_k GROUP BY query_id),
+blocks AS (
+  SELECT query_id, count(*) AS total_available,
+         CASE WHEN count(*) >= 3 THEN string_agg(id, ',' ORDER BY rank) FILTER (WHERE rank <= 10) END AS suggestion_ids,
+         CASE WHEN count(*) >= 3 THEN 'Tìm thấy ' || count(*) || ' kết quả khớp. Bạn có thể chọn các kết quả cụ thể để xem chi tiết.' END AS message
+  FROM hits GROUP BY query_id)
 SELECT a.query_id, {prompt_sql("context", "a.query")} AS prompt, coalesce(total_sources, 0) AS total_sources,
        context IS NULL AS no_results, CASE WHEN context IS NULL THEN {_sql_text(const.NO_ANSWER_MESSAGE)} END AS answer,
-       coalesce(source_ids, '') AS source_ids, reasons
-FROM asked a LEFT JOIN contexts c USING (query_id)
-UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, NULL, reasons FROM judged WHERE reasons <> ''""")
+       coalesce(source_ids, '') AS source_ids, total_available, suggestion_ids, message, reasons
+FROM asked a LEFT JOIN contexts c USING (query_id) LEFT JOIN blocks b USING (query_id)
+UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reasons FROM judged WHERE reasons <> ''""")
 def answer_requests(spark, sf):
     """From request texts to prompts: check, encode, retrieve, assemble, render; one row per request."""
     replies = answer_prompts(document_corpus(spark, sf), _conversation_requests(spark, sf))
-    listed = F.array_join(F.transform("sources", lambda s: s["id"].cast("string")), ",")
-    return replies.withColumns({"source_ids": listed, "reasons": F.array_join("reasons", "; ")}).drop("sources")
+    listed, offered = (F.array_join(F.transform(c, lambda s: s["id"].cast("string")), ",") for c in ("sources", "suggestions"))
+    shown = {"source_ids": listed, "suggestion_ids": offered, "reasons": F.array_join("reasons", "; ")}
+    return replies.withColumns(shown).drop("sources", "suggestions")
+
+
+@query("answer_several_tables", f"""{FOUND}, blocks AS (
+  SELECT query_id, count(*) AS total_available, any_value(top_k) AS top_k FROM found GROUP BY query_id)
+SELECT query_id, 2 * total_available AS total_available, least(2 * total_available, top_k) AS total_sources,
+       CASE WHEN 2 * total_available >= 3 THEN least(2 * total_available, 10) ELSE 0 END AS offered FROM blocks""")
+def answer_several_tables(spark, sf):
+    """The same rows in two tables: every match counts twice, for the totals and for the rule of three."""
+    rows = inputs.chunk_rows(spark, sf)
+    found = present.retrieve_context({"a": rows, "b": rows}, inputs.requests(spark, sf))
+    return found.groupBy("query_id").agg(
+        F.first("total_available").alias("total_available"),
+        F.count_if("in_context").alias("total_sources"),
+        F.count_if("in_suggestions").alias("offered"),
+    )
 
 
 @query("validate_requests", """WITH filled AS (
