@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillvec.functions.encode import HASH_DIM, hashed_vector
 from quillvec.functions.text import combined_text, full_text_context, table_name_from_file
 from quillvec.functions.vector import has_embedding, vector_to_json
-from quillvec.operators import clean, stats
+from quillvec.operators import ann, clean, stats
 from quillvec.operators.chunks import chunk_metadata
 from quillvec.operators.ids import assign_ids, next_id
 from quillvec.session import settle
@@ -60,11 +60,36 @@ def _first_id(spark: SparkSession, location: str, mode: str) -> int:
     return next_id(stored(spark, location)) if mode == "append" else 1
 
 
-def load_chunks(pages: DataFrame, location: str, mode: str = "append", **options) -> DataFrame:
-    """Run `chunk_corpus` into a Parquet corpus and return the one-row summary of this load."""
+# Rows that a cell of a new index holds, about.
+CELL_ROWS = 4096
+
+
+def feed_index(location: str, index: str, first_id: int, spark: SparkSession, cells: int | None = None) -> None:
+    """Bring the rows of a corpus from `first_id` on into its approximate index, which the first load builds.
+
+    A load without a row to index leaves no index.
+    """
+    rows = spark.read.parquet(location).filter(F.col("id") >= first_id)
+    if stored(spark, f"{index}/rows") is not None:
+        ann.add_to_index(rows, index)
+        return
+    usable = rows.filter(has_embedding(F.col("embedding"))).count()
+    if usable:
+        ann.build_index(rows, index, cells or max(1, -(-usable // CELL_ROWS)))
+
+
+def load_chunks(
+    pages: DataFrame, location: str, mode: str = "append", index: str | None = None, cells: int | None = None, **options
+) -> DataFrame:
+    """Run `chunk_corpus` into a Parquet corpus and return the one-row summary of this load.
+
+    With `index`, a folder, the load's rows also go to the approximate index there (see `feed_index`).
+    """
     first = _first_id(pages.sparkSession, location, mode)
     corpus = chunk_corpus(pages, first_id=first, **options)
     append_corpus(stamp_load(corpus), location, mode)
+    if index:
+        feed_index(location, index, first, pages.sparkSession, cells)
     # The numbered chunks are settled, so this reads their file names and does not encode again.
     return stats.chunk_load_summary(pages, corpus)
 
@@ -247,11 +272,18 @@ def product_corpus(rows: DataFrame, encode: Encoder | None = None, first_id: int
     )
 
 
-def load_products(rows: DataFrame, location: str, mode: str = "append", encode: Encoder | None = None) -> DataFrame:
-    """Run `product_corpus` into Parquet and return the one-row check of source against target."""
+def load_products(
+    rows: DataFrame, location: str, mode: str = "append", encode: Encoder | None = None, index: str | None = None, cells: int | None = None
+) -> DataFrame:
+    """Run `product_corpus` into Parquet and return the one-row check of source against target.
+
+    With `index`, a folder, the load's rows also go to the approximate index there (see `feed_index`).
+    """
     spark = rows.sparkSession
     first = _first_id(spark, location, mode)
     append_corpus(stamp_load(product_corpus(rows, encode, first)), location, mode)
+    if index:
+        feed_index(location, index, first, spark, cells)
     source = as_products(rows).withColumnRenamed("ProductId", "product_id")
     # Rows of earlier loads have smaller ids.
     return stats.verify_load(source, spark.read.parquet(location).filter(F.col("id") >= first), "product_id")

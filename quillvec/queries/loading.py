@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillvec.functions.vector import vector_from_json
-from quillvec.operators import stats
+from quillvec.operators import ann, stats
 from quillvec.operators.ids import assign_ids, next_id
 from quillvec.plans import load
 from quillvec.queries import inputs
@@ -280,6 +280,18 @@ def load_table_files(spark, sf):
     )
 
 
+@query("load_chunks_indexed", f"""WITH {FIXED}
+SELECT file_name, page_number, content FROM fixed WHERE regexp_matches(content, '\\S')""")
+def load_chunks_indexed(spark, sf):
+    """Pages in two loads, the second into the index that the first has built; every chunk is in a cell of it."""
+    target, index = scratch_path(spark, "chunks"), scratch_path(spark, "index")
+    pages = inputs.pages(spark, sf)
+    for half in (0, 1):
+        load.load_chunks(pages.filter(F.col("page") % 2 == half), target, method="fixed", index=index, cells=8)
+    rows, _ = ann.open_index(spark, index)
+    return rows.filter("cell is not null").select("file_name", "page_number", "content")
+
+
 @query("load_broken_lines", """SELECT event_type, 0::BIGINT AS failed, count(*) AS rows_imported, count(*) AS whole_cells,
   sum(event_id)::BIGINT AS numbers FROM events GROUP BY event_type""")
 def load_broken_lines(spark, sf):

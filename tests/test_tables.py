@@ -302,6 +302,37 @@ def test_ids_go_on_between_loads(spark, tmp_path):
     ]
 
 
+def test_loads_feed_an_index(spark, tmp_path):
+    from quillvec.operators import ann, search
+
+    where, index = str(tmp_path / "chunks"), str(tmp_path / "index")
+    pages = spark.range(80).select(
+        F.concat(F.lit("f"), F.col("id") % 4).alias("file_name"), F.col("id").cast("int").alias("page"),
+        F.concat_ws(" ", F.lit("about"), F.expr("transform(sequence(1, 30), i -> concat('w', (id * i) % 97))")).alias("text"),
+    )
+    load.load_chunks(pages.filter("page < 0"), where, index=index)
+    for part in ("page < 50", "page >= 50"):
+        load.load_chunks(pages.filter(part), where, index=index, cells=4)
+    rows, centroids = ann.open_index(spark, index)
+    corpus = spark.read.parquet(where)
+    assert sorted(r.id for r in rows.select("id").collect()) == sorted(r.id for r in corpus.select("id").collect()) == list(range(1, 81))
+    asked = corpus.filter("id % 20 = 7").select(
+        F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"), F.lit(3).alias("top_k"), F.lit(0.0).alias("threshold")
+    )
+    near = ann.search_ann(rows, asked, centroids, probes=4)
+    key = ["query_id", "rank", "id"]
+    assert sorted(map(tuple, near.select(*key).collect())) == sorted(map(tuple, search.search_batch(corpus, asked).select(*key).collect()))
+
+
+def test_training_draws_by_any_share(spark):
+    from quillvec.operators import ann
+
+    corpus = spark.range(20000).select("id", F.array(F.cos("id").cast("float"), F.sin("id").cast("float")).alias("embedding"))
+    assert ann.train_cells(corpus, 2, rows_per_cell=20).shape == (2, 2)
+    share = spark.range(2_000_000).filter(F.xxhash64("id", F.lit(7)) <= F.lit(min(2**63 - 1, int(2e-5 * 2**64) - 2**63))).count()
+    assert 10 <= share <= 90
+
+
 def test_numbering_runs_its_input_once(spark):
     runs = spark.sparkContext.accumulator(0)
 
