@@ -26,6 +26,16 @@ def preview_sql(column: str, n: int) -> str:
     return f"CASE WHEN length({column}) > {n} THEN substring({column}, 1, {n}) || '...' ELSE {column} END"
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def message_sql(template: str, n: str) -> str:
+    """A message with a number in it, as SQL."""
+    head, tail = template.split("{n}")
+    return f"{_sql_text(head)} || {n} || {_sql_text(tail)}"
+
+
 @query("suggest", f"""{FOUND}
 SELECT query_id, rank AS index, id, content, {preview_sql("content", 300)} AS content_preview, file_name,
        page_number + 1 AS page_number, round(sim, 4) AS similarity, round(sim * 100, 2) AS similarity_percent
@@ -38,7 +48,7 @@ def suggest(spark, sf):
   SELECT query_id, least(total, top_k)::INTEGER AS n, string_agg(id || ':' || round(sim, 4)::DECIMAL(6,4), ',' ORDER BY rank) AS ids
   FROM found WHERE rank <= top_k GROUP BY query_id, total, top_k)
 SELECT r.query_id, coalesce(n, 0)::INTEGER AS total_found, coalesce(n, 0) >= 4 AS has_multiple, ids,
-       CASE WHEN n > 0 THEN 'Tìm thấy ' || n || ' kết quả khớp' ELSE 'Không tìm thấy kết quả nào' END AS message
+       CASE WHEN n > 0 THEN {message_sql(const.FOUND_MESSAGE, "n")} ELSE {_sql_text(const.NOT_FOUND_MESSAGE)} END AS message
 FROM req r LEFT JOIN counted USING (query_id)""")
 def suggestion_replies(spark, sf):
     asked = inputs.requests(spark, sf)
@@ -65,7 +75,7 @@ def retrieve_context(spark, sf):
   SELECT * FROM found WHERE total >= 3 AND rank <= 10)
 SELECT query_id, total AS total_available,
        string_agg(rank || '/' || id || '/' || file_name || '/' || (page_number + 1), ',' ORDER BY rank) AS items,
-       'Tìm thấy ' || total || ' kết quả khớp. Bạn có thể chọn các kết quả cụ thể để xem chi tiết.' AS message
+       {message_sql(const.CHAT_SUGGESTION_MESSAGE, "total")} AS message
 FROM block GROUP BY query_id, total""")
 def chat_suggestions(spark, sf):
     found = present.retrieve_context(inputs.chunk_rows(spark, sf), inputs.requests(spark, sf))
@@ -97,10 +107,6 @@ def assemble_context(spark, sf):
     return present.assemble_context(found_rows(spark, sf))
 
 
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def prompt_sql(context: str, question: str) -> str:
     before, rest = const.PROMPT_TEMPLATE.split("{context}")
     between, after = rest.split("{question}")
@@ -210,7 +216,7 @@ contexts AS (
 blocks AS (
   SELECT query_id, count(*) AS total_available,
          CASE WHEN count(*) >= 3 THEN string_agg(id, ',' ORDER BY rank) FILTER (WHERE rank <= 10) END AS suggestion_ids,
-         CASE WHEN count(*) >= 3 THEN 'Tìm thấy ' || count(*) || ' kết quả khớp. Bạn có thể chọn các kết quả cụ thể để xem chi tiết.' END AS message
+         CASE WHEN count(*) >= 3 THEN {message_sql(const.CHAT_SUGGESTION_MESSAGE, "count(*)")} END AS message
   FROM hits GROUP BY query_id)
 SELECT a.query_id, {prompt_sql("context", "a.query")} AS prompt, coalesce(total_sources, 0) AS total_sources,
        context IS NULL AS no_results, CASE WHEN context IS NULL THEN {_sql_text(const.NO_ANSWER_MESSAGE)} END AS answer,
