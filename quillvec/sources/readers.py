@@ -13,6 +13,7 @@ from quillvec import constants as const
 from quillvec.functions.text import file_name_of, table_name_from_file
 from quillvec.operators.clean import coerce_product_cells, normalized_names, require_fields
 from quillvec.session import settle
+from quillvec.sources.sinks import noted_schema
 
 FORMAT_GLOBS = {"csv": "*.csv", "json": "*.json", "parquet": "*.parquet", "text": "*.txt", "orc": "*.orc"}
 
@@ -251,5 +252,11 @@ def read_products(spark: SparkSession, path: str, fmt: str = "csv", multi_line:
 
 
 def load_corpus(spark: SparkSession, location: str, table: bool = False) -> DataFrame:
-    """Re-open a written corpus; parts written before a column was added read it as null."""
-    return spark.table(location) if table else spark.read.option("mergeSchema", True).parquet(location)
+    """Re-open a written corpus; parts written before a column was added read it as null.
+
+    The columns come from the notes that loads leave, one small folder; without notes, from the footers of all files.
+    """
+    if table:
+        return spark.table(location)
+    schema = noted_schema(spark, location)
+    return spark.read.option("mergeSchema", True).parquet(location) if schema is None else spark.read.schema(schema).parquet(location)

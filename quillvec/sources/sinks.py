@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillvec import constants as const
 
+# The folder beside a corpus' rows that holds the notes of its columns.
+NOTES = "_columns"
+
 
 def append_corpus(
     df: DataFrame,
@@ -34,13 +39,59 @@ def append_corpus(
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(location) if table else writer.parquet(location)
+    if table:
+        writer.saveAsTable(location)
+    elif mode == "append":
+        # Noted before the rows are there, so a reader never misses a column.
+        note_schema(df, location)
+        writer.parquet(location)
+    else:
+        writer.parquet(location)
+        note_schema(df, location)
+
+
+def noted_schema(spark: SparkSession, location: str) -> StructType | None:
+    """The columns of all loads of a folder, in the order they came, as the notes beside its rows say; None without notes.
+
+    A note is one line, written only by a load that brings new columns; Parquet readers skip the notes' folder.
+    """
+    try:
+        notes = [StructType.fromJson(json.loads(r["value"])) for r in spark.read.text(f"{location}/{NOTES}").collect()]
+    except AnalysisException as failure:
+        if failure.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    fields: dict[str, StructField] = {}
+    for note in sorted(notes, key=lambda n: (len(n.fields), n.json())):
+        for field in note.fields:
+            fields.setdefault(field.name.lower(), field)
+    return StructType(list(fields.values())) if fields else None
+
+
+def note_schema(df: DataFrame, location: str) -> None:
+    """Note the columns of `df` beside a folder's rows, after those that are there."""
+    spark = df.sparkSession
+    known = noted_schema(spark, location)
+    if known is None:
+        before = _merged(spark, location)
+        known = before.schema if before is not None else StructType([])
+    have = {f.name.lower() for f in known.fields}
+    new = [StructField(f.name, f.dataType) for f in df.schema.fields if f.name.lower() not in have]
+    if new or not have:
+        line = StructType([*known.fields, *new]).json()
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{location}/{NOTES}")
 
 
 def stored(spark: SparkSession, location: str, table: bool = False) -> DataFrame | None:
     """What a location already holds, or None."""
     if table:
         return spark.table(location) if spark.catalog.tableExists(location) else None
+    schema = noted_schema(spark, location)
+    return _merged(spark, location) if schema is None else spark.read.schema(schema).parquet(location)
+
+
+def _merged(spark: SparkSession, location: str) -> DataFrame | None:
+    """A folder without notes: its columns come from the footers of all its files."""
     try:
         return spark.read.option("mergeSchema", True).parquet(location)
     except AnalysisException as failure:

@@ -494,6 +494,26 @@ def test_append_and_evolve(spark, tmp_path):
         sinks.append_corpus(one, path, "ignore")
 
 
+def test_columns_are_noted_beside_the_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for i, frame in enumerate(("id long, x string", "id long, x string", "id long, y double", "id long, X string, z int")):
+        width = frame.count(",") + 1
+        sinks.append_corpus(spark.createDataFrame([tuple([i] + [None] * (width - 1))], frame), path)
+    assert spark.read.text(f"{path}/{sinks.NOTES}").count() == 3
+    assert sinks.noted_schema(spark, path).names == ["id", "x", "y", "z"]
+    opened = readers.load_corpus(spark, path)
+    assert opened.columns == ["id", "x", "y", "z"] and sorted(r.id for r in opened.collect()) == [0, 1, 2, 3]
+    assert sinks.stored(spark, path).columns == opened.columns
+    # A folder that others wrote is read by its footers, and noted by the next load.
+    other = str(tmp_path / "o")
+    assert sinks.noted_schema(spark, other) is None and sinks.stored(spark, other) is None
+    spark.range(3).write.parquet(other)
+    sinks.append_corpus(spark.range(2).withColumn("w", F.lit(1)), other)
+    assert sinks.noted_schema(spark, other).names == ["id", "w"] and readers.load_corpus(spark, other).count() == 5
+    sinks.append_corpus(spark.range(2), other, "overwrite")
+    assert readers.load_corpus(spark, other).columns == ["id"]
+
+
 def test_saved_table(spark):
     import uuid
 
