@@ -1,9 +1,9 @@
 """I-Match document fingerprints.
 
 A lexicon keeps the terms whose document share lies in a band (a band of inverse document frequency). A document's
-distinct lexicon terms are sorted, and randomly drawn parts of the lexicon are hashed one by one, so that an edit
-changes some of the hashes only. How large a part is follows from the number of the document's terms: the hash of a
-part says most when it holds about one of them.
+distinct lexicon terms are sorted and hashed as a whole, and again as far as they lie in each of several random subsets
+of the lexicon. Subsets are drawn independently and overlap; they hold from a half of the lexicon down to 2^-RATES of
+it, so that an edit changes the hashes of large subsets and leaves those of small ones, whatever the text's length.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from quillvec.session import settle
 TERM_BITS = 20
 # Share of documents a lexicon term is in; it must also be in two documents.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.1
-# Random parts of the lexicon; each term falls in one part, and stays at level L with chance 2^-L.
-PARTS = 48
+# Independent draws of subsets. The subset of rate j of a draw holds each lexicon term with chance 2^-j.
+DRAWS = 5
+RATES = 15
 
 
 def term_ids(text: Column) -> Column:
@@ -56,74 +57,50 @@ def kept_terms(text: Column, ids: Column, table: Column) -> Column:
     )
 
 
-def level(terms: Column) -> Column:
-    """The level at which a part holds about one of the terms."""
-    return F.greatest(F.ceil(F.log2(F.size(terms) / F.lit(PARTS))), F.lit(0)).cast("int")
+def subset_hashes(terms: Column) -> Column:
+    """For each draw, the hashes of 32 bits of the terms in its subsets of rate 1 to RATES, 0 where there is none."""
 
+    def one(draw: Column) -> Column:
+        def inside(left: Column, rate: Column) -> Column:
+            low = F.call_function("shiftleft", F.lit(1).cast("long"), rate) - 1
+            return F.filter(left, lambda t: F.xxhash64(t, draw).bitwiseAND(low) == 0)
 
-def thinned(terms: Column, level: Column) -> Column:
-    return F.filter(terms, lambda t: F.shiftright(F.hash(t), 8).bitwiseAND(F.call_function("shiftleft", F.lit(1), level) - 1) == 0)
+        def step(state: Column, rate: Column) -> Column:
+            left = state["left"]
+            hashed = F.when(F.size(left) > 0, F.shiftright(F.xxhash64(left), 32).cast("int")).otherwise(0)
+            return F.struct(inside(left, rate + 1).alias("left"), F.concat(state["out"], F.array(hashed)).alias("out"))
 
+        start = F.struct(inside(terms, F.lit(1)).alias("left"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(RATES)), start, step, lambda state: state["out"])
 
-def part_hashes(terms: Column) -> Column:
-    """For each part of the lexicon, a hash of 15 bits of the terms in it, 0 where there is none."""
-
-    def one(part: Column) -> Column:
-        inside = F.filter(terms, lambda t: F.pmod(F.hash(t), F.lit(PARTS)) == part)
-        return F.when(F.size(inside) > 0, F.xxhash64(inside).bitwiseAND(0x7FFF).bitwiseOR(1)).otherwise(0).cast("smallint")
-
-    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), one)
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), one))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, table: Column) -> DataFrame:
-    """Add the fingerprint of `text` as `out`: its level, and the part hashes at that level and the next."""
+    """Add the fingerprint of `text` as `out`: the hash of all its lexicon terms, and those of the random subsets."""
     return (
         df.withColumn("_ids", term_ids(F.col(text)))
         .withColumn("_kept", kept_terms(F.col(text), F.col("_ids"), table))
-        .withColumn("_level", level(F.col("_kept")))
-        .withColumn("_low", thinned(F.col("_kept"), F.col("_level")))
-        .withColumn("_high", thinned(F.col("_low"), F.col("_level") + 1))
-        .withColumn(
-            out,
-            F.struct(
-                F.col("_level").alias("level"), part_hashes(F.col("_low")).alias("low"), part_hashes(F.col("_high")).alias("high")
-            ),
-        )
-        .drop("_ids", "_kept", "_level", "_low", "_high")
+        .withColumn(out, F.struct(F.xxhash64("_kept").alias("whole"), subset_hashes(F.col("_kept")).alias("subsets")))
+        .drop("_ids", "_kept")
     )
 
 
 def as_string(print_: Column) -> Column:
-    """The fingerprint as text: level, then the part hashes in hexadecimal, empty parts left blank."""
-
-    def hexed(parts: Column) -> Column:
-        return F.array_join(F.transform(parts, lambda p: F.when(p == 0, "").otherwise(F.hex(p.cast("long")))), ".")
-
-    return F.concat_ws(":", print_["level"].cast("string"), hexed(print_["low"]), hexed(print_["high"]))
+    """The fingerprint as text: the whole hash, then those of the subsets in hexadecimal, empty subsets left blank."""
+    low = F.lit(0xFFFFFFFF)
+    hexed = F.transform(print_["subsets"], lambda h: F.when(h == 0, "").otherwise(F.hex(h.cast("long").bitwiseAND(low))))
+    return F.concat(F.hex(print_["whole"]), F.lit(":"), F.array_join(hexed, "."))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the parts that are not empty in both, over the levels that both prints have.
+    """Estimated share of common terms among the terms of both: 1 for equal prints, else 1 - 2^-m.
 
-    Fingerprints more than one level apart are of documents whose numbers of terms differ twofold or more: 0.
+    m is the number of equal hashes of filled subsets, per draw. Of u terms of which c are in one text only, a subset of
+    rate r is filled and alike with chance (1-r)^c - (1-r)^u; over halving rates that adds up to log2(u/c).
     """
-
-    def tally(x: Column, y: Column) -> tuple[Column, Column]:
-        pairs = F.arrays_zip(x.alias("x"), y.alias("y"))
-        filled = F.filter(pairs, lambda p: p["x"] + F.lit(0).cast("long") + p["y"] != 0)
-        return F.size(F.filter(filled, lambda p: p["x"] == p["y"])), F.size(filled)
-
-    def share(*tallies: tuple[Column, Column]) -> Column:
-        same, total = sum((t[0] for t in tallies[1:]), tallies[0][0]), sum((t[1] for t in tallies[1:]), tallies[0][1])
-        return F.when(total > 0, same / F.greatest(total, F.lit(1))).otherwise(0.0)
-
-    gap = a["level"] - b["level"]
-    return F.coalesce(
-        F.when(gap == 0, share(tally(a["low"], b["low"]), tally(a["high"], b["high"])))
-        .when(gap == 1, share(tally(a["low"], b["high"])))
-        .when(gap == -1, share(tally(a["high"], b["low"]))),
-        F.lit(0.0),
-    )
+    same = F.size(F.filter(F.arrays_zip(a["subsets"].alias("x"), b["subsets"].alias("y")), lambda p: (p["x"] == p["y"]) & (p["x"] != 0)))
+    return F.when((a["whole"] == b["whole"]) & (a["subsets"] == b["subsets"]), 1.0).otherwise(1 - F.pow(F.lit(2.0), -same / DRAWS))
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
