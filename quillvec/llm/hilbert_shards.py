@@ -11,6 +11,8 @@ from quillvec.llm.common import documents, running
 from quillvec.session import settle
 
 SHARDS = 16
+# Groups above this part of a shard are given shards before all other rows are.
+SMALL = 50
 # 2^BITS cells for each dimension.
 BITS = 5
 
@@ -97,8 +99,10 @@ def shard_by_curve(
 ) -> DataFrame:
     """Give every row of `df` a shard and a gapless slot, along the curve over `dims`.
 
-    Rows of one `group` stand together at the place of its row with the smallest `key`, so a group stays in one shard
-    unless it holds over a fiftieth of a shard's bytes; a larger group is cut by rows, so no shard waits for it.
+    Rows of one `group` stand together at the place of its row with the smallest `key`, and a group that fits a shard
+    stays in one: a small one where its place falls, one above 1/SMALL of a shard in the shard of its place or, if that
+    has no room left, in the emptiest. Only a group larger than a shard, or than all room left, is cut by rows. The
+    shards' bytes stay within about 1/SMALL of a shard, or the largest row, of each other.
     Dimensions are strings or whole numbers. A null dimension counts as its lowest value, a null key comes first, repeated rows get a slot each, an empty table
     gives no rows. Returns key, the `carry` columns, size, curve, shard, slot.
     """
@@ -125,25 +129,80 @@ def shard_by_curve(
     groups = groups.select("_group", "_group_size", "_copies", curve_index(cells).alias("_curve"))
     rows = narrow.join(groups, "_group").select("_key", "_size", "_carry", "_group", "_group_size", "_copies", "_curve")
     run = settle(running(rows, ["_curve", "_group", "_key"], ["_size"], "curve"), "placed")
-    # A range bound can divide a group, so its start is taken over the whole group. A row alone is its own start.
-    whole = (F.col("_group_size") * (50 * shards) <= total) & (F.col("_copies") > 1)
-    starts = run.where(whole).groupBy(F.col("_group").alias("_of")).agg(F.min("before__size").alias("_start"))
-    middle = F.when(whole, F.col("_start") * 2 + F.col("_group_size")).otherwise(F.col("before__size") * 2 + F.col("_size"))
-    cut = run.join(starts, whole & (F.col("_group") == F.col("_of")), "left").withColumn("_middle", middle).withColumn(
-        "_shard", F.least(F.lit(shards - 1), F.expr(f"cast(({shards} * _middle) div {2 * total or 1} as int)"))
-    )
+    # A range bound can divide a group, so its start is taken over the whole group.
+    several = run.where("_copies > 1").groupBy("_group", "_group_size").agg(F.min("before__size").alias("_start"))
+    heavy = (F.col("_group_size") * (SMALL * shards) > total) & (F.col("_group_size") * shards <= total)
+    homes, filled = group_homes(several.where(heavy), total, shards)
+    placed = F.broadcast(df.sparkSession.createDataFrame(homes, "_home_of string, _home int"))
+    run = run.join(placed, F.col("_group").cast("string") == F.col("_home_of"), "left").drop("_home_of")
+    if homes:
+        # The other rows fill what the groups with a home leave of each shard, so they are numbered among themselves.
+        columns = [F.col(c) for c in (*rows.columns, "_home")]
+        light = settle(running(run.where("_home IS NULL").select(*columns), ["_curve", "_group", "_key"], ["_size"], "light"), "light")
+        housed = run.where("_home IS NOT NULL").select(*columns)
+        several = light.where("_copies > 1").groupBy("_group", "_group_size").agg(F.min("before__size").alias("_start"))
+    else:
+        light, housed = run, None
+    light = cut_light(light, several.where(F.col("_group_size") * (SMALL * shards) <= total), total, filled)
     # One row per shard.
-    firsts = cut.groupBy("_shard").agg(F.min("row_index").alias("_first"))
-    return cut.join(F.broadcast(firsts), "_shard").select(
+    firsts = light.groupBy("_shard").agg(F.min("row_index").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    out = light.join(F.broadcast(firsts), "_shard").withColumn("_slot", F.col("row_index") - F.col("_first"))
+    wanted = ["_key", "_size", "_carry", "_curve", "_shard", "_slot"]
+    out = out.select(*wanted)
+    if housed is not None:
+        # Behind the other rows of its shard, in the order of the curve.
+        counted = settle(running(housed.withColumnRenamed("_home", "_shard"), ["_shard", "_curve", "_group", "_key"], [], "housed"), "housed")
+        begins = counted.groupBy("_shard").agg(F.min("row_index").alias("_begin")).join(firsts, "_shard", "left")
+        behind = counted.join(F.broadcast(begins), "_shard").withColumn(
+            "_slot", F.col("row_index") - F.col("_begin") + F.coalesce("_rows", F.lit(0))
+        )
+        out = out.unionByName(behind.select(*wanted))
+    return out.select(
         F.col("_key").alias(key),
         F.col("_size").alias("size"),
         *[F.col(f"_carry.{n}") for n in carry],
         F.col("_curve").alias("curve"),
         F.col("_shard").alias("shard"),
-        (F.col("row_index") - F.col("_first")).alias("slot"),
+        F.col("_slot").alias("slot"),
     )
 
 
+def group_homes(groups: DataFrame, total: int, shards: int) -> tuple[list[tuple[str, int]], list[int]]:
+    """A shard for each of `groups` (_group, _group_size, _start) that one can take whole, and the bytes so taken.
+
+    The largest first, each to the shard that its place on the curve falls in, else to the emptiest. A group that no
+    shard has room for is left out and cut like any rows. Only groups above 1/SMALL of a shard come here, so there are
+    fewer than SMALL * shards of them, whatever the table holds.
+    """
+    room = total / shards
+    taken, homes = [0] * shards, []
+    for g in sorted(groups.collect(), key=lambda g: (-g["_group_size"], g["_start"])):
+        size = g["_group_size"]
+        own = min(shards - 1, shards * (2 * g["_start"] + size) // (2 * total))
+        best = own if taken[own] + size <= room else min(range(shards), key=lambda s: taken[s])
+        if taken[best] + size <= room:
+            taken[best] += size
+            homes.append((str(g["_group"]), best))
+    return homes, taken
+
+
+def cut_light(run: DataFrame, groups: DataFrame, total: int, taken: list[int]) -> DataFrame:
+    """Add `_shard`: each row goes where its middle falls in the room the shards have left, one of `groups` as a whole."""
+    shards = len(taken)
+    # Twice the bytes times the number of shards, so that ends are whole numbers.
+    ends, end = [], 0
+    for t in taken:
+        end += 2 * total - 2 * shards * t
+        ends.append(end)
+    starts = groups.select(F.col("_group").alias("_of"), "_start")
+    small = F.coalesce((F.col("_copies") > 1) & (F.col("_group_size") * (SMALL * shards) <= total) & F.col("_group").isNotNull(), F.lit(False))
+    # Rows of large groups are not joined, so no task gets a large group.
+    alone = run.where(~small).withColumn("_middle", F.col("before__size") * 2 + F.col("_size"))
+    together = run.where(small).join(starts, F.col("_group") == F.col("_of")).withColumn("_middle", F.col("_start") * 2 + F.col("_group_size"))
+    shard = reduce(lambda a, b: a + b, [(F.col("_middle") * shards >= e).cast("int") for e in ends[:-1]], F.lit(0))
+    return alone.unionByName(together.select(*alone.columns)).withColumn("_shard", shard)
+
+
 def text_size(text: Column) -> Column:
     """UTF-8 bytes of the text and one for its end."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1

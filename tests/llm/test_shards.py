@@ -41,8 +41,68 @@ def test_groups_stay_whole_unless_too_large(spark):
     for r in out:
         shards.setdefault(r["text"], set()).add(r["shard"])
     split = [t for t, s in shards.items() if len(s) > 1]
-    # The hot copy is cut; of the others at most what straddles two ranges of the sort.
-    assert "the hot copy" in split and len(split) <= 8
+    assert split == ["the hot copy"]
+
+
+def plain_cut(rows, shards):
+    """(key, size, group, curve) -> {key: (shard, slot)}, row by row."""
+    lead, size, copies = {}, {}, {}
+    for key, n, group, curve in rows:
+        lead[group] = min(lead.get(group, (key, curve)), (key, curve))
+        size[group] = size.get(group, 0) + n
+        copies[group] = copies.get(group, 0) + 1
+    total = sum(size.values())
+    order = sorted((lead[g][1], g, k, n) for k, n, g, _ in rows)
+    at, start = 0, {}
+    for _, g, _, n in order:
+        start.setdefault(g, at)
+        at += n
+    taken, home = [0] * shards, {}
+    for g in sorted(size, key=lambda g: (-size[g], start[g])):
+        if copies[g] > 1 and total < size[g] * h.SMALL * shards and size[g] * shards <= total:
+            own = min(shards - 1, shards * (2 * start[g] + size[g]) // (2 * total))
+            for s in (own, taken.index(min(taken))):
+                if (taken[s] + size[g]) * shards <= total:
+                    taken[s] += size[g]
+                    home[g] = s
+                    break
+    ends = [sum(total / shards - t for t in taken[: s + 1]) for s in range(shards)]
+    slots, out, at, start = [0] * shards, {}, 0, {}
+    for _, g, k, n in [o for o in order if o[1] not in home]:
+        start.setdefault(g, at)
+        whole = copies[g] > 1 and size[g] * h.SMALL * shards <= total
+        middle = start[g] + size[g] / 2 if whole else at + n / 2
+        s = sum(middle >= e for e in ends[:-1])
+        out[k] = (s, slots[s])
+        slots[s] += 1
+        at += n
+    for _, g, k, n in [o for o in order if o[1] in home]:
+        out[k] = (home[g], slots[home[g]])
+        slots[home[g]] += 1
+    return out
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    """Groups from a tenth of a shard to nearly one, one larger than a shard, and more than there is room for."""
+    for large in ((30, 60, 95, 130, 200, 220), (150,) * 20):
+        rows, key = [], 0
+        for g, copies in enumerate(large):
+            rows += [(key + i, f"group {g:4}" + "y" * 54) for i in range(copies)]
+            key += copies
+        rows += [(key + i, f"text {i:5}" + "x" * (i % 107)) for i in range(4000 - len(rows))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": (F.col("doc_id") % 7).cast("string")}).repartition(5)
+        out = h.shard_by_curve(docs, "doc_id", h.text_size(F.col("text")), F.xxhash64("text"), h.document_dims(), {"group": F.xxhash64("text")}).collect()
+        assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out} == plain_cut([(r["doc_id"], r["size"], r["group"], r["curve"]) for r in out], 16)
+        size, shards, held = {}, {}, {}
+        for r in out:
+            size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
+            shards.setdefault(r["group"], set()).add(r["shard"])
+            held[r["group"]] = held.get(r["group"], 0) + r["size"]
+        share = sum(size.values()) / 16
+        assert max(size.values()) - min(size.values()) <= share / 10
+        split = sorted(held[g] for g, s in shards.items() if len(s) > 1)
+        # One group of each shard's room fits; what is left over is cut.
+        assert all(n > share for n in split) if len(large) == 6 else len(split) <= 20 - 16
 
 
 def test_the_whole_source_decides(spark):
