@@ -79,5 +79,14 @@ def small_batches(spark, size: str = "4m") -> Iterator[None]:
             spark.conf.set(BATCH_BYTES, before)
 
 
+OWN_KEY = "__own_key__"
+
+
+def with_own_key(docs: DataFrame) -> DataFrame:
+    """Add OWN_KEY, a text that stands for the row: its doc_id or, where that is null, its own text."""
+    by_text = F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(OWN_KEY, F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), by_text))
+
+
 def documents(spark, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")

@@ -144,7 +144,11 @@ def query(spark, sf: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
-    """Documents as often as the mix repeats them; those that it never takes go."""
+    """Documents as often as the mix repeats them; those that it never takes go.
+
+    Rows without doc_id are repeated as one doc_id would be; an empty table stays empty; other columns come back as they
+    are.
+    """
     mixed = mix(docs, "doc_id", F.col("source"), word_count(F.col("text")))
     # Rows of one doc_id share the mean of their repeats, rounded up; doc_id is unique in the pipeline.
     times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.avg("repeats")).cast("int").alias("_times")).where("_times > 0")

@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import documents, small_batches
+from quillvec.llm.common import OWN_KEY, documents, small_batches, with_own_key
 from quillvec.llm.near_dup import chosen
 from quillvec.llm.tasks import byte_texts
 from quillvec.session import settle
@@ -200,16 +200,21 @@ def score_batches(machine: Machine) -> Callable:
                 crossed = machine.factors[at].sum(axis=0)
                 raw = machine.bias + machine.weights[at].sum() + 0.5 * ((crossed**2).sum() - squares[at].sum())
                 scores.append(1 / (1 + np.exp(-min(max(raw, -30.0), 30.0))))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return run
 
 
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score (0 to 1) of every row of `docs`; a null or empty text gets the score of no terms."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with small_batches(docs.sparkSession):
-        return settle(rows.mapInArrow(score_batches(machine), "doc_id long, score double"), "scores")
+    return scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), machine)
+
+
+def scores(rows: DataFrame, machine: Machine) -> DataFrame:
+    """doc_id, of any type, and score of `rows` (doc_id, text)."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    with small_batches(rows.sparkSession):
+        return settle(rows.mapInArrow(score_batches(machine), f"doc_id {kind}, score double"), "scores")
 
 
 def held_out() -> Column:
@@ -226,10 +231,17 @@ def query(spark, sf: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
-    """Documents that are not scored as toxic. Rows that share a doc_id with a toxic one go too."""
+    """Documents that are not scored as toxic.
+
+    Rows that share a doc_id with a toxic one go too; a row without doc_id is judged by its own text, as are its copies
+    without doc_id. Repeated rows are kept or dropped together, an empty table stays empty, and other columns, whatever
+    their names, come back as they are.
+    """
     machine = train(docs, spark.read.parquet(f"{sf}/labels.parquet"), ~held_out())
-    toxic = settle(toxicity(docs, machine).where(F.col("score") >= THRESHOLD).select("doc_id").distinct(), "toxic")
-    return chosen(docs, toxic, "doc_id", "left_anti")
+    keyed = with_own_key(docs)
+    scored = scores(keyed.select(F.col(OWN_KEY).alias("doc_id"), "text"), machine)
+    toxic = settle(scored.where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias(OWN_KEY)).distinct(), "toxic")
+    return chosen(keyed, toxic, OWN_KEY, "left_anti").select(*docs.columns)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

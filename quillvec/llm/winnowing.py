@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing.
 
 Both sides keep the smallest k-gram hash of every window of consecutive k-grams. Two texts that share WINDOW words in
-a row share a window of k-grams, hence a kept hash at the same place of the span, so no shared span is missed. Shared
-hashes give alignments of a document with an item, and each is extended word by word to the exact spans.
+a row share a window of k-grams, hence its smallest hash, so no shared span is missed. Documents that share a kept hash
+with an item are suspects. Windows of theirs whose smallest hash and whose hash of all WINDOW words are an item's give
+alignments, and each is extended word by word to the exact spans.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.common import PLAIN_WORD_GAP, ascii_lower, documents, words
+from quillvec.llm.common import OWN_KEY, PLAIN_WORD_GAP, ascii_lower, documents, with_own_key, words
 from quillvec.llm.near_dup import BROADCAST_IDS, chosen
 from quillvec.session import settle
 
@@ -59,22 +60,19 @@ def with_grams(df: DataFrame, text: str) -> DataFrame:
     return add_minima(add_grams(hashed, "_hashes", KGRAM, "_grams"), "_grams", "_minima")
 
 
-def kept_places() -> Column:
-    """(place, fp) of the k-grams that are the smallest of a window around them."""
-    g, m = F.col("_grams"), F.col("_minima")
-    around = F.transform(
-        g,
-        lambda x, i: F.struct(
-            i.alias("place"),
-            x.alias("fp"),
-            (x == F.array_max(F.slice(m, F.greatest(i - (GUARD - 2), F.lit(1)), F.least(i + 1, F.lit(GUARD))))).alias("kept"),
+def windows(df: DataFrame) -> DataFrame:
+    """Add `_windows`: (place, fp, whole) of every window of WINDOW words, its smallest k-gram hash and the hash of all."""
+    return add_grams(df, "_hashes", WINDOW, "_whole").withColumn(
+        "_windows",
+        F.transform(
+            F.arrays_zip("_minima", "_whole"),
+            lambda x, i: F.struct(i.alias("place"), x["_minima"].alias("fp"), x["_whole"].alias("whole")),
         ),
     )
-    return F.filter(around, lambda s: s["kept"])
 
 
-def short_places(k: int) -> Column:
-    return F.transform(f"_short{k}", lambda x, i: F.struct(i.alias("place"), x.alias("fp"), F.lit(True).alias("kept")))
+def short_windows(k: int) -> Column:
+    return F.transform(f"_short{k}", lambda x, i: F.struct(i.alias("place"), x.alias("fp"), x.alias("whole")))
 
 
 def item_table(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -87,6 +85,10 @@ def item_table(items: DataFrame, item_id: str, text: str) -> DataFrame:
     )
 
 
+# The items' words are broadcast up to so many characters.
+ITEM_BYTES = 32_000_000
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
@@ -102,13 +104,14 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     table = settle(item_table(items, item_id, item_text).drop("_text"), "items")
     lengths = sorted(r["span"] for r in table.where(F.col("span") < WINDOW).select("span").distinct().collect())
     # At most WINDOW - 1 of them.
-    prints = table.where(F.col("span") == WINDOW).select("entry", "span", F.explode(kept_places()).alias("s"))
+    prints = windows(table.where(F.col("span") == WINDOW)).select("entry", "span", F.explode("_windows").alias("s"))
     for k in lengths:
         whole = add_grams(table.where(F.col("span") == k), "_hashes", k, f"_short{k}")
-        prints = prints.union(whole.select("entry", "span", F.explode(short_places(k)).alias("s")))
-    prints = settle(prints.select("entry", "span", F.col("s.place").alias("item_place"), F.col("s.fp").alias("fp")), "prints")
+        prints = prints.union(whole.select("entry", "span", F.explode(short_windows(k)).alias("s")))
+    prints = settle(prints.select("entry", "span", F.col("s.place").alias("item_place"), "s.fp", "s.whole"), "prints")
     known = settle(prints.select("fp").distinct(), "fps")
-    n_known, n_prints, n_items = known.count(), prints.count(), table.count()
+    n_known, n_prints = known.count(), prints.count()
+    n_items, n_bytes = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.array_join("_words", " "))), F.lit(0))).first()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     grammed = with_grams(rows, "text")
@@ -137,13 +140,13 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     texts = rows.select(F.md5(F.coalesce("text", F.lit(""))).alias("copy"), "text")
     read = settle(with_grams(chosen(texts, suspects, "copy").dropDuplicates(["copy"]), "text").drop("text"), "read")
 
-    places = read.select("copy", F.explode(kept_places()).alias("s"), F.lit(WINDOW).alias("span"))
+    places = windows(read).select("copy", F.explode("_windows").alias("s"), F.lit(WINDOW).alias("span"))
     for k in lengths:
         short = add_grams(read, "_hashes", k, f"_short{k}")
-        places = places.union(short.select("copy", F.explode(short_places(k)).alias("s"), F.lit(k).alias("span")))
-    places = places.select("copy", "span", F.col("s.place").alias("place"), F.col("s.fp").alias("fp"))
+        places = places.union(short.select("copy", F.explode(short_windows(k)).alias("s"), F.lit(k).alias("span")))
+    places = places.select("copy", "span", "s.place", "s.fp", "s.whole")
     aligned = (
-        places.join(small(prints, n_prints), ["fp", "span"])
+        places.join(small(prints, n_prints), ["whole", "fp", "span"])
         .select("copy", "entry", "span", (F.col("place") - F.col("item_place")).alias("shift"))
         .distinct()
     )
@@ -160,7 +163,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         )
     )
     there = table.select("entry", F.col("_words").alias("_item_words"))
-    paired = alongside.join(small(there, n_items), "entry").withColumn(
+    paired = alongside.join(F.broadcast(there) if n_bytes <= ITEM_BYTES else there, "entry").withColumn(
         "there", F.slice("_item_words", F.col("low") + 1, F.size("here"))
     ).drop("_item_words")
     starts = F.when(
@@ -201,10 +204,16 @@ def query(spark, sf: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
-    """Documents without those that hold a benchmark window. Rows that share a doc_id with such a document go too."""
-    seen = contamination(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
-    leaked = settle(seen.where("contaminated").select("doc_id").distinct(), "leaked")
-    return chosen(docs, leaked, "doc_id", "left_anti")
+    """Documents without those that hold a benchmark window.
+
+    Rows that share a doc_id with such a document go too; a row without doc_id is judged by its own text. Repeated rows
+    are kept or dropped together, an empty table stays empty, and other columns, whatever their names, come back as
+    they are.
+    """
+    keyed = with_own_key(docs)
+    seen = contamination(keyed.select(OWN_KEY, "text"), spark.read.parquet(f"{sf}/benchmark.parquet"), OWN_KEY)
+    leaked = settle(seen.where("contaminated").select(F.col("doc_id").alias(OWN_KEY)).distinct(), "leaked")
+    return chosen(keyed, leaked, OWN_KEY, "left_anti").select(*docs.columns)
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -81,3 +81,22 @@ def test_odd_rows(spark, docs, rows, nothing, tables):
     assert sorted(r["doc_id"] for r in out) == sorted(p[0] for p in plain)
     kept = t.stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in out if not r["predicted"]}
+
+
+def test_stage_judges_rows_without_doc_id_by_their_texts(spark, nothing, tmp_path):
+    rows, labels = corpus(400, 2)
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    marked = dict(labels)
+    bad = max((r for r in rows if marked[r[0]]), key=lambda r: r[0])[1]
+    loose = [(None, bad), (None, bad), (None, "a clean text of plain words"), (None, "a clean text of plain words"), (None, None), (7000, bad)]
+    docs = spark.createDataFrame([(a, b, 1.0, "x") for a, b in [*rows, *loose]], "doc_id long, text string, score double, own_key string")
+    kept = t.stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    machine = t.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), ~t.held_out())
+    texts = spark.createDataFrame(list(enumerate([bad, "a clean text of plain words", ""])), "doc_id long, text string")
+    judged = {r["doc_id"]: r["score"] >= t.THRESHOLD for r in t.toxicity(texts, machine).collect()}
+    assert judged == {0: True, 1: False, 2: False}
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(repr(x) for x in left if x[0] is None) == sorted(map(repr, loose[2:5])) and 7000 not in {x[0] for x in left}
+    empty = t.stage(spark, nothing, str(tmp_path))
+    assert empty.count() == 0 and empty.columns == nothing.columns

@@ -84,3 +84,32 @@ def test_stage_drops_leaks_only(spark, tables):
     expected = brute(plain, [(1, plain[0][1]), (2, "nothing of it anywhere in there at all no not ever"), (4, "one two")])
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in expected if not r[5])
+
+
+def test_stage_judges_rows_without_doc_id_by_their_texts(spark, docs, rows, nothing, tables):
+    folder, plain = tables
+    leak = plain[0][1]
+    odd = docs.unionByName(spark.createDataFrame([(None, "before " + leak, "en"), (None, "before " + leak, "en"), (None, "clean words", "en")], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    given = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    items = [(1, leak), (2, "nothing of it anywhere in there at all no not ever"), (4, "one two")]
+    bad = {r[0] for r in brute([x for x in given if x[0] is not None], items) if r[5]}
+    loose = [x for x in given if x[0] is None and not brute([x], items)[0][5]]
+    kept = winnowing.stage(spark, odd, folder)
+    assert kept.columns == odd.columns
+    found = sorted(repr((r["doc_id"], r["text"])) for r in kept.collect())
+    assert found == sorted(repr(x) for x in [x for x in given if x[0] is not None and x[0] not in bad] + loose) and len(loose) == 3
+    assert winnowing.stage(spark, nothing, folder).count() == 0
+
+
+def test_a_common_opening_makes_no_alignments(spark, monkeypatch):
+    """Nine words shared by all items and documents; and ten, in one document."""
+    from tests.llm.conftest import prose
+
+    opening = prose(60, 9)
+    items = [(i, f"{opening} {prose(1000 + i, 12)}") for i in range(60)]
+    rows = [(i, f"{prose(3000 + i, 5)} {opening} {prose(5000 + i, 20)}") for i in range(200)] + [(900, "x " + items[7][1])]
+    made, settle = {}, winnowing.settle
+    monkeypatch.setattr(winnowing, "settle", lambda df, label: made.setdefault(label, settle(df, label)))
+    found = winnowing.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows_of(found) == brute(rows, items)
+    assert made["aligned"].count() == 1
