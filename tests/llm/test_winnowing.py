@@ -112,4 +112,5 @@ def test_a_common_opening_makes_no_alignments(spark, monkeypatch):
     monkeypatch.setattr(winnowing, "settle", lambda df, label: made.setdefault(label, settle(df, label)))
     found = winnowing.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert rows_of(found) == brute(rows, items)
-    assert made["aligned"].count() == 1
+    # The opening alone, which all share, aligns nothing: no alignment but of a document with an item it is hit by.
+    assert made["aligned"].count() == sum(r["n_items"] for r in found.collect()) < 10
