@@ -1,9 +1,10 @@
 """Main text of web pages, with the templates of their sites removed.
 
-Every element's subtree is hashed; Spark counts, host by host, on how many different pages a subtree recurs, and the
-ones that recur on many are deleted. Element kinds and class names decide what they can by themselves: menus, headers,
-footers, sidebars, notices, adverts, forms, comments. What is left of the article, or of the page if it has none, is
-its text.
+Every element's subtree is hashed twice: by its markup, and by its place, which is the kinds and names of the elements
+from the root down to it, whatever its words. Spark counts, host by host, on how many different pages a subtree and a
+place recur and how much of the host's text and links stand there. What recurs is decided by these counts; a list of
+class names and the rule that text outside the article goes decide only for what too few pages show. Elements that by
+their kind are menus, footers, sidebars, forms or scripts, and readers' comments, are left out from the start.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ import html as entities
 import re
 import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
@@ -28,6 +31,13 @@ from quillvec.session import settle
 # element, which may repeat what others say, it must also be on this share of them.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.3
+# A place outside the article that recurs is a template, whatever its words, if it holds less than this share of the
+# host's text, or more links than this share of its own text. On pages without article or main element, only a place of
+# links that holds less than half of the host's text is.
+PLACE_SHARE = 0.25
+LINK_SHARE = 0.5
+# The names and the article decide for what is on fewer pages than this.
+LISTED_BELOW = 5
 
 # --- fixed values: element kinds -------------------------------------------------------------------
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,12 +68,18 @@ DROPPED = set(
     "dialog menu audio video".split()
 )
 DROPPED_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-DROPPED_NAMES = (
-    "ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments "
-    "consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices "
-    "pagination pager popup promo promoted promotion promotions related reply replies respond share sharing sidebar "
-    "signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets"
-).split()
+DROPPED_NAMES = set(
+    "ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs "
+    "consent cookie cookies footer gdpr masthead menu modal nav navbar navigation newsletter notice notices "
+    "pagination pager popup promo promoted promotion promotions related share sharing sidebar "
+    "signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+)
+COMMENT_NAMES = set("comment comments reply replies respond disqus".split())
+# Words that say where or what kind of box, not what is in it.
+BOX_WORDS = set(
+    "area bar block bottom box button buttons container footer form global group header inner item items left link links "
+    "list main outer page primary right secondary section site slot thread top unit wrap wrapper".split()
+)
 # --- end of fixed values ---------------------------------------------------------------------------
 
 TOKEN = re.compile(
@@ -75,74 +91,104 @@ TOKEN = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
-WORD = "|".join(DROPPED_NAMES)
-BOILERPLATE = re.compile(rf"(?:{WORD})(?:[-_].*)?|(?!(?:has|no|with|without)[-_]).*[-_](?:{WORD})")
-COMMENTS = re.compile(r"(?:comment|comments|reply|replies|disqus)(?:[-_].*)?")
-
-
-def dropped(tag: str, rest: str, in_article: bool) -> bool:
-    """Whether the element's kind, role or names say that it is not the article's text."""
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
-    if tag in ("html", "body", "main") or "=" not in rest:
-        return False
-    for name, value in NAMED.findall(rest):
-        for word in value.strip("\"'").lower().split():
-            if name.lower() == "role":
-                if word in DROPPED_ROLES:
-                    return True
-            elif (COMMENTS if tag == "article" else BOILERPLATE).fullmatch(word):
-                return True
-    return False
-
-
-def parse(html: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bool]], bool]:
-    """(blocks, where, subtrees, whether there is an article).
-
-    `where` is 2 for a block of an article, 1 of a main element, else 0. A subtree is (hash, first block, end block,
-    whether it is inside an article or main element); blocks of text are subtrees outside only.
+DIGITS = re.compile(r"\d+")
+NAME_PARTS = re.compile(r"[-_]+")
+
+
+def means(name: str, words: set[str]) -> bool:
+    """Whether a class name or id says one of `words` and nothing else but where it stands."""
+    parts = [p for p in NAME_PARTS.split(DIGITS.sub("", name)) if p]
+    return any(p in words for p in parts) and all(p in words or p in BOX_WORDS for p in parts)
+
+
+def names_of(rest: str) -> tuple[set[str], list[str]]:
+    """Roles, and class names and ids, of an element's attributes."""
+    roles, names = set(), []
+    if "=" in rest:
+        for name, value in NAMED.findall(rest):
+            found = value.strip("\"'").lower().split()
+            roles.update(found) if name.lower() == "role" else names.extend(found)
+    return roles, names
+
+
+class Page(NamedTuple):
+    blocks: list[str]
+    # Whether each block is in an article or main element, and how much of it is in links.
+    inside: list[bool]
+    linked: list[int]
+    # (markup hash, place hash or None, first block, end block, inside, holds a part inside)
+    subtrees: list[tuple[int, int | None, int, int, bool, bool]]
+    # Blocks of elements whose names are listed.
+    listed: list[tuple[int, int]]
+    main: bool
+
+
+def parse(html: str) -> Page:
+    """The blocks of a page and the subtrees that hold them.
+
+    Paragraphs, headings, list items and cells are subtrees outside an article or main element only, and have a place
+    only if they are named.
     """
-    blocks: list[str] = []
-    where: list[int] = []
-    subtrees: list[tuple[int, int, int, bool]] = []
-    # (tag, position, first block, drops)
-    stack: list[tuple[str, int, int, bool]] = []
+    page = Page([], [], [], [], [], False)
+    blocks = page.blocks
+    # (tag, position, first block, drops, listed, path, named)
+    stack: list[tuple[str, int, int, bool, bool, int, bool]] = []
     text: list[str] = []
-    drops = articles = mains = 0
-    seen_article = seen_main = False
+    drops = soft = articles = mains = links = link_chars = 0
+    seen = False
+    # How many blocks of an article or main element there are before each block.
+    before = [0]
 
     def flush() -> None:
+        nonlocal link_chars
         if text:
             block = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if block:
                 blocks.append(block)
-                where.append(2 if articles else 1 if mains else 0)
+                page.inside.append(articles + mains > 0)
+                page.linked.append(min(link_chars, len(block)))
+                before.append(before[-1] + page.inside[-1])
+        link_chars = 0
 
     def close(depth: int, end: int) -> None:
         """Close the elements from `depth` on; their markup ends at `end`."""
-        nonlocal drops, articles, mains
+        nonlocal drops, soft, articles, mains, links
         while len(stack) > depth:
-            tag, start, first, drop = stack.pop()
+            tag, start, first, drop, listed, path, named = stack.pop()
+            links -= tag == "a"
             if tag not in INLINE:
                 if not drops:
                     flush()
                 inside = articles + mains > 0
-                if tag not in (TEXT_BLOCKS if inside else WHOLE) and drops <= drop and (drop or len(blocks) > first):
-                    subtrees.append((xxhash.xxh3_64_intdigest(html[start:end]) - 2**63, first, len(blocks), inside))
+                if not drops and len(blocks) > first:
+                    if tag not in (TEXT_BLOCKS if inside else WHOLE):
+                        place = path if named or tag not in TEXT_BLOCKS else None
+                        markup = xxhash.xxh3_64_intdigest(html[start:end]) - 2**63
+                        page.subtrees.append((markup, place, first, len(blocks), inside, before[-1] > before[first]))
+                    if listed:
+                        page.listed.append((first, len(blocks)))
             drops -= drop
-            if not drops and not drop:
+            soft -= listed
+            if not drops and not drop and not soft and not listed:
                 articles -= tag == "article"
                 mains -= tag == "main"
 
+    def add(piece: str) -> None:
+        nonlocal link_chars
+        text.append(piece)
+        if links:
+            link_chars += len(piece.strip())
+
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at and not drops:
-            text.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
+        path = stack[-1][5] if stack else 0
         if m["close"] or m["close2"]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
@@ -155,7 +201,8 @@ def parse(html: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bo
             if tag == "br" and not drops:
                 text.append(" ")
             if tag not in VOID:
-                stack.append((tag, m.start(), len(blocks), False))
+                links += tag == "a"
+                stack.append((tag, m.start(), len(blocks), False, False, path, False))
             continue
         if tag in CLOSE_P:
             for depth in range(len(stack) - 1, -1, -1):
@@ -176,91 +223,201 @@ def parse(html: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bo
             flush()
         if tag in VOID:
             continue
-        rest = m["rest"] if m["rest"] is not None else m["rest2"] or ""
-        drop = dropped(tag, rest, articles > 0)
+        roles, names = names_of(m["rest"] if m["rest"] is not None else m["rest2"] or "")
+        whole = tag in ("html", "body", "main")
+        drop = tag in DROPPED or (tag == "header" and not articles) or (
+            not whole and (bool(roles & DROPPED_ROLES) or any(means(n, COMMENT_NAMES) for n in names))
+        )
+        listed = not whole and tag != "article" and any(means(n, DROPPED_NAMES) for n in names)
         drops += drop
-        if not drops:
+        soft += listed
+        if not drops and not soft:
             articles += tag == "article"
             mains += tag == "main"
-            seen_article |= tag == "article"
-            seen_main |= tag == "main"
-        stack.append((tag, m.start(), len(blocks), drop))
+            seen |= tag in ("article", "main")
+        label = " ".join([tag, *sorted(DIGITS.sub("0", n) for n in names)])
+        path = xxhash.xxh3_64_intdigest(f"{stack[-1][5] if stack else 0} {label}") - 2**63
+        stack.append((tag, m.start(), len(blocks), drop, listed, path, bool(names)))
     if not drops:
-        text.append(html[at:])
+        add(html[at:])
         flush()
     close(0, len(html))
-    return blocks, where, subtrees, seen_article or seen_main
+    return page._replace(main=seen)
+
+
+def runs(marks: list[bool]) -> list[tuple[int, int]]:
+    """(first, end) of each run of true marks."""
+    ends = [i for i in range(len(marks) + 1) if (i < len(marks) and marks[i]) != (i > 0 and marks[i - 1])]
+    return list(zip(ends[::2], ends[1::2]))
 
 
-PARSED = "row struct<page_id:bigint,url:string,page:bigint>, host string, blocks array<string>, subtrees array<struct<hash:bigint,first:int,end:int,inside:boolean>>"
+def without_counts(page: Page) -> tuple[list[tuple[int, int]], bool]:
+    """The cuts of a page that names and the article make, and whether it has a main part.
+
+    Text outside the article or main elements goes, if these hold half of the page's text at least, or none at all.
+    """
+    named = [False] * len(page.blocks)
+    for first, end in page.listed:
+        named[first:end] = [True] * (end - first)
+    sizes = [0 if n else len(b) for n, b in zip(named, page.blocks)]
+    main = sum(s for s, i in zip(sizes, page.inside) if i)
+    has_main = page.main and (not main or 2 * main >= sum(sizes))
+    return page.listed + (runs([not i for i in page.inside]) if has_main else []), has_main
+
+
+def kept(blocks: int, cuts: list[tuple[int, int]], templates: list[tuple[int, int]], contents: list[tuple[int, int]]) -> list[bool]:
+    """Which blocks stay: none of a template, and of a cut only what lies in a content inside it."""
+    marks = np.zeros(blocks + 1, dtype=np.int32)
+    for first, end in templates:
+        marks[first] += 1
+        marks[end] -= 1
+    dropped = np.cumsum(marks)[:blocks] > 0
+    for first, end in cuts:
+        inner = [(a, b) for a, b in contents if first <= a and b <= end]
+        held = np.ones(end - first, dtype=bool)
+        for a, b in inner:
+            held[a - first : b - first] = False
+        dropped[first:end] |= held
+    return (~dropped).tolist()
+
+
+CUT = "struct<first:int,end:int>"
+PARSED = (
+    f"row struct<page_id:bigint,url:string,page:bigint>, host string, chars bigint, blocks array<string>, cuts array<{CUT}>, "
+    "places array<struct<place:bigint,outside:boolean,chars:bigint,linked:bigint>>, "
+    "subtrees array<struct<key:bigint,kind:int,first:int,end:int,open:boolean,shut:boolean>>"
+)
+# Kinds of keys: markup outside and inside an article, places outside the main part and on pages without one.
+MARKUP, MARKUP_INSIDE, PLACE_OUTSIDE, PLACE_PLAIN = range(4)
+
+
+def page_row(page_id: int | None, url: str | None, html: str | None) -> dict:
+    page = parse(html or "")
+    cuts, has_main = without_counts(page)
+    n = len(page.blocks)
+    stays = kept(n, cuts, [], [])
+    so_far, chars, linked = [0], [0], [0]
+    for b, s, k in zip(page.blocks, stays, page.linked):
+        so_far.append(so_far[-1] + s)
+        chars.append(chars[-1] + len(b))
+        linked.append(linked[-1] + k)
+    subtrees, places = [], {}
+    for markup, place, first, end, inside, holds in page.subtrees:
+        stay = so_far[end] - so_far[first]
+        at = {"first": first, "end": end, "open": stay > 0, "shut": stay < end - first}
+        subtrees.append({"key": markup, "kind": MARKUP_INSIDE if inside else MARKUP, **at})
+        if place is not None and not inside and not holds:
+            subtrees.append({"key": place, "kind": PLACE_OUTSIDE if has_main else PLACE_PLAIN, **at})
+            known = places.setdefault(place, {"place": place, "outside": has_main, "chars": 0, "linked": 0})
+            known["chars"] += chars[end] - chars[first]
+            known["linked"] += linked[end] - linked[first]
+    try:
+        host = urlsplit(url or "").hostname or ""
+    except ValueError:
+        host = ""
+    same = "\n".join(b for b, s in zip(page.blocks, stays) if s)
+    return {
+        "row": {"page_id": page_id, "url": url, "page": xxhash.xxh3_64_intdigest(same) - 2**63},
+        "host": host, "chars": chars[-1], "blocks": page.blocks,
+        "cuts": [{"first": a, "end": b} for a, b in cuts], "places": list(places.values()), "subtrees": subtrees,
+    }
 
 
 def page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    subtree = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("inside", pa.bool_())])
-    row = pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("page", pa.int64())])
+    cut = pa.struct([("first", pa.int32()), ("end", pa.int32())])
+    place = pa.struct([("place", pa.int64()), ("outside", pa.bool_()), ("chars", pa.int64()), ("linked", pa.int64())])
+    subtree = pa.struct(
+        [("key", pa.int64()), ("kind", pa.int32()), ("first", pa.int32()), ("end", pa.int32()), ("open", pa.bool_()), ("shut", pa.bool_())]
+    )
+    schema = pa.schema([
+        ("row", pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("page", pa.int64())])), ("host", pa.string()),
+        ("chars", pa.int64()), ("blocks", pa.list_(pa.string())), ("cuts", pa.list_(cut)), ("places", pa.list_(place)),
+        ("subtrees", pa.list_(subtree)),
+    ])
     for batch in batches:
-        rows, hosts, texts, trees = [], [], [], []
-        for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-            blocks, where, subtrees, main = parse(html or "")
-            level = max(where, default=0) if main else 0
-            # Blocks outside the main part go; subtrees are renumbered to what stays.
-            kept = [i for i, w in enumerate(where) if w >= level and (w or not main)]
-            new, n = [], 0
-            for i in range(len(blocks) + 1):
-                new.append(n)
-                n += n < len(kept) and kept[n] == i
-            texts.append([blocks[i] for i in kept])
-            trees.append([{"hash": h, "first": new[a], "end": new[b], "inside": inside} for h, a, b, inside in subtrees])
-            rows.append({"page_id": page_id, "url": url, "page": xxhash.xxh3_64_intdigest("\n".join(texts[-1])) - 2**63})
-            try:
-                hosts.append(urlsplit(url or "").hostname or "")
-            except ValueError:
-                hosts.append("")
-        yield pa.record_batch(
-            [pa.array(rows, row), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(trees, pa.list_(subtree))],
-            names=["row", "host", "blocks", "subtrees"],
-        )
+        columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
+        yield pa.RecordBatch.from_pylist([page_row(*r) for r in zip(*columns)], schema=schema)
+
+
+def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for blocks, cuts, found in zip(*(batch.column(c).to_pylist() for c in ("blocks", "cuts", "found"))):
+            spans = [[(f["first"], f["end"]) for f in found or [] if f["template"] == t] for t in (True, False)]
+            stays = kept(len(blocks), [(c["first"], c["end"]) for c in cuts], *spans)
+            texts.append("\n".join(b for b, s in zip(blocks, stays) if s))
+        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def verdicts(parsed: DataFrame, least_pages: int, least_share: float, listed_below: int) -> DataFrame:
+    """host, key, kind and template of the subtrees and places that enough different pages of a host show."""
+    pages = parsed.groupBy("host", "row.page").agg(F.max("chars").alias("chars"))
+    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("host_chars"))
+    markup = F.filter("subtrees", lambda t: t["kind"] <= MARKUP_INSIDE)
+    seen = parsed.select("host", "row.page", F.explode(F.transform(markup, lambda t: F.struct(t["key"].alias("key"), t["kind"].alias("kind")))).alias("t"))
+    recurring = (
+        seen.select("host", "page", "t.*").distinct().groupBy("host", "key", "kind").agg(F.count(F.lit(1)).alias("on"))
+        .where(F.col("on") >= least_pages).join(hosts, "host")
+        .where((F.col("kind") == MARKUP) | (F.col("on") >= F.col("pages") * least_share))
+        .select("host", "key", "kind", F.lit(True).alias("template"))
+    )
+    places = parsed.select("host", "row.page", F.explode("places").alias("p")).select("host", "page", "p.*")
+    placed = (
+        places.groupBy("host", "page", "place", "outside").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked"))
+        .groupBy("host", "place", "outside")
+        .agg(F.count(F.lit(1)).alias("on"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+        .where(F.col("on") >= min(least_pages, listed_below)).join(hosts, "host")
+    )
+    share, of_links = F.col("chars") / F.col("host_chars"), F.col("linked") >= LINK_SHARE * F.col("chars")
+    furniture = F.when(F.col("outside"), of_links | (share < PLACE_SHARE)).otherwise(of_links & (share < 0.5))
+    judged = placed.withColumn("template", furniture & (F.col("on") >= least_pages)).where(F.col("template") | (F.col("on") >= listed_below))
+    kind = F.when(F.col("outside"), PLACE_OUTSIDE).otherwise(PLACE_PLAIN)
+    return recurring.unionByName(judged.select("host", F.col("place").alias("key"), kind.alias("kind"), "template"))
 
 
-def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def main_text(
+    pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, listed_below: int = LISTED_BELOW
+) -> DataFrame:
     """page_id, url, text and n_chars of every row of `pages` (page_id, url, html).
 
     Blocks are joined by a line feed; white space inside a block is one space; character references are decoded. Pages
-    with the same text count once when a host's subtrees are counted, so copies of a page don't make it a template.
-    Inside an article or main element a template must be on `least_share` of the host's pages too, and paragraphs,
-    headings, list items and cells are never templates by themselves: an article may repeat another's. Outside, the
-    number of pages decides alone, so that a large host's sections and designs lose theirs, and for all blocks of text.
+    with the same text count once when a host's subtrees and places are counted, so copies of a page don't make it a
+    template. Markup on `least_pages` pages is a template; inside an article or main element it must be on `least_share`
+    of the host's pages too, and paragraphs, headings, list items and cells are never templates by themselves: an
+    article may repeat another's. Outside, the number of pages decides alone, so that a large host's sections and
+    designs lose theirs. A place outside the article that is on `least_pages` pages goes if it holds little of the
+    host's text or mostly links, and stays otherwise, however its element is named. Names and the rule that only the
+    article counts decide for places on fewer than `listed_below` pages.
     A null or empty page has an empty text; a null url is a host of its own; repeated rows are returned as often; an
     empty table gives no rows.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     with small_batches(pages.sparkSession):
         parsed = settle(source.mapInArrow(page_batches, PARSED), "parsed")
-    hosts = parsed.select("host", "row.page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    trees = F.explode(F.transform("subtrees", lambda t: F.struct(t["hash"].alias("hash"), t["inside"].alias("inside"))))
-    held = parsed.select("host", "row.page", trees.alias("t")).select("host", "page", "t.hash", "t.inside").distinct()
-    counted = held.groupBy("host", "hash", "inside").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= least_pages)
-    recurring = settle(
-        counted.join(hosts, "host").where(~F.col("inside") | (F.col("on") >= F.col("pages") * least_share)).select("host", "hash", "inside"),
-        "recurring",
-    )
-    where = parsed.select("row", "host", F.explode("subtrees").alias("s")).where("s.end > s.first")
-    cuts = settle(
-        where.select("row", "host", F.col("s.hash").alias("hash"), "s.inside", "s.first", "s.end").join(recurring, ["host", "hash", "inside"], "left_semi")
-        .groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("cuts")).withColumnRenamed("row", "cut_row"),
-        "cuts",
-    )
-    few = F.broadcast(cuts) if cuts.count() <= BROADCAST_IDS // 10 else cuts
-    kept = F.filter(
-        F.transform("blocks", lambda b, i: F.struct(b.alias("b"), i.alias("i"))),
-        lambda s: ~F.exists("cuts", lambda c: (c["first"] <= s["i"]) & (s["i"] < c["end"])),
-    )
-    text = F.array_join(F.when(F.col("cuts").isNull(), F.col("blocks")).otherwise(kept["b"]), "\n")
-    return (
-        parsed.join(few, F.col("row").eqNullSafe(F.col("cut_row")), "left")
-        .select("row.page_id", "row.url", text.alias("text"))
-        .withColumn("n_chars", F.length("text").cast("long"))
-    )
+    judged = settle(verdicts(parsed, least_pages, least_share, listed_below), "judged")
+    # Only what differs from the cuts already made: templates with blocks that stay, contents with blocks that don't.
+    where = parsed.select("row", "host", F.explode("subtrees").alias("s")).select("row", "host", "s.*")
+    where = where.where("open OR (shut AND kind >= 2)")
+    if judged.count() <= BROADCAST_IDS // 10:
+        met = where.join(F.broadcast(judged), ["host", "key", "kind"])
+    else:
+        # A large host's places are on all of its pages: its rows are dealt over salts, the verdicts repeated.
+        salts = F.explode(F.array(*[F.lit(i) for i in range(16)])).alias("salt")
+        met = where.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(16)).cast("int")).join(
+            judged.select("*", salts), ["host", "key", "kind", "salt"]
+        )
+    spans = F.collect_set(F.struct("first", "end", "template")).alias("found")
+    changes = met.where("IF(template, open, shut)").groupBy("row").agg(spans).withColumnRenamed("row", "found_row")
+    found = settle(changes, "found")
+    few = F.broadcast(found) if found.count() <= BROADCAST_IDS // 10 else found
+    joined = parsed.select("row", "blocks", "cuts").join(few, F.col("row").eqNullSafe(F.col("found_row")), "left")
+    with small_batches(pages.sparkSession):
+        return settle(
+            joined.select("row.page_id", "row.url", "blocks", "cuts", "found")
+            .mapInArrow(text_batches, "page_id long, url string, text string")
+            .withColumn("n_chars", F.length("text").cast("long")),
+            "texts",
+        )
 
 
 def query(spark, sf: str) -> DataFrame:

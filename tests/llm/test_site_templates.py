@@ -1,3 +1,9 @@
+import re
+from html import unescape
+from urllib.parse import urlsplit
+
+from pyspark.sql import functions as F
+
 from quillvec.llm import site_templates as s
 
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1></header>
@@ -9,9 +15,10 @@ PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><
 
 
 def text(html):
-    blocks, where, _, main = s.parse(html)
-    level = max(where, default=0) if main else 0
-    return [b for b, w in zip(blocks, where) if w >= level and (w or not main)]
+    """What names and the article alone leave of a page."""
+    page = s.parse(html)
+    stays = s.kept(len(page.blocks), s.without_counts(page)[0], [], [])
+    return [b for b, stay in zip(page.blocks, stays) if stay]
 
 
 def test_article_without_boilerplate():
@@ -35,6 +42,20 @@ def test_odd_markup():
     assert len(text("<div>" * 3000 + "deep")) == 1
 
 
+def test_names_that_only_begin_like_an_advert_stay():
+    for name in ("ad-hoc-report", "comment-on-law", "notice-of-intent", "related-work", "share-price", "news-banner",
+                 "menu-engineering", "widget-theory", "reply-all", "post-respond"):
+        assert text(f'<div class="{name}"><p>Real article text.</p></div>') == ["Real article text."]
+    for name in ("ad", "ads-box", "comment-list", "cookie_notice", "share-buttons", "sidebar2 x"):
+        assert text(f'<div class="{name}"><p>Gone.</p></div><p>y</p>') == ["y"]
+
+
+def test_main_beside_an_article_stays():
+    teaser = '<main><h1>T</h1><p>Long body one.</p><p>Long body two.</p><article class="teaser">See also</article></main>'
+    assert text(teaser) == ["T", "Long body one.", "Long body two.", "See also"]
+    assert text("<div><p>A body that is long</p></div><article>See</article>") == ["A body that is long", "See"]
+
+
 def test_templates_are_deleted_by_host(spark):
     def page(i, extra=""):
         return f"<body><div class='x1'>Join our club today</div><p>Unique text {i}</p><div><p>Always said</p></div>{extra}</body>"
@@ -74,3 +95,36 @@ def test_templates_of_sections_and_bare_notices_are_deleted(spark):
         | {100 + i: f"Box {i % 4}\nQuote {i % 4}\nown {i}" for i in range(40)}
         | {200 + i: f"Quote 0\nown {i}" for i in range(40)}
     )
+
+
+def test_places_are_counted(spark):
+    """On given pages whose words all differ, the counts take the adverts away, and without counts they stay."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = {r["page_id"]: r for r in pages.collect()}
+    whole = {r["page_id"]: r["text"] for r in s.main_text(pages).collect()}
+    blind = {r["page_id"]: r["text"] for r in s.main_text(pages, least_pages=10**9).collect()}
+    unnamed = pages.withColumn("html", F.replace("html", F.lit('class="ad"'), F.lit('class="x7"')))
+    assert {r["page_id"]: r["text"] for r in s.main_text(unnamed).collect()} == whole
+    # The counting written out: places of five different pages of a host.
+    different = {}
+    for r in rows.values():
+        different.setdefault(urlsplit(r["url"]).hostname, set()).add(whole[r["page_id"]])
+    known = [i for i, r in rows.items() if len(different[urlsplit(r["url"]).hostname]) >= 5]
+    assert len(known) > len(rows) / 2
+    for i, r in rows.items():
+        advert = " ".join(unescape(re.search('(?s)<div class="ad">(.*?)</div>', r["html"])[1]).split())
+        assert blind[i] == (f"{advert}\n{whole[i]}" if i in set(known) else whole[i])
+
+
+def test_a_place_with_much_text_is_no_template(spark):
+    def page(i):
+        long = f"A report that goes on and on about the matter {i} " * 5
+        links = "".join(f"<li><a href='/{k}'>link {k * i}</a></li>" for k in range(5))
+        return f"<body><div class='promo'><p>{long}</p></div><div class='z'><p>Buy {i}</p></div><div><ul>{links}</ul></div><article><p>{long}own {i}</p></article></body>"
+
+    rows = [(i, f"http://n.example/{i}", page(i)) for i in range(6)] + [(9, "http://few.example/", page(9))]
+    found = {r["page_id"]: r["text"] for r in s.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        long = (f"A report that goes on and on about the matter {i} " * 5).strip()
+        assert found[i] == f"{long}\n{long} own {i}"
+    assert found[9] == ("A report that goes on and on about the matter 9 " * 5).strip() + " own 9"
