@@ -283,7 +283,7 @@ def kept(blocks: int, cuts: list[tuple[int, int]], templates: list[tuple[int, in
 
 CUT = "struct<first:int,end:int>"
 PARSED = (
-    f"row struct<page_id:bigint,url:string,page:bigint>, host string, chars bigint, blocks array<string>, cuts array<{CUT}>, "
+    f"row struct<page_id:bigint,url:string,page:bigint>, host string, chars bigint, blocks array<string>, stays array<boolean>, cuts array<{CUT}>, "
     "places array<struct<place:bigint,outside:boolean,chars:bigint,linked:bigint>>, "
     "subtrees array<struct<key:bigint,kind:int,first:int,end:int,open:boolean,shut:boolean>>"
 )
@@ -318,7 +318,7 @@ def page_row(page_id: int | None, url: str | None, html: str | None) -> dict:
     same = "\n".join(b for b, s in zip(page.blocks, stays) if s)
     return {
         "row": {"page_id": page_id, "url": url, "page": xxhash.xxh3_64_intdigest(same) - 2**63},
-        "host": host, "chars": chars[-1], "blocks": page.blocks,
+        "host": host, "chars": chars[-1], "blocks": page.blocks, "stays": stays,
         "cuts": [{"first": a, "end": b} for a, b in cuts], "places": list(places.values()), "subtrees": subtrees,
     }
 
@@ -331,7 +331,7 @@ def page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
     schema = pa.schema([
         ("row", pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("page", pa.int64())])), ("host", pa.string()),
-        ("chars", pa.int64()), ("blocks", pa.list_(pa.string())), ("cuts", pa.list_(cut)), ("places", pa.list_(place)),
+        ("chars", pa.int64()), ("blocks", pa.list_(pa.string())), ("stays", pa.list_(pa.bool_())), ("cuts", pa.list_(cut)), ("places", pa.list_(place)),
         ("subtrees", pa.list_(subtree)),
     ])
     for batch in batches:
@@ -339,16 +339,6 @@ def page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([page_row(*r) for r in zip(*columns)], schema=schema)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for blocks, cuts, found in zip(*(batch.column(c).to_pylist() for c in ("blocks", "cuts", "found"))):
-            spans = [[(f["first"], f["end"]) for f in found or [] if f["template"] == t] for t in (True, False)]
-            stays = kept(len(blocks), [(c["first"], c["end"]) for c in cuts], *spans)
-            texts.append("\n".join(b for b, s in zip(blocks, stays) if s))
-        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-
 def verdicts(parsed: DataFrame, least_pages: int, least_share: float, listed_below: int) -> DataFrame:
     """host, key, kind and template of the subtrees and places that enough different pages of a host show."""
     pages = parsed.groupBy("host", "row.page").agg(F.max("chars").alias("chars"))
@@ -410,14 +400,16 @@ def main_text(
     changes = met.where("IF(template, open, shut)").groupBy("row").agg(spans).withColumnRenamed("row", "found_row")
     found = settle(changes, "found")
     few = F.broadcast(found) if found.count() <= BROADCAST_IDS // 10 else found
-    joined = parsed.select("row", "blocks", "cuts").join(few, F.col("row").eqNullSafe(F.col("found_row")), "left")
-    with small_batches(pages.sparkSession):
-        return settle(
-            joined.select("row.page_id", "row.url", "blocks", "cuts", "found")
-            .mapInArrow(text_batches, "page_id long, url string, text string")
-            .withColumn("n_chars", F.length("text").cast("long")),
-            "texts",
-        )
+    joined = parsed.select("row", "blocks", "stays", "cuts").join(few, F.col("row").eqNullSafe(F.col("found_row")), "left")
+    # The rules of `kept`, for the pages whose cuts the counts change.
+    holds = lambda span, i: (span["first"] <= i) & (i < span["end"])
+    template = lambda i: F.exists("found", lambda f: f["template"] & holds(f, i))
+    within = lambda c, i: F.exists("found", lambda f: ~f["template"] & holds(f, i) & (c["first"] <= f["first"]) & (f["end"] <= c["end"]))
+    cut = lambda i: F.exists("cuts", lambda c: holds(c, i) & ~within(c, i))
+    unchanged = F.filter("blocks", lambda b, i: F.get("stays", i))
+    changed = F.filter("blocks", lambda b, i: ~template(i) & ~cut(i))
+    text = F.array_join(F.when(F.col("found").isNull(), unchanged).otherwise(changed), "\n")
+    return joined.select("row.page_id", "row.url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark, sf: str) -> DataFrame:
