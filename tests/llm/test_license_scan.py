@@ -33,6 +33,54 @@ def test_names_of_licence_files(spark):
     assert [found[f"d{i}/f"] for i in range(len(names))] == ["MIT" if speaks else None for speaks in names.values()]
 
 
+GNU = """
+ * This {} is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU {}
+ * as published by the Free Software Foundation; either
+ * version {} of the License, or (at your option) any later version.
+"""
+MIT = """MIT License
+
+Copyright (c) 2021 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+2. Redistributions in binary form must reproduce the above copyright notice."""
+STATED = {
+    "GPL-2.0": [GNU.format("program", "General Public License", "2"), "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991\n x"],
+    "GPL-3.0": [GNU.format("program", "General Public License", "3"), "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007"],
+    "LGPL-2.1": [GNU.format("library", "Lesser General Public License", "2.1")],
+    "LGPL-3.0": [GNU.format("library", "Lesser General Public License", "3")],
+    "AGPL-3.0": [GNU.format("program", "Affero General Public License", "3")],
+    "ISC": ["Copyright x\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, "
+            "provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS"],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE"],
+    "MIT": [MIT, "Copyright 2020 Foo. Released under the MIT License. See https://x.example/y", "This project is licensed under the MIT License - see LICENSE"],
+    "Apache-2.0": ["                Apache License\n          Version 2.0, January 2004\n   http://www", "// Copyright A. Licensed under the Apache License, Version 2.0. All rights"],
+    "BSD-2-Clause": [BSD],
+    "BSD-3-Clause": [BSD + "\n3. Neither the name of Foo Inc. nor the names of its contributors may be used to endorse or promote "
+                     "products\nderived from this software without specific prior written permission."],
+    "CC-BY-4.0": ["Text under CC BY 4.0 unless said. Licensed under CC BY 4.0 by us"],
+    "CC-BY-NC-4.0": ["Pictures are licensed under CC BY-NC 4.0 by us"],
+    "BSL-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    None: ["Read the license before use", "the general public may enter; version 2", "with MIT students"],
+}
+
+
+def test_versions_and_statements_inside_longer_texts(spark):
+    cases = [(f"c/{i}", name, text) for i, (name, text) in enumerate((n, t) for n, texts in STATED.items() for t in texts)]
+    filler = [(f"z/{i}", f"some words of file {i} and the 2 or 3 of them") for i in range(200)]
+    frame = spark.createDataFrame([(p, t) for p, _, t in cases] + filler, "path string, text string")
+    found = {r["path"]: r["own_license"] for r in scan.license_scan(frame).where("path LIKE 'c/%'").collect()}
+    assert found == {p: name for p, name, _ in cases}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "path string, text string")
     assert scan.license_scan(empty).count() == 0
@@ -41,7 +89,7 @@ def test_empty_table(spark):
 def test_anchors_turn_no_match_away():
     idf = {t: 1.0 + (len(t) % 5) for t in ["", *scan.VOCABULARY]}
     found = set(scan.anchors(idf, 0.7))
-    for _, statement in scan.TEMPLATES:
+    for _, statement, *_ in scan.TEMPLATES:
         terms = scan.terms_of(statement)
         left = sum((terms.count(t) * idf[t]) ** 2 for t in set(terms) - found)
         assert left < 0.49 * sum((terms.count(t) * idf[t]) ** 2 for t in set(terms))
