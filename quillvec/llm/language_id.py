@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,10 @@ from quillvec.llm.near_dup import chosen
 from quillvec.llm.tasks import mixed, odd_numbers
 from quillvec.session import settle
 
-# The model is fitted on at most this many rows of each language, the first in a seeded order, and knows at most this
-# many languages, the most frequent ones. The broadcast matrix has LANGUAGES * 2^HASH_BITS floats at most (128 MB).
+# The model is fitted on at most this many rows of each language, the first in a seeded order. All languages are learnt.
 LANGUAGE_ROWS = 8_000
-LANGUAGES = 512
-TRAIN_PARTS = 12
+# The matrix is broadcast and scored in blocks of this many languages, LANGUAGE_BLOCK * 2^HASH_BITS floats each (64 MB).
+LANGUAGE_BLOCK = 256
 HASH_BITS = 16
 GRAMS = [1, 2, 3]
 SMOOTHING = 0.5
@@ -69,60 +71,92 @@ def text_groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, texts[first:]
 
 
-def count_batches(languages: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((languages, 1 << HASH_BITS), dtype=np.int64)
-        for batch in batches:
-            at = batch.column("language").to_numpy()
-            texts = [plain(t) for t in batch.column("text").to_pylist()]
-            for first, group in text_groups(texts):
-                buckets, starts = gram_batch(group)
-                sizes = np.diff(np.append(starts, len(buckets)))
-                owner = np.repeat(at[first : first + len(group)].astype(np.int64), sizes)
-                counts += np.bincount(owner * (1 << HASH_BITS) + buckets, minlength=counts.size).reshape(counts.shape)
-        language, bucket = np.nonzero(counts)
-        yield pa.record_batch(
-            [pa.array(language, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[language, bucket])],
-            names=["language", "bucket", "n"],
-        )
+def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each (language, bucket) pair that occurs, one batch of rows for each batch of texts."""
+    for batch in batches:
+        at = batch.column("language").to_numpy().astype(np.int64)
+        texts = [plain(t) for t in batch.column("text").to_pylist()]
+        for first, group in text_groups(texts):
+            buckets, starts = gram_batch(group)
+            sizes = np.diff(np.append(starts, len(buckets)))
+            pairs, counts = np.unique(np.repeat(at[first : first + len(group)], sizes) << HASH_BITS | buckets, return_counts=True)
+            yield pa.record_batch(
+                [pa.array(pairs >> HASH_BITS, pa.int32()), pa.array(pairs & ((1 << HASH_BITS) - 1), pa.int32()), pa.array(counts, pa.int64())],
+                names=["language", "bucket", "n"],
+            )
 
-    return run
 
+def score_batches(matrix, prior: np.ndarray, first_language: int) -> Callable:
+    """`matrix` is the broadcast (bucket, language) table of log-probabilities of a block of languages.
 
-def score_batches(matrix, prior: np.ndarray, names: list[str]) -> Callable:
-    """`matrix` is the broadcast (bucket, language) table of log-probabilities."""
+    Adds `best`, the likeliest language of the block (the first of equal ones), `top`, its log-likelihood, and `rest`,
+    the sum of exp(log-likelihood - top) over the block. A text without letters has no language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = matrix.value
         for batch in batches:
             texts = [plain(t) for t in batch.column("text").to_pylist()]
-            sums = np.empty((len(texts), len(names)))
+            sums = np.empty((len(texts), len(prior)))
             for first, group in text_groups(texts):
                 buckets, starts = gram_batch(group)
-                # Repeated n-grams of a text count each time.
-                sums[first : first + len(group)] = np.add.reduceat(table[buckets], starts, axis=0, dtype=np.float64)
+                # Repeated n-grams of a text count each time. A few columns at a time keep the gathered rows small.
+                for c in range(0, len(prior), 8):
+                    part = np.add.reduceat(table[:, c : c + 8][buckets], starts, axis=0, dtype=np.float64)
+                    sums[first : first + len(group), c : c + 8] = part
             sums += prior
+            known = np.array([bool(t) for t in texts], dtype=bool)
             best = sums.argmax(axis=1) if len(texts) else np.zeros(0, dtype=int)
-            chance = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1) if len(texts) else np.zeros(0)
+            top = sums.max(axis=1) if len(texts) else np.zeros(0)
+            rest = np.exp(sums - top[:, None]).sum(axis=1)
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
-                    pa.array([names[b] if t else UNKNOWN for b, t in zip(best, texts)], pa.string()),
-                    pa.array([float(c) if t else 0.0 for c, t in zip(chance, texts)], pa.float64()),
+                    pa.array(best + first_language, pa.int32(), mask=~known),
+                    pa.array(top, pa.float64()),
+                    pa.array(rest, pa.float64()),
+                    batch.column("row"),
                 ],
-                names=["doc_id", "lang_pred", "score"],
+                names=["doc_id", "best", "top", "rest", "row"],
             )
 
     return run
 
 
-def train(docs: DataFrame, keep: Column) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language names, their log shares, and the (bucket, language) log-probabilities, from the rows that `keep`."""
+class Model(NamedTuple):
+    """Languages in order of name, their log shares, what a bucket has that a language never showed, and the others.
+
+    `pairs` has a row for every (language, bucket) that the sample shows: its log-probability above the floor.
+    """
+
+    names: list[str]
+    prior: np.ndarray
+    floor: np.ndarray
+    pairs: pa.Table
+
+    def matrix(self, first: int = 0, end: int | None = None) -> np.ndarray:
+        """The (bucket, language) log-probabilities of the languages from `first` to `end`."""
+        floor = self.floor[first:end]
+        table = np.tile(floor.astype(np.float32), (1 << HASH_BITS, 1))
+        language = self.pairs["language"].to_numpy()
+        here = (language >= first) & (language < first + len(floor))
+        language = language[here] - first
+        table[self.pairs["bucket"].to_numpy()[here], language] = (floor[language] + self.pairs["above"].to_numpy()[here]).astype(np.float32)
+        return table
+
+
+def train(docs: DataFrame, keep: Column) -> Model:
+    """The model of all languages of the rows that `keep`.
+
+    Rows without doc_id, lang or text teach nothing; repeated rows count as often as they are there, and a language
+    whose rows share their draw keeps the smaller doc_id first. Counts are kept where they occur only, so what the
+    driver holds grows with the languages' own n-grams, at most LANGUAGE_ROWS texts each.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & keep)
-    rows = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
+    rows = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
     names = sorted(r["lang"] for r in rows)
     if not names:
-        return [], np.zeros(0), np.zeros((1 << HASH_BITS, 0), dtype=np.float32)
+        return Model([], np.zeros(0), np.zeros(0), pa.table({"language": [], "bucket": [], "above": []}))
     sizes = {r["lang"]: r["rows"] for r in rows}
     # A language's draw is thinned by its share first, so that no task sorts a whole language.
     draws = docs.sparkSession.createDataFrame(
@@ -136,30 +170,61 @@ def train(docs: DataFrame, keep: Column) -> tuple[list[str], np.ndarray, np.ndar
     sample = settle(thin.withColumn("place", first).where(F.col("place") <= LANGUAGE_ROWS).select("doc_id", "lang", "language"), "sample")
     texts = chosen(labelled.select("doc_id", "lang", "text"), sample.select("doc_id"), "doc_id")
     placed = texts.join(F.broadcast(draws.select("lang", "language")), "lang").select("language", "text")
-    spread = placed.repartition(TRAIN_PARTS, F.xxhash64("text"))
     with small_batches(docs.sparkSession):
-        found = (
-            spread.mapInArrow(count_batches(len(names)), "language int, bucket int, n long")
-            .groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        found = settle(
+            placed.mapInArrow(count_batches, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")),
+            "counts",
         )
-    counts = np.full((1 << HASH_BITS, len(names)), SMOOTHING)
-    counts[found["bucket"].to_numpy(), found["language"].to_numpy()] += found["n"].to_numpy()
+    buckets = 1 << HASH_BITS
+    totals = {r["language"]: r["n"] for r in found.groupBy("language").agg(F.sum("n").alias("n")).collect()}
+    floor = np.log(SMOOTHING) - np.log(np.array([totals.get(i, 0) + SMOOTHING * buckets for i in range(len(names))]))
+    above = (F.log(F.col("n") + SMOOTHING) - math.log(SMOOTHING)).cast("float")
     share = np.array([sizes[n] for n in names], dtype=np.float64)
-    return names, np.log(share / share.sum()), np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    return Model(names, np.log(share / share.sum()), floor, found.select("language", "bucket", above.alias("above")).toArrow())
 
 
-def identify(docs: DataFrame, names: list[str], prior: np.ndarray, matrix: np.ndarray) -> DataFrame:
+def identify(docs: DataFrame, model: Model, block: int = LANGUAGE_BLOCK) -> DataFrame:
     """doc_id, lang_pred and score of every row of `docs` (doc_id, text).
 
     score is the posterior of the language. A null text and one without letters are `und` with score 0, and so is
-    every row if no language was learnt. Of equally likely languages the first by name is taken.
+    every row if no language was learnt. Of equally likely languages the first by name is taken. Languages are scored
+    `block` at a time, and the blocks' best and sums are put together by row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = model.names
     if not names:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
-    with small_batches(docs.sparkSession):
-        return settle(rows.mapInArrow(score_batches(shared, prior, names), "doc_id long, lang_pred string, score double"), "languages")
+    spark = docs.sparkSession
+    firsts = range(0, len(names), block)
+    if len(firsts) > 1:
+        # Rows are told apart by a number that is written down, so that all blocks see the same.
+        rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    else:
+        rows = rows.withColumn("row", F.lit(0).cast("long"))
+    scored = []
+    with small_batches(spark):
+        for first in firsts:
+            shared = spark.sparkContext.broadcast(model.matrix(first, first + block))
+            run = score_batches(shared, model.prior[first : first + block], first)
+            scored.append(settle(rows.mapInArrow(run, "doc_id long, best int, top double, rest double, row long"), "languages"))
+            shared.unpersist()
+    found = scored[0]
+    if len(scored) > 1:
+        together = reduce(DataFrame.unionByName, scored)
+        tops = together.groupBy("row").agg(
+            F.first("doc_id").alias("doc_id"),
+            F.min(F.struct((-F.col("top")).alias("below"), "best")).alias("least"),
+            F.collect_list(F.struct("top", "rest")).alias("parts"),
+        )
+        top = -F.col("least.below")
+        rest = F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["rest"] * F.exp(p["top"] - top))
+        found = tops.select("doc_id", F.col("least.best").alias("best"), rest.alias("rest"))
+    named = spark.createDataFrame(list(enumerate(names)), "best int, name string")
+    # One row a language.
+    return found.join(F.broadcast(named), "best", "left").select(
+        "doc_id", F.coalesce("name", F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(F.col("best").isNull(), F.lit(0.0)).otherwise(1 / F.col("rest")).alias("score"),
+    )
 
 
 def held_out() -> Column:
@@ -169,7 +234,7 @@ def held_out() -> Column:
 
 def query(spark, sf: str) -> DataFrame:
     docs = documents(spark, sf)
-    return identify(docs, *train(docs, ~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(docs, train(docs, ~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
