@@ -8,14 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.session import held_setting, scratch_path, settle
+from quillvec.session import OPEN_FILES, held_setting, scratch_path, settle
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position of a partition in the low 33 bits
 # Rows of order keys sorted by one task.
 RANGE_ROWS = 4_000_000
 # A slice is 2^16 rows that one task wrote one after the other; their numbers travel as one array of 512 KB at most.
 _SLICE_BITS = 16
-_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def next_id(existing: DataFrame | None, column: str = "id") -> int:
@@ -36,7 +35,7 @@ def _in_slices(df: DataFrame) -> DataFrame:
     place = F.monotonically_increasing_id()
     placed = df.withColumn("__place", place).withColumn("__slice", F.shiftright("__place", _SLICE_BITS))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with held_setting(spark, _OPEN_FILES, "64"):
+    with held_setting(spark, OPEN_FILES, "64"):
         placed.write.option("path", scratch_path(spark, "rows")).bucketBy(buckets, "__slice").saveAsTable(name)
     rows = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

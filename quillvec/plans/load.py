@@ -16,7 +16,7 @@ from quillvec.functions.vector import has_embedding, vector_to_json
 from quillvec.operators import ann, clean, stats
 from quillvec.operators.chunks import chunk_metadata
 from quillvec.operators.ids import assign_ids, next_id
-from quillvec.session import settle
+from quillvec.session import OPEN_FILES, held_setting, settle
 from quillvec.sources.readers import as_products, list_table_files, narrow_types, read_records
 from quillvec.sources.sinks import align_to, append_corpus, stamp_load, stored
 
@@ -193,7 +193,8 @@ def load_table_files(
         ),
         "headers",
     )
-    below = lines.filter(F.col("row_index") > header_row).join(heads.drop("header"), "source_file")
+    # One row per file: the lines stay where they are.
+    below = lines.filter(F.col("row_index") > header_row).join(F.broadcast(heads.drop("header")), "source_file")
     results = []
     # One row per header.
     for head in heads.groupBy("key").agg(F.first("header").alias("header")).orderBy("key").collect():
@@ -242,9 +243,12 @@ def _load_group(rows: DataFrame, location: str, prefix: str | None) -> DataFrame
     firsts = named.groupBy("table_name").agg(F.min("id").alias("_first"))
     last = before.groupBy("table_name").agg(F.max("id").alias("_last")) if before is not None else None
     firsts = firsts.join(last, "table_name", "left") if last is not None else firsts.withColumn("_last", F.lit(0))
-    numbered = named.join(firsts, "table_name").withColumn("id", F.col("id") - F.col("_first") + F.coalesce("_last", F.lit(0)) + 1)
+    # Joined by shuffle, a table's rows would meet in one task.
+    numbered = named.join(F.broadcast(firsts), "table_name").withColumn("id", F.col("id") - F.col("_first") + F.coalesce("_last", F.lit(0)) + 1)
     kept = fit_to(numbered.drop("_first", "_last"), before)
-    append_corpus(stamp_load(kept), location, partition_by=["table_name"])
+    # A task keeps the files of its tables open instead of sorting its rows by table.
+    with held_setting(rows.sparkSession, OPEN_FILES, "64"):
+        append_corpus(stamp_load(kept), location, partition_by=["table_name"])
     imported = loaded.rows.groupBy("source_file").agg(F.count("*").alias("rows_imported"))
     return settle(read.join(imported, "source_file", "left"), "counts")
 

@@ -10,7 +10,7 @@ from quillvec.queries import inputs
 from quillvec.queries.cleaning import TYPED_SELECT, _contract_names, _shown
 from quillvec.queries.inputs import FIXED, PAGES, SHEET, TYPED_PRODUCTS, hash_counts
 from quillvec.queries.registry import query
-from quillvec.session import held_setting, scratch_path
+from quillvec.session import OPEN_FILES, held_setting, scratch_path
 from quillvec.sources import readers, sinks
 from quillvec.streaming.ingest import corpus_of_pages, ingest_incremental
 
@@ -273,7 +273,8 @@ def load_table_files(spark, sf):
         "value",
         "event_type",
     )
-    rows.write.partitionBy("event_type").option("header", True).csv(folder)
+    with held_setting(spark, OPEN_FILES, "64"):
+        rows.write.partitionBy("event_type").option("header", True).csv(folder)
     results = load.load_table_files(spark, folder, target)
     return results.groupBy(F.regexp_extract("source_file", "event_type=([^/]+)", 1).alias("event_type")).agg(
         F.count_if(F.col("status") != "success").alias("failed"), F.sum("rows_imported").alias("rows_imported")
@@ -299,7 +300,8 @@ def load_broken_lines(spark, sf):
     folder, target = scratch_path(spark, "inbox"), scratch_path(spark, "tables")
     note = F.concat(F.lit('said "'), "props", F.lit('",\n\nthen user\n'), F.col("user_id").cast("string"))
     rows = inputs.table(spark, sf, "events").select(note.alias("note"), F.col("event_id").alias("number"), "value", "event_type")
-    rows.write.partitionBy("event_type").option("header", True).option("escape", '"').csv(folder)
+    with held_setting(spark, OPEN_FILES, "64"):
+        rows.write.partitionBy("event_type").option("header", True).option("escape", '"').csv(folder)
     with held_setting(spark, "spark.sql.files.maxPartitionBytes", "131072"):
         results = load.load_table_files(spark, folder, target)
         kind = F.regexp_extract("source_file", "event_type=([^/]+)", 1).alias("event_type")

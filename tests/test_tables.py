@@ -552,3 +552,31 @@ def test_scratch_is_never_machine_local_on_a_cluster(spark):
     from quillvec.session import scratch_path
 
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+def test_rows_of_a_table_are_not_brought_to_one_task(spark, tmp_path, monkeypatch):
+    """Files of one header: neither read nor numbered lines are dealt by file or table, nor sorted to be written by table."""
+    folder, broadcast = tmp_path / "inbox", "spark.sql.autoBroadcastJoinThreshold"
+    folder.mkdir()
+    for name in ("a", "b"):
+        lines = "".join(f"some words {i},thing {i},{i}\n" for i in range(5))
+        (folder / f"{name}.csv").write_text("note,what,number\n" + lines)
+    seen, append = [], load.append_corpus
+
+    def noted(df, *args, **options):
+        seen.append((df._jdf.queryExecution().executedPlan().toString(), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        append(df, *args, **options)
+
+    monkeypatch.setattr(load, "append_corpus", noted)
+    before = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")
+    try:
+        results = load.load_table_files(spark, str(folder), str(tmp_path / "tables"))
+        assert sorted((r.file, r.status, r.rows_imported) for r in results.collect()) == [("a.csv", "success", 5), ("b.csv", "success", 5)]
+        location = results.select("location").first()[0]
+    finally:
+        spark.conf.set(broadcast, before)
+    (plan, files), = seen
+    assert "SortMergeJoin" not in plan and files == "64"
+    stored = spark.read.parquet(location)
+    assert sorted((r.table_name, r.id) for r in stored.select("table_name", "id").collect()) == [(t, i + 1) for t in ("a", "b") for i in range(5)]
