@@ -117,7 +117,7 @@ def read_records(spark: SparkSession, directory: str, fmt: str = "csv") -> DataF
     entered = splits.withColumn("_open", F.coalesce(F.sum("_turns").over(earlier), F.lit(0)) % 2 == 1)
     records = F.when(F.col("_open"), F.col("_in")).otherwise(F.col("_out"))
     offsets = entered.select("source_file", "start", "_open", F.coalesce(F.sum(records).over(earlier), F.lit(0)).alias("_before"))
-    placed = lines.join(offsets, ["source_file", "start"])
+    placed = lines.join(F.broadcast(offsets), ["source_file", "start"])
     index = F.col("_before") + F.when(F.col("_open"), F.col("rows_in")).otherwise(F.col("rows_out"))
     continued = (F.col("turns") % 2 == 1) != F.col("_open")
     found = placed.withColumn("_continued", continued).withColumn("row_index", F.when(F.col("_continued"), index - 1).otherwise(index))
