@@ -178,6 +178,12 @@ def _allowed(rules: Sequence[PairRule], corpus: CorpusRows, requests: RequestSet
     return allowed
 
 
+def _bound(cut: np.ndarray, kind: np.dtype, toward: float) -> np.ndarray:
+    """A cut in the type of the rough scores, so that comparing converts no score; rounded up or down, and above the mark of ruled-out pairs."""
+    rounded = np.nextafter(cut.astype(kind), kind.type(toward))
+    return np.maximum(rounded, np.finfo(kind).min)
+
+
 class Ranking:
     """Running best rows and match counts of one request set."""
 
@@ -204,21 +210,24 @@ class Ranking:
             rough = np.where(allowed, rough, -np.inf)
         threshold = requests.threshold[:, None]
         if self.totals:
-            sure = (rough >= threshold + slack) & (rough > -np.inf)
-            self.matched[members] += sure.sum(axis=1)
-            unsure = (rough >= threshold - slack) & ~sure & (rough > -np.inf)
-            q, c = np.nonzero(unsure)
+            sure = rough >= _bound(threshold + slack, rough.dtype, np.inf)
+            maybe = rough >= _bound(threshold - slack, rough.dtype, -np.inf)
+            certain = np.count_nonzero(sure, axis=1)
+            self.matched[members] += certain
+            open_rows = np.flatnonzero(np.count_nonzero(maybe, axis=1) != certain)
+            q, c = np.nonzero(maybe[open_rows] & ~sure[open_rows])
             if len(q):
+                q = open_rows[q]
                 exact = self._exact(corpus, requests, q, c)
                 np.add.at(self.matched, members[q[exact >= requests.threshold[q]]], 1)
         rows = rough.shape[1]
         widest = int(requests.top_k.max())
         cut = np.maximum(threshold, self.floor[members][:, None])
-        near = rough >= cut - slack
+        near = rough >= _bound(cut - slack, rough.dtype, -np.inf)
         if 0 < widest < rows and np.count_nonzero(near) > COPY_CHECK * widest * len(members):
             own = np.partition(rough, rows - widest, axis=1)[:, rows - widest, None]
-            near = rough >= np.maximum(cut, own) - slack
-        q, c = np.nonzero(near & (rough > -np.inf))
+            near = rough >= _bound(np.maximum(cut, own) - slack, rough.dtype, -np.inf)
+        q, c = np.divmod(np.flatnonzero(near), rows)
         if len(q) > COPY_CHECK * widest * len(members) and allowed is None:
             # Mostly copies of one vector: of equal rows only the first `widest` by id can rank.
             first = corpus.copies()[1][c] < widest
