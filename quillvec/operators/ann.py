@@ -16,17 +16,22 @@ from quillvec.functions.vector import has_embedding, l2_normalize
 from quillvec.operators.scoring import pack_requests
 from quillvec.operators.search import (
     BLOCK_FLOATS,
+    BLOCK_ROWS,
     BROADCAST_FLOATS,
     BROADCAST_REQUESTS,
     HELD_ROWS,
+    REQUEST_BLOCK_FLOATS,
+    REQUEST_BLOCK_ROWS,
     _ordered,
     _rank,
     _request_size,
     _scan,
     _scan_side,
     attach,
+    block_rows,
     default_requests,
     meet_in_blocks,
+    scannable,
 )
 from quillvec.session import settle
 
@@ -160,30 +165,35 @@ def search_ann(
     )
     asked = asked.withColumn("cells", nearest_cells(F.col("query_vec"), centroids, probes))
     count, floats, widest, wanted, _ = _request_size(asked, [])
-    if floats <= broadcast_floats and count <= BROADCAST_REQUESTS and wanted <= HELD_ROWS:
+    few = floats <= broadcast_floats and count <= BROADCAST_REQUESTS and wanted <= HELD_ROWS
+    if few and scannable(indexed, -(-count * min(probes, len(centroids)) // len(centroids))):
         table = asked.toArrow()
         probed = sorted({cell for cells in table.column("cells").to_pylist() for cell in cells})
         reached = indexed.filter(F.col("cell").isin(probed)) if len(probed) < len(centroids) else indexed
         packed = pack_requests(table, probes_col="cells")
         partials = _scan(reached.filter(F.col("cell").isNotNull()), packed, "cosine", False, (), "cell")
     else:
-        partials = _cells_meet(indexed, asked, len(centroids), centroids.shape[1])
+        # Written, as the cells are counted before the rows meet.
+        partials = _cells_meet(indexed, settle(asked, "probing"), centroids.shape[1])
     ranked = _rank(partials, widest, False).withColumnRenamed("score", "similarity")
     return _ordered(attach(ranked, indexed, payload, wanted), payload, False, "part" in indexed.columns)
 
 
-def _cells_meet(indexed: DataFrame, asked: DataFrame, cells: int, dim: int) -> DataFrame:
+def _cells_meet(indexed: DataFrame, asked: DataFrame, dim: int) -> DataFrame:
     """Cells cut into bounded blocks on both sides, so a cell with a third of all rows is many groups."""
-    rows_per_block = max(1, BLOCK_FLOATS // dim)
     side = _scan_side(indexed, ["cell"]).filter(F.col("cell").isNotNull())
     probing = asked.withColumn("cell", F.explode("cells")).drop("cells")
 
-    def cuts(rows: DataFrame, name: str) -> DataFrame:
-        # At most one row per cell.
-        blocks = F.ceil(F.count("*") / F.lit(rows_per_block)).cast("int")
-        return F.broadcast(rows.groupBy("cell").agg(blocks.alias(name)))
+    def cuts(rows: DataFrame, name: str, size: int) -> DataFrame:
+        blocks = F.ceil(F.count("*") / F.lit(size)).cast("int")
+        return rows.groupBy("cell").agg(blocks.alias(name))
 
-    corpus_cuts, request_cuts = cuts(side, "_nc"), cuts(probing, "_nq")
+    # At most one row per cell.
+    met = cuts(side, "_nc", block_rows(dim, BLOCK_FLOATS, BLOCK_ROWS)).join(
+        cuts(probing, "_nq", block_rows(dim, REQUEST_BLOCK_FLOATS, REQUEST_BLOCK_ROWS)), "cell"
+    )
+    met = F.broadcast(settle(met, "cuts"))
+    pairs = met.agg(F.coalesce(F.sum(F.col("_nc") * F.col("_nq")), F.lit(0))).first()[0]
 
     def own(key: str, number: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(number)).cast("int")
@@ -191,11 +201,11 @@ def _cells_meet(indexed: DataFrame, asked: DataFrame, cells: int, dim: int) -> D
     def every(number: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
 
-    left = side.join(corpus_cuts, "cell").join(request_cuts, "cell")
+    left = side.join(met, "cell")
     left = left.withColumn("_cb", own("id", "_nc")).withColumn("_qb", every("_nq")).drop("_nc", "_nq")
-    right = probing.join(corpus_cuts, "cell").join(request_cuts, "cell")
+    right = probing.join(met, "cell")
     right = right.withColumn("_qb", own("query_id", "_nq")).withColumn("_cb", every("_nc")).drop("_nc", "_nq")
-    return meet_in_blocks(left, right, ["cell", "_qb", "_cb"], "cosine", False, ())
+    return meet_in_blocks(left, right, ["cell", "_qb", "_cb"], pairs, "cosine", False, ())
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

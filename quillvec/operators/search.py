@@ -30,10 +30,21 @@ HELD_ROWS = 2_000_000
 MERGE_PARTS = 16
 # Ranked rows are broadcast to fetch their payload only below this many rows.
 BROADCAST_ROWS = 500_000
-# Block sizes of the cogroup path, in floats: 128 MB of corpus meets 64 MB of requests. The corpus is shuffled
-# once per request block and the requests once per corpus block.
-BLOCK_FLOATS = 32_000_000
-REQUEST_BLOCK_FLOATS = 16_000_000
+# A scan's tasks are as many as its files' splits, and each scores all requests: with more requests than these and more
+# pairs in all than these, blocks of both sides share the work.
+SCAN_REQUESTS = 1000
+SCAN_PAIRS = 500_000_000
+# Block sizes of the cogroup path, in floats: 16 MB of corpus meets 4 MB of requests, and no more rows than these
+# whatever their size, so the pairs that one task scores don't grow with the tables. The corpus is shuffled once per
+# request block and the requests once per corpus block.
+BLOCK_FLOATS = 4_000_000
+REQUEST_BLOCK_FLOATS = 1_000_000
+BLOCK_ROWS = 65_536
+REQUEST_BLOCK_ROWS = 16_384
+# Rows of a block that are scored at a time.
+SCORED_ROWS = 4096
+# Tasks of the cogroup path are as many as its pairs of blocks, up to this number.
+BLOCK_TASKS = 20_000
 
 
 def default_requests(requests: DataFrame, top_k: int, threshold: float) -> DataFrame:
@@ -81,15 +92,23 @@ def _scan(corpus: DataFrame, packed: dict, metric: str, totals: bool, rules: Seq
     return _scan_side(corpus, extra).mapInArrow(score, PARTIAL_SCHEMA)
 
 
+def block_rows(dim: int, floats: int, rows: int) -> int:
+    """Rows of a block of vectors."""
+    return max(1, min(rows, floats // max(1, dim)))
+
+
 def meet_in_blocks(
-    corpus: DataFrame, requests: DataFrame, keys: Sequence[str], metric: str, totals: bool, rules: Sequence[PairRule]
+    corpus: DataFrame, requests: DataFrame, keys: Sequence[str], pairs: int, metric: str, totals: bool, rules: Sequence[PairRule]
 ) -> DataFrame:
-    """Partial results of corpus blocks and request blocks that share a key; both blocks are bounded."""
+    """Partial results of corpus blocks and request blocks that share a key; both blocks, and their pairs in a task, are bounded."""
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, min(BLOCK_TASKS, pairs))
+    corpus, requests = corpus.repartition(tasks, *keys), requests.repartition(tasks, *keys)
     params = list(dict.fromkeys(rule.request_col for rule in rules))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         scorer = Scorer(pack_requests(right, params), metric, totals, rules)
-        for batch in left.to_batches(max_chunksize=16_384):
+        for batch in left.to_batches(max_chunksize=SCORED_ROWS):
             scorer.add(batch)
         batches = list(scorer.results())
         return pa.Table.from_batches(batches) if batches else _empty_partials()
@@ -111,8 +130,8 @@ def _blocks(
     """Partial results with both sides cut into blocks by id hash; every pair of blocks meets once."""
     side = _scan_side(corpus, [rule.corpus_col for rule in rules])
     dim = max(1, floats // max(1, count))
-    corpus_blocks = max(1, -(-side.count() * dim // BLOCK_FLOATS))
-    request_blocks = max(1, -(-floats // REQUEST_BLOCK_FLOATS))
+    corpus_blocks = max(1, -(-side.count() // block_rows(dim, BLOCK_FLOATS, BLOCK_ROWS)))
+    request_blocks = max(1, -(-count // block_rows(dim, REQUEST_BLOCK_FLOATS, REQUEST_BLOCK_ROWS)))
     cut = side.withColumn("_cb", F.pmod(F.xxhash64("id", "part"), F.lit(corpus_blocks)).cast("int")).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0), F.lit(request_blocks - 1)))
     )
@@ -122,7 +141,7 @@ def _blocks(
         .withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(request_blocks)).cast("int"))
         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))))
     )
-    return meet_in_blocks(cut, asked, ["_qb", "_cb"], metric, totals, rules)
+    return meet_in_blocks(cut, asked, ["_qb", "_cb"], corpus_blocks * request_blocks, metric, totals, rules)
 
 
 def _rank(partials: DataFrame, widest: int, totals: bool) -> DataFrame:
@@ -153,12 +172,17 @@ def _partials(
     params = list(dict.fromkeys(rule.request_col for rule in rules))
     count, floats, widest, wanted, written = _request_size(requests, params)
     few = floats <= broadcast_floats and count <= BROADCAST_REQUESTS
-    if few and wanted <= HELD_ROWS and written <= BROADCAST_PARAM_BYTES:
+    if few and wanted <= HELD_ROWS and written <= BROADCAST_PARAM_BYTES and scannable(corpus, count):
         asked = requests.select("query_id", "query_vec", "top_k", "threshold", *params).toArrow()
         return _scan(corpus, pack_requests(asked, params), metric, totals, rules), widest, wanted
     return _blocks(corpus, requests, floats, count, metric, totals, rules), widest, wanted
 
 
+def scannable(corpus: DataFrame, count: int) -> bool:
+    """Whether a scan's tasks score few enough pairs with so many requests."""
+    return count <= SCAN_REQUESTS or corpus.count() * count <= SCAN_PAIRS
+
+
 # Ids of one folder of a corpus that is written by id.
 BUCKET_IDS = 1_000_000
 
