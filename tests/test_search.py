@@ -277,3 +277,33 @@ def test_payload_is_read_from_the_winners_folders(spark, tmp_path, monkeypatch):
     found = search.search_batch(stored, asked, ["content"])
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
     assert [(r.id, r.content) for r in found.collect()] == [(7, "text 7")]
+
+
+def test_many_pairs_are_shared_out_in_blocks(spark, monkeypatch):
+    """However few floats the requests have, no task scores all of them against a large corpus."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(size=8).round(3).tolist()) for i in range(900)]
+    asks = [(i, v, 4, -0.5) for i, v in vectors[:300]]
+    for name, value in (("SCAN_REQUESTS", 10), ("SCAN_PAIRS", 1000), ("BLOCK_ROWS", 100), ("REQUEST_BLOCK_ROWS", 50)):
+        monkeypatch.setattr(search, name, value)
+    for name, value in (("BLOCK_ROWS", 100), ("REQUEST_BLOCK_ROWS", 50)):
+        monkeypatch.setattr(ann, name, value)
+    corpus, requests = frames(spark, vectors, asks)
+    expected, _ = brute(vectors, asks)
+    found = search.search_batch(corpus, requests)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "REPARTITION_BY_NUM" in plan
+    assert collected(found) == expected
+    centroids = ann.train_cells(corpus, 3)
+    every = ann.search_ann(settle(ann.assign_cells(corpus, centroids), "cells"), requests, centroids, probes=3)
+    assert "FlatMapCoGroupsInArrow" in every._jdf.queryExecution().executedPlan().toString()
+    assert collected(every) == expected
+
+
+def test_cut_keeps_all_that_may_match():
+    from quillvec.operators import scoring
+
+    scores = np.array([[0.3, -np.inf, 0.29999998]], np.float32)
+    low = scoring._bound(np.array([[0.3 - 1e-9]]), scores.dtype, -np.inf)
+    assert low.dtype == np.float32 and (scores >= low).tolist() == [[True, False, True]]
+    assert (scores >= scoring._bound(np.array([[-np.inf]]), scores.dtype, -np.inf)).tolist() == [[True, False, True]]
