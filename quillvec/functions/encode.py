@@ -18,6 +18,8 @@ from quillvec import constants as const
 from quillvec.functions.text import not_blank
 
 HASH_DIM = 256
+# Rows of a batch that are made dense before they leave the task.
+ROWS_AT_ONCE = 512
 TOKEN_GAP = r"[ \t\n\r\f]+"
 
 # A factory is called once per task; what it returns maps a batch of texts to a (n, dim) matrix.
@@ -52,8 +54,7 @@ def hashed_vector(text: Column, dim: int = HASH_DIM) -> Column:
     # Marked non-deterministic here and below so that the optimizer neither repeats the call nor pushes
     # filters on its result beneath it.
 
-    @F.arrow_udf(ArrayType(FloatType(), False))
-    def densify(buckets: pa.Array) -> pa.Array:
+    def dense_rows(buckets: pa.Array) -> pa.Array:
         rows = len(buckets)
         owner = np.repeat(np.arange(rows), buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         flat = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -62,6 +63,12 @@ def hashed_vector(text: Column, dim: int = HASH_DIM) -> Column:
         offsets = pa.array(np.arange(0, rows * dim + 1, dim), type=pa.int32())
         return pa.ListArray.from_arrays(offsets, unit)
 
+    @F.arrow_udf(ArrayType(FloatType(), False))
+    def densify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for buckets in batches:
+            for start in range(0, len(buckets), ROWS_AT_ONCE):
+                yield dense_rows(buckets.slice(start, ROWS_AT_ONCE))
+
     dense = densify.asNondeterministic()(F.when(not_blank(text), token_buckets(text, dim)))
     return F.when(not_blank(text), dense)
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -215,3 +216,32 @@ def test_cells(one_row):
     assert (r.short, r.named) == ("2023-05-07 00:00:00", "2021-03-09 00:00:00")
     assert r.iso == "2024-02-28 01:02:03" and r.slash == "2023-12-31 00:00:00"
     assert r.month_first == "2023-03-04 00:00:00" and r.micro == "2024-02-28 01:02:03.123456"
+
+
+def test_texts_leave_the_task_in_small_pieces(spark, monkeypatch):
+    """However long an Arrow batch is, few of its pages are cut and few of its rows made dense at a time."""
+    from quillvec.functions import chunker, encode
+
+    made = {}
+
+    def noted(kind):
+        def wrap(function):
+            made[str(kind)] = function
+            return real(kind)(function)
+
+        return wrap
+
+    real = F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", noted)
+    chunker.chunk_recursive(F.col("text"), 300, 20)
+    encode.hashed_vector(F.col("text"), 8)
+    monkeypatch.undo()
+    cut, dense = made.values()
+    pages = ["some words. " * (i % 50) for i in range(1000)] + [None, ""]
+    pieces = [p.to_pylist() for p in cut(iter([pa.array(pages)]))]
+    assert max(map(len, pieces)) <= chunker.PAGES_AT_ONCE
+    assert [c for p in pieces for c in p] == [chunker.split_text(p, 300, 20) if p else [] for p in pages]
+    buckets = [[i % 8] * (i % 5) for i in range(2000)] + [None]
+    rows = [p.to_pylist() for p in dense(iter([pa.array(buckets, pa.list_(pa.int32()))]))]
+    assert max(map(len, rows)) <= encode.ROWS_AT_ONCE
+    assert [r for p in rows for r in p] == [[float(bool(b) and j == b[0]) for j in range(8)] for b in buckets]
