@@ -392,8 +392,8 @@ FROM embeddings e JOIN nxt ON e.vec_id = nxt.id""")
 def sql_functions(spark, sf):
     """The vector functions called from SQL text."""
     register_functions(spark)
-    inputs.corpus(spark, sf).createOrReplaceTempView("quillvec_rows")
+    inputs.corpus(spark, sf).createOrReplaceTempView("quillvec_vectors")
     return spark.sql("""
         SELECT a.id, round(cosine_similarity(a.embedding, b.embedding), 4) AS similarity,
                round(cosine_distance(a.embedding, b.embedding), 4) AS distance
-        FROM quillvec_rows a JOIN quillvec_rows b ON a.id = b.id - 1""")
+        FROM quillvec_vectors a JOIN quillvec_vectors b ON a.id = b.id - 1""")
