@@ -13,8 +13,9 @@ from quillvec.session import OPEN_FILES, held_setting, scratch_path, settle
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position of a partition in the low 33 bits
 # Rows of order keys sorted by one task.
 RANGE_ROWS = 4_000_000
-# A slice is 2^16 rows that one task wrote one after the other; their numbers travel as one array of 512 KB at most.
-_SLICE_BITS = 16
+# A slice is 2^12 rows that one task wrote one after the other; their numbers travel as one array of 32 KB at most. Slices
+# are dealt to buckets by hash: with few large ones some buckets would get none and others several.
+_SLICE_BITS = 12
 
 
 def next_id(existing: DataFrame | None, column: str = "id") -> int:

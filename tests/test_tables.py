@@ -1,10 +1,12 @@
+import glob
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quillvec import constants as const
-from quillvec.operators import clean, present, stats
+from quillvec.operators import clean, ids, present, stats
 from quillvec.operators.ids import assign_ids, next_id
 from quillvec.plans import load
 from quillvec.plans.answer import answer_prompts
@@ -580,3 +582,28 @@ def test_rows_of_a_table_are_not_brought_to_one_task(spark, tmp_path, monkeypatc
     assert "SortMergeJoin" not in plan and files == "64"
     stored = spark.read.parquet(location)
     assert sorted((r.table_name, r.id) for r in stored.select("table_name", "id").collect()) == [(t, i + 1) for t in ("a", "b") for i in range(5)]
+
+
+def test_slices_of_one_task_spread_over_buckets(spark):
+    """Rows that one task wrote are numbered in as many tasks as there are buckets, each with its share."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(0, 400_000, 1, 1)
+    held = [r["count"] for r in ids._in_slices(rows).groupBy(F.input_file_name().alias("bucket")).count().collect()]
+    assert len(held) == buckets and max(held) < 2 * 400_000 / buckets
+
+
+def test_vectors_are_written_without_a_group_per_value(spark, tmp_path):
+    """Vectors lie in two-level lists; a folder that holds older files in three levels reads as one table."""
+    target = str(tmp_path / "t")
+    cells = [(i, f"f{i}", f"some words of row {i}", "another cell", float(i)) for i in range(20)]
+    rows = spark.createDataFrame(cells, "row_index long, source_file string, note string, kind string, amount double")
+    load.load_table(rows, target)
+    leaves = {pq.ParquetFile(f).schema.column(i).path for f in glob.glob(f"{target}/*.parquet") for i in range(len(pq.ParquetFile(f).schema))}
+    assert "embedding.array" in leaves and not [x for x in leaves if x.startswith("embedding.list")]
+    assert spark.conf.get("spark.sql.parquet.writeLegacyFormat") == "false"
+    first = spark.read.schema(sinks.noted_schema(spark, target)).parquet(target)
+    first.withColumn("id", F.col("id") + 20).write.mode("append").parquet(target)
+    both = {(r["id"] - 1) % 20: set() for r in first.collect()}
+    for r in spark.read.schema(sinks.noted_schema(spark, target)).parquet(target).collect():
+        both[(r["id"] - 1) % 20].add((r["note"], tuple(r["embedding"])))
+    assert len(both) == 20 and all(len(found) == 1 for found in both.values())
