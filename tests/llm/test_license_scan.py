@@ -104,3 +104,31 @@ def test_sql(spark):
     base.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     theirs = base.execute(scan.SQL).fetchdf()
     assert rows_of(entry.queries()["op4_license_scan"](spark, sf).toPandas()) == rows_of(theirs)
+
+
+def test_words_of_segments_stay_in_their_rows(spark, monkeypatch):
+    """Segments are scored where they are: nothing is written that has a row per word, and scores follow the formula."""
+    sizes, keep = {}, scan.settle
+
+    def counted(df, label):
+        kept = keep(df, label)
+        sizes[label] = kept.count()
+        return kept
+
+    monkeypatch.setattr(scan, "settle", counted)
+    stated = "Released by me and us under the MIT License, some more words"
+    texts = [stated + " " + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(20)] + [stated]
+    frame = spark.createDataFrame([(f"a/{i}", t) for i, t in enumerate(texts)] + [(f"z/{i}", f"words of file {i}") for i in range(60)], "path string, text string")
+    found = {r["path"]: r for r in scan.own_licenses(frame, 0.5).collect()}
+    assert max(sizes.values()) < 6 * len(texts)
+    idf = scan.term_weights(frame)
+    best = 0.0
+    for piece in [stated] + [" ".join(scan.terms_of(stated)[i : i + n]) for n in (3, 5) for i in range(-n, 12)]:
+        held = scan.terms_of(piece)
+        length = sum((held.count(t) * idf[t]) ** 2 if t in idf else held.count(t) * idf[""] ** 2 for t in set(held)) ** 0.5
+        for name, statement, needed, other in scan.TEMPLATES:
+            terms = scan.terms_of(statement)
+            if name == "MIT" and set(needed.split()) <= set(held) and not set(other.split()) & set(held):
+                size = sum((terms.count(t) * idf[t]) ** 2 for t in set(terms)) ** 0.5
+                best = max(best, sum(held.count(t) * idf.get(t, 0.0) * terms.count(t) * idf[t] for t in set(terms)) / size / length)
+    assert found["a/20"]["license"] == "MIT" and abs(found["a/20"]["score"] - best) < 2e-6
