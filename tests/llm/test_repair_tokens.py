@@ -30,6 +30,52 @@ def test_pieces_encode_like_whole_texts(tokenizer, texts):
             assert np.frombuffer(data, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_pieces_of_odd_characters_encode_like_whole_texts(tokenizer, monkeypatch):
+    marks = [
+        " ", "\n", "\t", "\r\n", "\u00a0", "\u2028", "a", "b", "The", "'", "s", "'ll", ".", "1", "\u0663", "\u00e9", "\u00d6", "\u00d7", "\u00f7",
+        "\u0100", "\u017f", "\u0416", "\u0482", "\u0301", "\u4e2d", "|", "<|endoftext|>", "<|", "_", "\u00aa", "\u00b2", "\U0001f600",
+    ]
+    draw = np.random.default_rng(3)
+    encoder = r.Encoder(open(PATH, encoding="utf-8").read(), 2)
+    for kept in (5, 200, 200_000):
+        monkeypatch.setattr(r, "PIECES_KEPT", kept)
+        for some in (4, 8, len(marks)):
+            texts = ["".join(draw.choice(draw.choice(marks, some), size)) for size in draw.integers(0, 25, 400)]
+            for text, data in zip(texts, encoder.encode(texts), strict=True):
+                assert np.frombuffer(data, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_each_piece_is_encoded_once(tokenizer):
+    class Counted:
+        characters = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.characters += sum(map(len, texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    words = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in "lmnr"]
+    texts = [f"x {a}.\n{b}, {a}" for a in words for b in words]
+    encoder = r.Encoder(open(PATH, encoding="utf-8").read(), 2)
+    encoder.tokenizer = Counted()
+    encoder.encode(texts[::2])
+    encoder.encode(texts[1::2])
+    # Words behind a space, words behind a line feed, and the marks between.
+    assert encoder.tokenizer.characters <= 2 * sum(len(w) + 1 for w in words) + 10
+
+
+def test_grouped_pairs_do_not_depend_on_how_they_are_sorted():
+    draw = np.random.default_rng(4)
+    for top in (1, 3, 300, 2**31):
+        left, right = (draw.integers(0, top, 5000).astype(np.uint32) for _ in range(2))
+        at = draw.permutation(2**20)[:5000].astype(np.int32)
+        plain: dict = {}
+        for a, b, place in zip(left.tolist(), right.tolist(), at.tolist()):
+            plain.setdefault(a << 32 | b, []).append(place)
+        pairs, counts, places = r.group_pairs(left, right, at)
+        assert pairs.tolist() == sorted(plain) and counts.tolist() == [len(plain[p]) for p in sorted(plain)]
+        assert places.tolist() == [place for p in sorted(plain) for place in sorted(plain[p])]
+
+
 @pytest.mark.parametrize("path", ["word_bpe_49k.json"])
 def test_other_tokenizers_encode_whole_texts(path, texts):
     path = public_tokenizers.path(path)
