@@ -287,11 +287,12 @@ class PairPlaces:
     def list_places(self, at: np.ndarray) -> None:
         """List these places, which hold new pairs, where their pair is frequent enough."""
         left, right = self.symbols[at], self.symbols[self.after[at]]
+        bits = min(COUNT_BITS, len(at).bit_length() + 1)
         place = left * np.uint32(0x9E3779B1)
         place ^= right * np.uint32(0x85EBCA77)
-        place >>= np.uint32(32 - COUNT_BITS)
+        place >>= np.uint32(32 - bits)
         # Pairs meet in a bin, so a bin bounds the counts of its pairs from above.
-        often = np.flatnonzero(np.take(np.bincount(place, minlength=1 << COUNT_BITS) >= LEAST_COUNT, place))
+        often = np.flatnonzero(np.take(np.bincount(place, minlength=1 << bits) >= LEAST_COUNT, place))
         pairs, counts, places = group_pairs(left[often], right[often], at[often])
         held = counts >= LEAST_COUNT
         places, pairs, counts = places[np.repeat(held, counts)], pairs[held], counts[held]
@@ -500,7 +501,7 @@ def decoded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             ids = expand(unpack_symbols(row["body"]), row["base"], np.frombuffer(row["rules"], "<u8"), np.frombuffer(row["rule_lengths"], "<u4"))
             counts = np.frombuffer(row["counts"], "<i8")
             ends = np.cumsum(counts)
-            data = memoryview(ids.astype("<u4").tobytes())
+            data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             docs = np.frombuffer(row["doc_ids"], "<i8").tolist()
             yield pa.record_batch(
                 [
